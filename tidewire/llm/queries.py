@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import line_dedup, mixing, packing, quality_classifier, robust_outliers
+from tidewire.llm import chat_windows, line_dedup, mixing, packing, quality_classifier, robust_outliers
 from tidewire.llm.common import lines, table
 
 
@@ -27,11 +27,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = r"\### Assistant: </turn> ok"
+    more = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).alias("turn"), F.lit(role).alias("role"), F.lit(hard).alias("text")) for k, role in enumerate(("user", "assistant"))]
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more[0]).unionByName(more[1])
+    back = chat_windows.read_back(chat_windows.chat_windows(turns))
+    written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(written, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op5_line_dedup, op8_mixing, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op5_line_dedup, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
 
 #: Blanks that the contracts name, as DuckDB writes them.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -71,4 +87,29 @@ FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 JOIN a ON d.source IS NOT DISTINCT FROM a.source AND d.place = a.place
 """
 
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+OP9_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+n AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS n,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM c),
+s AS (SELECT *, bool_or(nth = 1 AND role = 'system') OVER (PARTITION BY conv_id) AS has_system,
+             nth = 1 AND role = 'system' AS lead,
+             -- a turn's text and role escaped, with its marks
+             length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) + length(role)
+             + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) + 14 AS chars FROM n),
+p AS (SELECT *, CASE WHEN lead THEN -1 ELSE sum(CASE WHEN lead THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY nth) - n END AS pos FROM s),
+v AS (SELECT *, CASE WHEN pos <= 0 THEN 0 ELSE 2 * (pos // 384) + CASE WHEN pos + n > (pos // 384 + 1) * 384 THEN 1 ELSE 0 END END AS v FROM p),
+w AS (SELECT conv_id, v, min(pos) AS start FROM v WHERE v > 0 GROUP BY conv_id, v),
+again AS (
+  SELECT w.conv_id, sum(v.chars) AS chars FROM w JOIN v ON w.conv_id = v.conv_id
+   AND (v.lead OR v.pos >= 0 AND v.pos >= w.start - 128 AND v.pos + v.n <= w.start) GROUP BY w.conv_id),
+t AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM v GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       (t.chars + coalesce(again.chars, 0))::BIGINT AS formatted_chars
+FROM t LEFT JOIN again ON t.conv_id = again.conv_id
+"""
+
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL}
