@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_windows, line_dedup, mixing, packing, quality_classifier, robust_outliers
+from tidewire.llm import chat_windows, licenses, line_dedup, mixing, packing, pii, quality_classifier, robust_outliers
 from tidewire.llm.common import lines, table
 
 
@@ -13,6 +13,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_outliers.robust_outliers(table(spark, sf_dir, "documents")).drop("stratum", "distance")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
 
 
+#: Key of the surrogates in the registered query; a user gives a secret of their own.
+PII_KEY = "registered query"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", F.col("_n_entities").alias("n_entities"), "text")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,7 +60,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op5_line_dedup, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op5_line_dedup, op7_pii_surrogates, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
 
 #: Blanks that the contracts name, as DuckDB writes them.
 _WORD = r"[^\x20\x09-\x0D]+"
