@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_windows, licenses, line_dedup, mixing, packing, pii, quality_classifier, robust_outliers
+from tidewire.llm import chat_windows, lattice, licenses, line_dedup, mixing, packing, pii, quality_classifier, robust_outliers
 from tidewire.llm.common import lines, table
 
 
@@ -21,6 +21,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -60,7 +64,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op5_line_dedup, op7_pii_surrogates, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_embedding_near_dedup, op5_line_dedup, op7_pii_surrogates, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
 
 #: Blanks that the contracts name, as DuckDB writes them.
 _WORD = r"[^\x20\x09-\x0D]+"
