@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_windows, lattice, licenses, line_dedup, mixing, packing, pii, quality_classifier, robust_outliers
+from tidewire.llm import chat_windows, lattice, licenses, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, robust_outliers
 from tidewire.llm.common import lines, table
 
 
@@ -31,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles"), "component_id")
+
+
 #: Key of the surrogates in the registered query; a user gives a secret of their own.
 PII_KEY = "registered query"
 
@@ -64,7 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_embedding_near_dedup, op5_line_dedup, op7_pii_surrogates, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_embedding_near_dedup, op5_line_dedup, op6_ngram_jaccard, op7_pii_surrogates, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
 
 #: Blanks that the contracts name, as DuckDB writes them.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -82,6 +86,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+f AS (SELECT e.doc_id, e.g FROM e JOIN (SELECT g FROM e GROUP BY g HAVING count(*) > 1) USING (g)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM f a JOIN f b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+m AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, m.b FROM r JOIN m ON r.b = m.a)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = n.doc_id
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
@@ -129,4 +148,4 @@ SELECT t.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss
 FROM t LEFT JOIN again ON t.conv_id = again.conv_id
 """
 
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL}
