@@ -285,3 +285,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(rows, "labelled")
     least = written(rows.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).filter("members > 1").select("label", "component_id"), "classes")
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row", "label")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, of each class the one of the least id. Of rows with one id in a class, the one of the least text stays."""
+    found = near_duplicates(docs, id_col, text_col)
+    found = written(found.filter("doc_id is not null"), "classes")
+    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    kept = docs.join(few(lost), F.col(id_col) == F.col("_lost"), "left_anti")
+    again = written(found.filter("doc_id = component_id").groupBy("doc_id", "label").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")).distinct(), "again")
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    once = kept.join(few(again), F.col(id_col) == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
+    return kept.join(few(again), F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)

@@ -144,3 +144,12 @@ def rank(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scored = features(plain).withColumn("score", model.score(F.col("features")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with their own columns."""
+    model = fit(docs, labels.filter(~held_out(F.col("doc_id"))), id_col, text_col, train_rows)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    scored = features(docs.select(row, F.col(text_col).alias("_text")), "_text")
+    # a filter would be pushed below the features and make them again for each weight
+    return scored.select(F.inline(F.when(model.score(F.col("features")) >= CUT, F.array("_row"))))
