@@ -44,6 +44,8 @@ WORDS, LINK = 5, 75
 REGION, SMALL = 0.4, 171
 #: Random orders in the first pass, documents in a tile of the second.
 ORDERS, TILE = 32, 4096
+#: Pairs that a task gathers from small tiles before it passes them on.
+OUT_PAIRS = 10_000
 #: Ids that are broadcast at most (16 MB); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -83,8 +85,8 @@ def _possible(sets: DataFrame) -> DataFrame:
 
 
 def width(n: int) -> int:
-    """Bits of a signature for sets of ``n``: a power of two of at least 2 n."""
-    return min(1 << 16, max(256, 1 << int(2 * n - 1).bit_length()))
+    """Bits of a signature for sets of ``n``: a power of two of at least 8 n, so that few elements share a bit."""
+    return min(1 << 18, max(256, 1 << int(8 * n - 1).bit_length()))
 
 
 def signature(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -164,12 +166,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def tile_pairs(band_width: int, row: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a tile in different components that may link: of rows given as ``left`` with the others.
 
-    Rows of the component that most of them are in are compared with the other components' only.
+    Rows of the component that most of them are in are compared with the other components' only. All pairs are
+    bounded by signatures folded to a quarter, and those that pass by the whole ones.
     """
-    sig = np.stack([folded(np.frombuffer(b, dtype=np.uint64), band_width) for b in bits])
+    words_ = min(map(len, bits)) // 8
+    wide = np.stack([folded(np.frombuffer(b, dtype=np.uint64), words_ * 64) for b in bits])
+    sig = wide
+    while sig.shape[1] > max(4, words_ // 4):
+        sig = sig[:, : sig.shape[1] // 2] | sig[:, sig.shape[1] // 2 :]
     kinds, code, count = np.unique(comp, return_inverse=True, return_counts=True)
     main = code == count.argmax()
     out_a, out_b = [], []
@@ -185,6 +192,10 @@ def tile_pairs(band_width: int, row: np.ndarray, n: np.ndarray, comp: np.ndarray
             # two rows of the tile's own band meet in both orders
             ok &= ~home[others][None, :] | (row[i][:, None] < row[others][None, :])
             x, y = np.nonzero(ok)
+            if len(x) and sig is not wide:
+                narrow = np.concatenate([np.bitwise_count(wide[i[x[s : s + 8192]]] ^ wide[others[y[s : s + 8192]]]).sum(1, dtype=np.int64) for s in range(0, len(x), 8192)])
+                passed = may_link(n[i[x]], n[others[y]], narrow)
+                x, y = x[passed], y[passed]
             out_a.append(row[i[x]])
             out_b.append(row[others[y]])
     empty = np.zeros(0, dtype=np.int64)
@@ -196,29 +207,41 @@ _TILE_KEY = ["h", "band", "i", "j"]
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``tile_pairs`` of each tile; rows come sorted by tile. A tile's rows are held together, up to four times TILE on average."""
-    held: list[pd.DataFrame] = []
+    held: list[list[np.ndarray]] = []
+    made: list[tuple[np.ndarray, np.ndarray]] = []
     at = None
 
-    def done() -> pa.RecordBatch:
-        tile = pd.concat(held)
-        band_width = min(len(b) for b in tile["bits"]) * 8
-        a, b = tile_pairs(band_width, *(tile[c].to_numpy() for c in ("row", "n", "comp")), tile["bits"].tolist(), tile["left"].to_numpy(), tile["home"].to_numpy())
-        return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    def done() -> int:
+        row, n, comp, bits, left, home = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held, strict=True))
+        a, b = tile_pairs(row, n, comp, list(bits), left, home)
+        if len(a):
+            made.append((np.minimum(a, b), np.maximum(a, b)))
+        return sum(len(a) for a, _ in made) if len(a) else 0
+
+    def out() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*made, strict=True))
+        made.clear()
+        return pa.RecordBatch.from_pydict({"a": a, "b": b})
 
     for batch in batches:
-        rows = batch.to_pandas()
-        if not len(rows):
+        if not batch.num_rows:
             continue
-        key = rows[_TILE_KEY].to_numpy()
-        starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(rows)]
+        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        key = np.stack([column[c].astype(np.int64) for c in _TILE_KEY], axis=1)
+        starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
+        values = [column[c] for c in ("row", "n", "comp", "bits", "left", "home")]
         for i, j in zip(starts[:-1], starts[1:], strict=True):
-            if at is not None and tuple(key[i]) != at:
-                yield done()
+            now = tuple(key[i])
+            if at is not None and now != at:
+                if done() > OUT_PAIRS:
+                    yield out()
                 held = []
-            at = tuple(key[i])
-            held.append(rows.iloc[i:j])
+            at = now
+            held.append([v[i:j] for v in values])
     if held:
-        yield done()
+        done()
+    if made:
+        yield out()
 
 
 def _first_pass(prefix: DataFrame) -> DataFrame:
