@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from tidewire.llm.common import lines, lower_ascii, written
 
@@ -110,7 +111,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_co
     return streamed.filter("not open").select("doc_id", "pos").unionByName(lost.select("doc_id", "pos"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _bitmap(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
     def one(n: int, lost) -> bytes:
         keep = np.ones(-(-n // 8) * 8, dtype=np.uint8)  # whole bytes; lines past the last bit are kept
@@ -126,7 +127,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     return lost.select("doc_id", F.size("lost").cast("long").alias("n_dropped"), _bitmap(F.element_at("lost", -1) + 1, "lost").alias("keep"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
     def one(t, bits) -> str:
         t = t or ""
