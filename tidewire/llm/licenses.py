@@ -70,21 +70,26 @@ _VARIANTS = r"\b(" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|by[ \t])|\(c\)[ \t]+|©)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; empty for null and blank texts."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.when(low.rlike(r"copyright|\(c\)|©"), F.regexp_replace(low, COPYRIGHT_LINE, "")).otherwise(low)
-    plain = F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
-    one = plain
+def _one_spelling(form: Column) -> Column:
     for a, b in SPELLINGS:
-        one = F.regexp_replace(one, rf"\b{a}\b", b)
-    return F.when(plain.rlike(_VARIANTS), one).otherwise(plain)
+        form = F.regexp_replace(form, rf"\b{a}\b", b)
+    return form
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form, null where it is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+def canonical(texts: Column) -> Column:
+    """The canonical form of each text of an array; empty for null and blank texts.
+
+    A step is a pass of its own over the array, since inside one pass an expression that is used twice is made twice.
+    """
+    low = F.transform(texts, lambda t: F.lower(F.coalesce(t, F.lit(""))))
+    low = F.transform(low, lambda t: F.when(t.rlike(r"copyright|\(c\)|©"), F.regexp_replace(t, COPYRIGHT_LINE, "")).otherwise(t))
+    plain = F.transform(low, lambda t: F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")))
+    return F.transform(plain, lambda t: F.when(t.rlike(_VARIANTS), _one_spelling(t)).otherwise(t))
+
+
+def digests(texts: Column) -> Column:
+    """SHA-256 of the canonical form of each text of an array, null where it is empty."""
+    return F.transform(canonical(texts), lambda form: F.when(form != "", F.sha2(form, 256)))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -102,10 +107,11 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     Each row gives the digests of its text and lines; those that are known come back as a map of a row's licences, so
     neither texts nor rows without a licence are shuffled where the known table is small.
     """
-    known = licenses.select(digest(F.col("text")).alias("known"), "license_id").filter("known is not null").groupBy("known").agg(F.min("license_id").alias("license_id"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("whole"), F.transform(lines(F.col(text_col)), digest).alias("lines"))
-    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "whole", F.filter("lines", lambda x: x.isNotNull()).alias("lines")), "digests")
-    units = rows.select("row", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("whole").alias("digest"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("digest"))))).alias("unit")).select("row", "unit.*")
+    known = licenses.select(F.get(digests(F.array("text")), F.lit(0)).alias("known"), "license_id").filter("known is not null").groupBy("known").agg(F.min("license_id").alias("license_id"))
+    # the whole text's digest comes first, then those of its lines
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digests(F.concat(F.array(F.col(text_col)), lines(F.col(text_col)))).alias("digests"))
+    rows = written(rows, "digests")
+    units = rows.select("row", F.posexplode("digests").alias("at", "digest")).select("row", (F.col("at") == 0).alias("whole"), "digest")
     found = units.join(known, F.col("digest") == F.col("known"))
     line = F.when(~F.col("whole"), F.col("license_id"))
     by_row = found.groupBy("row").agg(F.max(F.when(F.col("whole"), F.col("license_id"))).alias("text_license"), F.array_join(F.sort_array(F.collect_set(line)), ",").alias("line_licenses"), F.count(line).alias("n_license_lines"))
