@@ -107,7 +107,9 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     Each row gives the digests of its text and lines; those that are known come back as a map of a row's licences, so
     neither texts nor rows without a licence are shuffled where the known table is small.
     """
+    # written, since of a table of constants the optimizer makes a filter that digests every licence again for each line
     known = licenses.select(F.get(digests(F.array("text")), F.lit(0)).alias("known"), "license_id").filter("known is not null").groupBy("known").agg(F.min("license_id").alias("license_id"))
+    known = written(known, "known-licenses")
     # the whole text's digest comes first, then those of its lines
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digests(F.concat(F.array(F.col(text_col)), lines(F.col(text_col)))).alias("digests"))
     rows = written(rows, "digests")
