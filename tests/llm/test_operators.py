@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -60,6 +61,29 @@ def test_licences_are_found_in_other_spellings(spark):
     assert found[1][0] == "MIT" and found[2][0] is None and found[3] == (None, "MIT-notice") and found[4] == (None, "")
 
 
+def test_whole_licence_files_are_found(spark):
+    texts = dict(licenses.known_texts()[::-1])
+    full = lambda k: (licenses.TEXTS / f"{k}.txt").read_text()
+    wrapped = lambda t: "\n\n".join(textwrap.fill(" ".join(p.split()), 61) for p in t.split("\n\n"))
+    bsd3 = texts["BSD-3-Clause"].replace("the copyright holder nor", "Foo Bar, Inc. nor").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS BE", "FOO BAR, INC. BE").replace("Redistributions", "* Redistributions").replace("Neither", "* Neither")
+    cases = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 X\n\n" + wrapped(licenses.KNOWN["MIT"]) + "\n"),
+        ("MIT", "The MIT License (MIT)\r\n\r\nCopyright JS Foundation and other contributors\r\n\r\n" + licenses.KNOWN["MIT"].replace("\n", "\r\n")),
+        ("ISC", "ISC License\n\nCopyright (c) 2004-2010 by Internet Systems Consortium\nCopyright Isaac Z. Schlueter and Contributors\n\n" + licenses.KNOWN["ISC"].replace("THE AUTHOR BE", "ISC BE")),
+        ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2019, X\nAll rights reserved.\n\n" + wrapped(licenses.KNOWN["BSD-2-Clause"])),
+        ("BSD-3-Clause", 'BSD 3-Clause "New" License\n\nCopyright 2019 Foo Bar, Inc. All rights reserved.\n\n' + wrapped(bsd3)),
+        ("Zlib", "zlib License\n\n(C) 1995-2022 Jean-loup Gailly and Mark Adler\n\n" + wrapped(full("Zlib"))),
+        ("Unlicense", "The Unlicense\n\n" + full("Unlicense")),
+        ("Apache-2.0", full("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2021 Foo").replace("http:", "https:")),
+        ("Apache-2.0", wrapped(full("Apache-2.0").partition("END OF TERMS")[0])),
+        ("GPL-2.0", full("GPL-2.0").replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA  02111-1307")),
+    ] + [(p.stem, wrapped(p.read_text().replace("Copyright (C)", "\n\nCopyright (C)"))) for p in licenses.TEXTS.glob("*.txt") if "Copyright (C)" not in p.read_text()] + [(p.stem, p.read_text()) for p in licenses.TEXTS.glob("*.txt")]
+    others = ["Foo License\n\n" + licenses.KNOWN["MIT"], licenses.KNOWN["MIT"].replace("free of charge", "for a fee"), "MIT License", "Copyright (c) 2020 X\nAll rights reserved."]
+    got = {r.doc_id: r.text_license for r in licenses.scan(docs(spark, *(t for _, t in cases), *others), licenses.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(1, len(cases) + 1)] == [k for k, _ in cases]
+    assert [got[i] for i in range(len(cases) + 1, len(got) + 1)] == [None] * len(others)
+
+
 def test_packing_is_whole_and_within_capacity(spark):
     sizes = [1, 3, 255, 256, 257, 700, 4095, 4096, 4097, 9000, 40, 40]
     rows = packing.pack(docs(spark, *("w " * n for n in sizes))).collect()
