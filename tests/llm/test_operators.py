@@ -175,6 +175,17 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert rows[4].text == "nothing here" and rows[5].text is None
 
 
+def test_parts_of_a_name_and_forms_of_a_number_agree(spark):
+    names = ["Mr. Smith", *(f"{n} Smith" for n in pii.MALE), *(f"Dr. {n} Smith" for n in ("Foo", "Bar"))]
+    phones = ["+1 555 123 4567", "+15551234567", "+49 170 555 1234"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, *names, *phones), "k").collect()}
+    new = [got[i] for i in range(1, len(names) + 1)]
+    assert len({n.split()[-1] for n in new}) == 1 and len(set(new)) == len(names) and not set(new) & set(names)
+    assert {n.split()[0] for n in new[1:21]} == set(pii.MALE) and all(a.split()[0] != b.split()[0] for a, b in zip(new[1:21], names[1:21], strict=True))
+    a, b, c = (re.sub(r"\D", "", got[i]) for i in range(len(names) + 1, len(names) + 4))
+    assert a == b and a[0] == "1" and a != "15551234567" and c[:2] == "49"
+
+
 def test_mix_meets_targets_and_grows_nested(spark):
     rows = [(i, "w " * (1 + i % 7), "abc"[i % 3] if i % 10 else None) for i in range(600)]
     found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

@@ -6,17 +6,21 @@ SHA-256 of the entity's canonical form: digits for digits, letters of the same s
 for a valid one, a first name of the same gender and script for a first name. Equal entities get equal surrogates in
 all documents, also where they are written in another form; a surname alone gets the surrogate of its full name's.
 
-Distinct entities must get distinct surrogates, none of which is itself an entity of the corpus. The table of distinct
-entities is checked for that, as a whole; losers try again with the next attempt's hash, until none is left. Attempts
-above zero are few, and are joined to the documents that hold such an entity.
+Distinct entities must get distinct surrogates, none of which is itself an entity of the corpus. What is replaced as
+one is a unit: an entity, or of a name its last part, and a first name within that (a listed one goes to another of its
+list by a permutation for its surname, so it can't collide and is no unit). The table of distinct units is checked as a
+whole; losers try again with the next attempt's hash, until none is left. No last part of a surrogate is a last part in
+the corpus, so no name is. Attempts above zero are few, and are joined to the documents that hold such a unit.
 
 Only Spark's own functions are used. Defined cases: null and empty texts have no entity and stay as they are; a null
 document id is an id; an entity that repeats counts once to the check and is replaced everywhere; an empty table gives
-an empty result; further columns are ignored by ``surrogates`` and kept by ``pseudonymise``.
+an empty result; further columns are ignored by ``resolved`` and kept by ``pseudonymise``.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,10 +63,10 @@ def kind(raw: Column) -> Column:
 
 
 def canonical(raw: Column) -> Column:
-    """What makes two written forms one entity, after its type: digits of numbers, lower case otherwise."""
+    """What makes two written forms one entity, after its type: digits of numbers (and a telephone number's plus), lower case otherwise."""
     k = kind(raw)
     digits = F.regexp_replace(raw, r"\D", "")
-    return F.concat(k, F.lit(":"), F.when(k.isin("card", "ssn", "phone"), digits).when(k.isin("ip", "token"), raw).otherwise(F.lower(raw)))
+    return F.concat(k, F.lit(":"), F.when(k.isin("card", "ssn"), digits).when(k == "phone", F.concat(F.regexp_extract(raw, r"^\+", 0), digits)).when(k.isin("ip", "token"), raw).otherwise(F.lower(raw)))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -122,29 +126,89 @@ def _in_form(raw: Column, digits: Column) -> Column:
     return F.aggregate(F.split(raw, ""), start, step)["out"]
 
 
-def _name(raw: Column, key: str, attempt: Column) -> Column:
-    """A title stays; a first name becomes one of its list; other parts become pronounceable ones of their script."""
+def _keyed(key: str, names: tuple[str, ...]) -> list[str]:
+    """``names`` in an order that the key decides."""
+    return sorted(names, key=lambda n: hashlib.sha256(f"{key}|order|{n}".encode()).digest())
+
+
+def _pronounceable(part: Column, unit: Column, key: str, attempt: Column) -> Column:
+    """A name of the script of ``part``."""
+    stream = F.sha2(F.concat(F.lit(f"{key}|part|"), unit, F.lit("|"), attempt.cast("string")), 512)
+    syllables = F.sequence(F.lit(0), F.lit(3))
+
+    def of(consonants: str, vowels: str) -> Column:
+        return F.initcap(F.array_join(F.transform(syllables, lambda i: F.concat(_pick(consonants, _byte(stream, 2 * i)), _pick(vowels, _byte(stream, 2 * i + 1)))), ""))
+
+    return F.when(part.rlike(r"^\p{IsCyrillic}"), of("бвгдклмнпрст", "аеиоу")).otherwise(of("bdfgklmnprstvz", "aeiou"))
+
+
+def _first_unit(first: Column, last: Column) -> Column:
+    return F.concat(F.lit("first:"), F.lower(last), F.lit(" "), F.lower(first))
 
-    def part(p: Column) -> Column:
-        stream = F.sha2(F.concat(F.lit(f"{key}|part|"), F.lower(p), F.lit("|"), attempt.cast("string")), 512)
-        out = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(_pick("bdfgklmnprstvz", _byte(stream, 2 * i)), _pick("aeiou", _byte(stream, 2 * i + 1)))), ""))
-        out = F.when(p.rlike(r"^\p{IsCyrillic}"), F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(_pick("бвгдклмнпрст", _byte(stream, 2 * i)), _pick("аеиоу", _byte(stream, 2 * i + 1)))), ""))).otherwise(out)
-        for names in LISTS:
-            # the list's next names after the own one, so that none stays as it is
-            own = F.array_position(F.array(*map(F.lit, names)), p)
-            move = _byte(stream, F.lit(9)) % (len(names) - 1)
-            out = F.when(own > 0, F.get(F.array(*map(F.lit, names)), ((own + move) % len(names)).cast("int"))).otherwise(out)
-        return F.when(p.isin(*TITLES), p).otherwise(out)
 
-    return F.array_join(F.transform(F.split(raw, " "), part), " ")
+def _last_unit(last: Column) -> Column:
+    return F.concat(F.lit("last:"), F.lower(last))
+
+
+def _parts(raw: Column) -> tuple[Column, Column, Column]:
+    """Title, first part and last part of a name; the first two may be null."""
+    parts = F.split(raw, " ")
+    titled = F.get(parts, F.lit(0)).isin(*TITLES)
+    first = F.get(parts, F.size(parts) - 2)
+    return F.when(titled, F.get(parts, F.lit(0))), F.when(F.size(parts) - titled.cast("int") == 2, first), F.get(parts, F.size(parts) - 1)
+
+
+def units(raw: Column) -> Column:
+    """What is replaced as one of an entity: array of struct<unit, form>."""
+    unit = lambda u, form: F.struct(u.alias("unit"), form.alias("form"))
+    _, first, last = _parts(raw)
+    unlisted = first.isNotNull() & ~first.isin(*(n for names in LISTS for n in names))
+    of_name = F.when(unlisted, F.array(unit(_last_unit(last), last), unit(_first_unit(first, last), first))).otherwise(F.array(unit(_last_unit(last), last)))
+    return F.when(kind(raw) == "name", of_name).otherwise(F.array(unit(canonical(raw), raw)))
+
+
+def _first(first: Column, last: Column, key: str, attempt: Column) -> Column:
+    """A listed name becomes another of its list, by a permutation for each surname; any other a pronounceable one."""
+    out = _pronounceable(first, _first_unit(first, last), key, attempt)
+    move = _byte(F.sha2(F.concat(F.lit(f"{key}|first|"), F.lower(last)), 512), F.lit(0))
+    for names in LISTS:
+        order = F.array(*map(F.lit, _keyed(key, names)))
+        out = F.when(first.isin(*names), F.get(order, ((F.array_position(order, first) + move % (len(names) - 1)) % len(names)).cast("int"))).otherwise(out)
+    return out
+
+
+def listed_lasts(found_lasts: set[str], key: str) -> dict[str, str]:
+    """Surrogates of last parts that are listed first names, by the names of their list that the corpus has not as last parts; those without get none."""
+    out = {}
+    for names in LISTS:
+        order = _keyed(key, names)
+        out.update(zip([n for n in order if n in found_lasts], [n for n in order if n not in found_lasts]))  # noqa: B905
+    return out
+
+
+def _last(last: Column, key: str, attempt: Column, listed: dict[str, str]) -> Column:
+    out = _pronounceable(last, _last_unit(last), key, attempt)
+    if listed:
+        out = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in listed.items() for x in kv)), last), out)
+    return out
+
+
+def surrogate_of_name(raw: Column, key: str, attempt_of, listed: dict[str, str]) -> Column:
+    """A title stays; ``attempt_of`` gives the attempt of a unit."""
+    title, first, last = _parts(raw)
+    return F.concat_ws(" ", title, F.when(first.isNotNull(), _first(first, last, key, attempt_of(_first_unit(first, last)))), _last(last, key, attempt_of(_last_unit(last)), listed))
+
+
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0123469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def surrogate(raw: Column, key: str, attempt: Column) -> Column:
-    """The replacement of an entity at an attempt."""
+    """The replacement of an entity that isn't a name at an attempt."""
     k, c = kind(raw), canonical(raw)
     stream = F.sha2(F.concat(F.lit(f"{key}|"), c, F.lit("|"), attempt.cast("string")), 512)
     digits = F.regexp_replace(raw, r"\D", "")
-    country = F.length(F.regexp_extract(raw, r"^\+(\d{1,3})(?=\D)", 1))
+    country = F.greatest(F.length(F.regexp_extract(F.substring_index(c, ":", -1), COUNTRY, 0)) - 1, F.lit(0))
     octet = lambda i: (_byte(stream, F.lit(i)) % (223 if i == 0 else 256) + (1 if i == 0 else 0)).cast("string")
     local = F.substring_index(F.lower(raw), "@", 1)
     email = F.concat(_scrambled(local, stream), F.lit("@"), F.get(F.array(*map(F.lit, ("example.com", "example.net", "example.org"))), _byte(stream, F.lit(63)) % 3))
@@ -156,38 +220,51 @@ def surrogate(raw: Column, key: str, attempt: Column) -> Column:
         .when(k == "card", _in_form(raw, _luhn(digits, _new_digits(digits, stream, F.lit(1)))))
         .when(k == "phone", _in_form(raw, _new_digits(digits, stream, country)))
         .when(k == "ssn", _in_form(raw, _new_digits(digits, stream, F.lit(0))))
-        .when(k == "token", token)
-        .otherwise(_name(raw, key, attempt))
+        .otherwise(token)
     )
 
 
-def surrogates(docs: DataFrame, key: str, text_col: str = "text", max_attempts: int = 64) -> DataFrame:
-    """entity (canonical), raw (its least written form), attempt and surrogate for every distinct entity: distinct, and none an entity itself."""
-    entities = docs.select(F.explode(F.array_distinct(found(F.col(text_col)))).alias("raw")).withColumn("entity", canonical(F.col("raw"))).groupBy("entity").agg(F.min("raw").alias("raw"))
-    table = written(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("raw"), key, F.col("attempt"))), "entities")
+def resolved(docs: DataFrame, key: str, text_col: str = "text", max_attempts: int = 64) -> tuple[DataFrame, dict[str, str]]:
+    """unit, form (its least written one), attempt and surrogate of every distinct unit, and the surrogates of listed last parts."""
+    distinct = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(found(F.col(text_col)), units)))).alias("u")).select("u.*").groupBy("unit").agg(F.min("form").alias("form"))
+    distinct = written(distinct, "units")
+    names = [n for names in LISTS for n in names]
+    listed = listed_lasts({r.form for r in distinct.filter(F.col("unit").startswith("last:") & F.col("form").isin(*names)).collect()}, key)
+
+    def made(attempt: Column) -> Column:
+        unit, form = F.col("unit"), F.col("form")
+        return F.when(unit.startswith("last:"), _last(form, key, attempt, listed)).when(unit.startswith("first:"), _pronounceable(form, unit, key, attempt)).otherwise(surrogate(form, key, attempt))
+
+    def as_unit() -> Column:
+        unit, new = F.col("unit"), F.col("surrogate")
+        first = F.concat(F.substring_index(unit, " ", 1), F.lit(" "), F.lower(new))
+        return F.when(unit.startswith("last:"), _last_unit(new)).when(unit.startswith("first:"), first).otherwise(canonical(new))
+
+    table = written(distinct.withColumn("attempt", F.lit(0)).withColumn("surrogate", made(F.col("attempt"))), "surrogates")
     for _ in range(max_attempts):
-        keyed = table.withColumn("as_entity", canonical(F.col("surrogate")))
-        taken = keyed.groupBy("as_entity").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "entity"))["entity"].alias("winner")).filter("n > 1").select("as_entity", "winner")
-        shared = keyed.join(taken, "as_entity").filter("entity <> winner").select(F.col("entity").alias("loser"))
-        existing = keyed.join(table.select(F.col("entity").alias("as_entity")), "as_entity", "left_semi").select(F.col("entity").alias("loser"))
+        keyed = table.withColumn("as_unit", as_unit())
+        taken = keyed.groupBy("as_unit").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "unit"))["unit"].alias("winner")).filter("n > 1").select("as_unit", "winner")
+        shared = keyed.join(taken, "as_unit").filter("unit <> winner").select(F.col("unit").alias("loser"))
+        existing = keyed.join(table.select(F.col("unit").alias("as_unit")), "as_unit", "left_semi").select(F.col("unit").alias("loser"))
         losers = written(shared.unionByName(existing).distinct(), "collisions")
         if losers.isEmpty():
-            return table
+            return table, listed
         again = F.col("attempt") + F.when(F.col("loser").isNotNull(), 1).otherwise(0)
-        moved = table.join(losers, F.col("entity") == F.col("loser"), "left").select("entity", "raw", again.alias("attempt"), "surrogate", "loser")
-        table = written(moved.select("entity", "raw", "attempt", F.when(F.col("loser").isNotNull(), surrogate(F.col("raw"), key, F.col("attempt"))).otherwise(F.col("surrogate")).alias("surrogate")), "entities")
+        moved = table.join(losers, F.col("unit") == F.col("loser"), "left").select("unit", "form", again.alias("attempt"), "surrogate", "loser")
+        table = written(moved.select("unit", "form", "attempt", F.when(F.col("loser").isNotNull(), made(F.col("attempt"))).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
     raise ValueError("surrogates still collide; there are too many entities for their form")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its own columns, surrogates in its texts, and ``_n_entities``."""
     own = docs.columns
-    retried = written(surrogates(docs, key, text_col).filter("attempt > 0").select("entity", "attempt"), "retried")
-    holders = docs.select(F.col(id_col).alias("_holder"), F.explode(F.transform(F.array_distinct(found(F.col(text_col))), canonical)).alias("entity"))
-    attempts = holders.join(retried, "entity").groupBy("_holder").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("_attempts"))
+    table, listed = resolved(docs, key, text_col)
+    retried = written(table.filter("attempt > 0").select("unit", "attempt"), "retried")
+    holders = docs.select(F.col(id_col).alias("_holder"), F.explode(F.array_distinct(F.flatten(F.transform(found(F.col(text_col)), units)))["unit"]).alias("unit"))
+    attempts = holders.join(retried, "unit").groupBy("_holder").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("_attempts"))
     joined = docs.join(attempts, F.col(id_col).eqNullSafe(F.col("_holder")), "left").withColumn("_found", F.coalesce(found(F.col(text_col)), F.array().cast("array<string>")))
-    attempt = lambda raw: F.when(F.col("_attempts").isNull(), F.lit(0)).otherwise(F.coalesce(F.try_element_at("_attempts", canonical(raw)), F.lit(0)))
+    attempt = lambda unit: F.when(F.col("_attempts").isNull(), F.lit(0)).otherwise(F.coalesce(F.try_element_at("_attempts", unit), F.lit(0)))
     between = F.split(F.col(text_col), ANY)
-    new = F.transform("_found", lambda raw: surrogate(raw, key, attempt(raw)))
+    new = F.transform("_found", lambda raw: F.when(kind(raw) == "name", surrogate_of_name(raw, key, attempt, listed)).otherwise(surrogate(raw, key, attempt(canonical(raw)))))
     text = F.when(F.size("_found") == 0, F.col(text_col)).otherwise(F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
     return joined.withColumns({"_text": text, "_n_entities": F.size("_found").cast("long")}).select(*(F.col("_text").alias(c) if c == text_col else c for c in own), "_n_entities")
