@@ -186,6 +186,18 @@ def test_parts_of_a_name_and_forms_of_a_number_agree(spark):
     assert a == b and a[0] == "1" and a != "15551234567" and c[:2] == "49"
 
 
+def test_full_forms_are_widened(spark):
+    names = [f"Mr. {n}" for n in pii.MALE] + [f"Frau {n}" for n in pii.FEMALE[:12]] + ["Paul Martin", "Herr Martin"]
+    mails = [f"{c}@a{i}.org" for c in "jk" for i in range(50)]
+    texts = names + mails
+    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, *texts), "k").collect()}
+    new = [got[i] for i in range(1, len(texts) + 1)]
+    of = dict(zip(texts, new, strict=True))
+    assert of["Paul Martin"].split()[-1] == of["Herr Martin"].split()[-1] == of["Mr. Martin"].split()[-1]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    assert sum(of[n].split()[-1] in pii.FEMALE[12:] for n in names[20:32]) == 8
+
+
 def test_mix_meets_targets_and_grows_nested(spark):
     rows = [(i, "w " * (1 + i % 7), "abc"[i % 3] if i % 10 else None) for i in range(600)]
     found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

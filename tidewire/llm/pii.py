@@ -132,9 +132,9 @@ def _keyed(key: str, names: tuple[str, ...]) -> list[str]:
 
 
 def _pronounceable(part: Column, unit: Column, key: str, attempt: Column) -> Column:
-    """A name of the script of ``part``."""
+    """A name of the script of ``part``, of four syllables and one more for every second attempt."""
     stream = F.sha2(F.concat(F.lit(f"{key}|part|"), unit, F.lit("|"), attempt.cast("string")), 512)
-    syllables = F.sequence(F.lit(0), F.lit(3))
+    syllables = F.sequence(F.lit(0), F.lit(3) + F.floor(attempt / 2).cast("int"))
 
     def of(consonants: str, vowels: str) -> Column:
         return F.initcap(F.array_join(F.transform(syllables, lambda i: F.concat(_pick(consonants, _byte(stream, 2 * i)), _pick(vowels, _byte(stream, 2 * i + 1)))), ""))
@@ -201,30 +201,36 @@ def surrogate_of_name(raw: Column, key: str, attempt_of, listed: dict[str, str])
 
 #: Country codes of one and two digits; all others have three.
 COUNTRY = r"^\+(?:[17]|2[07]|3[0123469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Attempts of a number in its own form (half of them with its country code) before it gets longer.
+IN_FORM = 16
 
 
 def surrogate(raw: Column, key: str, attempt: Column) -> Column:
-    """The replacement of an entity that isn't a name at an attempt."""
+    """The replacement of an entity that isn't a name at an attempt. The form grows with the attempt, so forms don't run out."""
     k, c = kind(raw), canonical(raw)
     stream = F.sha2(F.concat(F.lit(f"{key}|"), c, F.lit("|"), attempt.cast("string")), 512)
     digits = F.regexp_replace(raw, r"\D", "")
-    country = F.greatest(F.length(F.regexp_extract(F.substring_index(c, ":", -1), COUNTRY, 0)) - 1, F.lit(0))
+    country = F.when(attempt >= IN_FORM // 2, 0).otherwise(F.greatest(F.length(F.regexp_extract(F.substring_index(c, ":", -1), COUNTRY, 0)) - 1, F.lit(0)))
     octet = lambda i: (_byte(stream, F.lit(i)) % (223 if i == 0 else 256) + (1 if i == 0 else 0)).cast("string")
+    more = F.greatest(attempt - IN_FORM, F.lit(0))
+    longer = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: _pick("0123456789", _byte(stream, 63 - i % 32))), "")).otherwise("")
     local = F.substring_index(F.lower(raw), "@", 1)
-    email = F.concat(_scrambled(local, stream), F.lit("@"), F.get(F.array(*map(F.lit, ("example.com", "example.net", "example.org"))), _byte(stream, F.lit(63)) % 3))
+    # a local part of n letters grows from the n-th attempt on
+    grown = F.rpad(local, F.greatest(F.length(local), attempt + 1), "a")
+    email = F.concat(_scrambled(grown, stream), F.lit("@"), F.get(F.array(*map(F.lit, ("example.com", "example.net", "example.org"))), _byte(stream, F.lit(63)) % 3))
     hexed = F.array_join(F.transform(F.split(raw, ""), lambda x, i: F.when(x.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", _byte(stream, i))).when(x.rlike("^[0-9A-F]$"), _pick("0123456789ABCDEF", _byte(stream, i))).otherwise(x)), "")
     token = F.when(raw.rlike("^[0-9a-f]+$") | raw.rlike("^[0-9A-F]+$"), hexed).otherwise(F.concat(F.regexp_extract(raw, "^(?:AKIA|sk-|gh._)", 0), _scrambled(F.regexp_replace(raw, "^(?:AKIA|sk-|gh._)", ""), stream)))
     return (
         F.when(k == "email", email)
-        .when(k == "ip", F.concat_ws(".", *(octet(i) for i in range(4))))
-        .when(k == "card", _in_form(raw, _luhn(digits, _new_digits(digits, stream, F.lit(1)))))
-        .when(k == "phone", _in_form(raw, _new_digits(digits, stream, country)))
-        .when(k == "ssn", _in_form(raw, _new_digits(digits, stream, F.lit(0))))
-        .otherwise(token)
+        .when(k == "ip", F.concat(F.concat_ws(".", *(octet(i) for i in range(4))), F.when(more > 0, F.concat(F.lit("."), longer)).otherwise("")))
+        .when(k == "card", F.concat(_in_form(raw, _luhn(digits, _new_digits(digits, stream, F.lit(1)))), longer))
+        .when(k == "phone", F.concat(_in_form(raw, _new_digits(digits, stream, country)), longer))
+        .when(k == "ssn", F.concat(_in_form(raw, _new_digits(digits, stream, F.lit(0))), longer))
+        .otherwise(F.concat(token, longer))
     )
 
 
-def resolved(docs: DataFrame, key: str, text_col: str = "text", max_attempts: int = 64) -> tuple[DataFrame, dict[str, str]]:
+def resolved(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """unit, form (its least written one), attempt and surrogate of every distinct unit, and the surrogates of listed last parts."""
     distinct = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(found(F.col(text_col)), units)))).alias("u")).select("u.*").groupBy("unit").agg(F.min("form").alias("form"))
     distinct = written(distinct, "units")
@@ -241,7 +247,7 @@ def resolved(docs: DataFrame, key: str, text_col: str = "text", max_attempts: in
         return F.when(unit.startswith("last:"), _last_unit(new)).when(unit.startswith("first:"), first).otherwise(canonical(new))
 
     table = written(distinct.withColumn("attempt", F.lit(0)).withColumn("surrogate", made(F.col("attempt"))), "surrogates")
-    for _ in range(max_attempts):
+    while True:
         keyed = table.withColumn("as_unit", as_unit())
         taken = keyed.groupBy("as_unit").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "unit"))["unit"].alias("winner")).filter("n > 1").select("as_unit", "winner")
         shared = keyed.join(taken, "as_unit").filter("unit <> winner").select(F.col("unit").alias("loser"))
@@ -252,7 +258,6 @@ def resolved(docs: DataFrame, key: str, text_col: str = "text", max_attempts: in
         again = F.col("attempt") + F.when(F.col("loser").isNotNull(), 1).otherwise(0)
         moved = table.join(losers, F.col("unit") == F.col("loser"), "left").select("unit", "form", again.alias("attempt"), "surrogate", "loser")
         table = written(moved.select("unit", "form", "attempt", F.when(F.col("loser").isNotNull(), made(F.col("attempt"))).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
-    raise ValueError("surrogates still collide; there are too many entities for their form")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
