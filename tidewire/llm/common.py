@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,9 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors reach: ``spark.checkpoint.dir`` of the session.
 
@@ -39,19 +43,52 @@ def shared_folder(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _LOCAL_FOLDERS.setdefault(app, "") or f"file://{tempfile.mkdtemp(prefix='tidewire-')}"
+        _LOCAL_FOLDERS[app] = found
     return found.rstrip("/")
 
 
+#: Lets Spark delete the shuffle files of a statement when it is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage is cut, lost executors cost nothing.
 
-    The tables of a session lie together under its application id, so one folder is to be deleted when it is over.
+    The shuffle files behind it aren't needed any more and go at once; the table itself goes by ``released``, and what
+    is left of a session's tables lies together under its application id, to be deleted when it is over.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of a table that is broadcast at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(table_: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``table_``, a written table, to be broadcast where its rows take at most ``limit`` bytes; else Spark decides."""
+    texts = [F.sum(F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))) for c, kind in table_.dtypes if kind in ("string", "binary")]
+    rows, *lengths = table_.agg(F.count("*"), *texts).first()
+    return F.broadcast(table_) if rows * 16 * len(table_.columns) + sum(x or 0 for x in lengths) <= limit else table_

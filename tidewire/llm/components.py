@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import written
+from tidewire.llm.common import released, written
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -28,10 +28,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: neighbours greater than a node point to its least neighbour
         large = now.join(least, F.col("b") == F.col("u")).select("a", F.col("m").alias("b")).distinct()
         large = written(large, "edges")
+        released(now, least)
         # small star: a node and its lesser neighbours point to the least of them
         least = written(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")), "minima")
         joined = large.join(least, F.col("a") == F.col("u"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("u", "m")).distinct()
         now = written(small, "edges")
+        released(large, least)
         before, after = after, _checksum(now)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

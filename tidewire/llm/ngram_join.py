@@ -1,32 +1,34 @@
 """Jaccard join of documents on word shingles, exact up to 64-bit hashing, with its classes.
 
-1. A document's set is that of the hashes of its distinct shingles. Only hashes below ``REGION`` of the hash range are
-   looked at across documents, and all hashes of sets of ``SMALL`` or fewer (a set of 128 has no partner above 171).
-2. A hash that one document alone holds can't be shared. A document of which more than a quarter of the whole set is
-   such has no partner and is done with. That is one aggregation by hash with partial minima; what is left is a small
-   part of a corpus: copies, and texts made of common passages.
-3. Equal sets become one, with its copies as members.
+1. A document's set is that of the hashes of its distinct shingles. Equal sets are one kind, with its copies.
+2. First look: of each set the least ``n - ceil(0.75 n) + 1 + n / SPARE`` hashes are looked at. Two sets that link share
+   all but ``n - ceil(0.75 n)`` of those of the set whose look ends first, and the other has them in its look as well,
+   so a kind of which too few are in another kind's look has no partner. One aggregation by hash with partial minima
+   tells; what is left is a small part of a corpus: copies, and texts made of common passages.
+3. The whole sets of those are made again and counted by hash; a set of which more than a quarter is in no other is
+   done with as well.
 4. The rest are indexed by their prefix: in an order of all hashes that has the rarest first, two sets that link share
    one of the first ``n - ceil(0.75 n) + 1`` of either. Common passages come last and are hardly ever looked up.
-5. First pass: the documents of a hash are put in one of ``ORDERS`` random orders and neighbours are verified, which
-   links up large groups of near copies with few comparisons. Second pass: of the pairs that share a prefix hash, those
-   in different components so far are left. They meet in tiles by hash, size band (sizes in a ratio of 3/4, so a band
-   meets itself and the next) and, where a tile has more than ``TILE`` documents, parts of it.
+5. First pass: the kinds of a hash are put in one of ``ORDERS`` random orders and neighbours are verified, which links
+   up large groups of near copies with few comparisons. Second pass: of the pairs that share a prefix hash, those in
+   different components so far are left. A hash that few kinds share hands on its pairs; the kinds of any other meet
+   in tiles by hash, size band (sizes in a ratio of 3/4, so a band meets itself and the next) and, where a hash has
+   more than ``TILE`` of them, parts of it.
 6. In a tile, bitmap signatures of hashed shingles are compared: the bits in which two differ are at most the size of
-   their symmetric difference, so they bound the overlap from above. What passes is intersected exactly, as sorted
-   arrays.
+   their symmetric difference, so they bound the overlap from above. Pairs that pass are bounded by wider signatures,
+   and what passes those is intersected exactly, as sorted arrays.
 
 No group is expanded into all its pairs: within a component nothing is compared any more, and tiles give out only
 pairs whose bound allows a link between components. No bucket or partner is capped.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; texts of fewer than five words have
 one shingle, all their words; a row is a document, also where ids repeat; a null id is the least of no class that has
-other ids; an empty table gives an empty result; further columns are ignored.
+other ids; an empty table gives an empty result; further columns are ignored, or kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,22 +36,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import lower_ascii, words, written
+from tidewire.llm.common import if_small, lower_ascii, released, words, written
 from tidewire.llm.components import connected_components
 from tidewire.llm.text_stats import windows
 
 #: Words of a shingle, and the similarity from which documents link, in hundredths.
 WORDS, LINK = 5, 75
-#: Share of the hash range that is looked at across documents, and sets of which all hashes are.
-REGION, SMALL = 0.4, 171
-#: Random orders in the first pass, documents in a tile of the second.
-ORDERS, TILE = 32, 4096
+#: The first look takes a part of 1 / SPARE of a set beyond its prefix.
+SPARE = 8
+#: Random orders in the first pass, kinds in a tile of the second, and kinds of a hash that hands on all its pairs.
+ORDERS, TILE, FEW = 12, 4096, 8
+#: Bits of the signatures that tiles compare, at most.
+TILE_BITS = 2048
 #: Pairs that a task gathers from small tiles before it passes them on.
-OUT_PAIRS = 10_000
-#: Ids that are broadcast at most (16 MB); more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
-
-_THETA = -(2**63) + int(REGION * 2**64)
+OUT_PAIRS = 100_000
 
 
 def with_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -64,29 +64,33 @@ def with_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumns({"n": F.size("set").cast("long"), "sig1": F.xxhash64("set"), "sig2": F.xxhash64(F.lit("second"), F.col("set"))}).drop("_words")
 
 
+def _needed(n: Column) -> Column:
+    """Elements of a set that a partner has at least."""
+    return F.floor((n * LINK + 99) / 100)
+
+
 def _allowed(n: Column) -> Column:
     """Elements of a set that a partner may lack."""
-    return n - F.floor((n * LINK + 99) / 100)
+    return n - _needed(n)
 
 
-def _narrowed(big: DataFrame, ids: DataFrame, on) -> DataFrame:
-    """The rows of ``big`` that ``ids`` names: a broadcast while there are few enough, a shuffle beyond."""
-    return big.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
+def _look(n: Column) -> Column:
+    """Elements that the first look takes."""
+    return (_allowed(n) + 1 + F.floor(n / SPARE)).cast("int")
 
 
-def _possible(sets: DataFrame) -> DataFrame:
-    """row of each set that may have a partner among ``sets`` (row, n, elems): few enough of its elements are in no other."""
-    # the row, and whether its elements outside the region count as well, in one number
-    tagged = sets.select("row", "n", F.explode("elems").alias("h")).select("h", (F.col("row") * 2 + F.when(F.col("n") > SMALL * LINK // 100, 1).otherwise(0)).alias("tag"))
-    held = tagged.groupBy("h").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"))
-    alone = held.filter((F.col("lo") == F.col("hi")) & ((F.col("lo") % 2 == 0) | (F.col("h") < _THETA)))
-    alone = alone.groupBy(F.shiftright("lo", 1).alias("row")).agg(F.count("*").alias("alone"))
-    return sets.select("row", "n").join(alone, "row", "left").filter(F.coalesce("alone", F.lit(0)) <= _allowed(F.col("n"))).select("row")
+def _possible(sets: DataFrame, kinds: DataFrame) -> DataFrame:
+    """n, sig1, sig2 and rep of the kinds of which enough looked-at elements are in another kind's look."""
+    held = sets.select("sig1", F.explode("look").alias("h")).groupBy("h").agg(F.min("sig1").alias("lo"), F.max("sig1").alias("hi"))
+    alone = held.filter("lo = hi").groupBy(F.col("lo").alias("sig1")).agg(F.count("*").alias("alone"))
+    # a partner may be smaller by a quarter, and so may be what its look has to spare
+    shared = _look(F.col("n")) - F.coalesce("alone", F.lit(0))
+    return kinds.join(alone, "sig1", "left").filter(shared >= 1 + F.floor(_needed(F.col("n")) / SPARE)).select("n", "sig1", "sig2", "rep")
 
 
 def width(n: int) -> int:
-    """Bits of a signature for sets of ``n``: a power of two of at least 8 n, so that few elements share a bit."""
-    return min(1 << 18, max(256, 1 << int(8 * n - 1).bit_length()))
+    """Bits of a signature for sets of ``n``: a power of two of at least 4 n, so that few elements share a bit."""
+    return min(1 << 18, max(256, 1 << int(4 * n - 1).bit_length()))
 
 
 def signature(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -121,7 +125,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(bits=[signature(s, width(len(s))).tobytes() for s in batch["set"]])
+        bits = [signature(s, width(len(s))) for s in batch["set"]]
+        yield batch.assign(bits=[b.tobytes() for b in bits], mark=[folded(b, TILE_BITS).tobytes() for b in bits])
 
 
 def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,46 +147,48 @@ def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b: rows of ``full``) that link: first by the bound of their signatures, then exactly."""
-    side = lambda k, what: full.select(F.col("row").alias("ab"[k - 1]), *(F.col(c).alias(f"{c[0]}{k}") for c in what))
+    """The pairs (a, b: rep of ``full``) that link: first by the bound of their signatures, then exactly."""
+    side = lambda k, what: full.select(F.col("rep").alias("ab"[k - 1]), *(F.col(c).alias(f"{c[0]}{k}") for c in what))
     signed = pairs.join(side(1, ["n", "bits"]), "a").join(side(2, ["n", "bits"]), "b").select("a", "b", "n1", "n2", "b1", "b2")
     left = written(signed.mapInPandas(_bounded, "a long, b long"), "bounded-pairs")
     both = left.join(side(1, ["set"]), "a").join(side(2, ["set"]), "b").select("a", "b", "s1", "s2")
-    return written(both.mapInPandas(_exact, "a long, b long"), "links")
+    links = written(both.mapInPandas(_exact, "a long, b long"), "links")
+    released(left)
+    return links
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows next to each other within a hash, in the order given, whose sizes allow a link."""
-    last = None
-    for batch in batches:
-        h, row, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "row", "n"))
-        if not len(h):
-            continue
-        if last is not None:
-            h, row, n = np.r_[last[0], h], np.r_[last[1], row], np.r_[last[2], n]
-        last = h[-1], row[-1], n[-1]
-        small, large = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
-        ok = (h[1:] == h[:-1]) & (100 * small >= LINK * large)
-        a, b = row[1:][ok], row[:-1][ok]
-        yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _within(reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of kinds at most ``reach`` places apart within a hash, in the order given, in different components and of sizes that allow a link."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, dtype=np.int64)] * 4
+        for batch in batches:
+            before = len(held[0])
+            h, rep, n, comp = (np.r_[old, batch.column(k).to_numpy(zero_copy_only=False)] for old, k in zip(held, ("h", "rep", "n", "comp"), strict=True))
+            for d in range(1, min(reach, len(h) - 1) + 1):
+                small, large = np.minimum(n[d:], n[:-d]), np.maximum(n[d:], n[:-d])
+                ok = (h[d:] == h[:-d]) & (comp[d:] != comp[:-d]) & (100 * small >= LINK * large)
+                ok[: max(0, before - d)] = False  # both were in an earlier batch
+                a, b = rep[d:][ok], rep[:-d][ok]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            held = [x[-reach:] for x in (h, rep, n, comp)]
+
+    return pairs
 
 
-def tile_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[bytes], left: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile in different components that may link: of rows given as ``left`` with the others.
+def _pairs_between(row, n, comp, wide, left, right, home) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows ``left`` with the rows ``right`` (indices) in different components that may link; ``home``: rows of ``right`` that meet ``left`` in both orders.
 
     Rows of the component that most of them are in are compared with the other components' only. All pairs are
     bounded by signatures folded to a quarter, and those that pass by the whole ones.
     """
-    words_ = min(map(len, bits)) // 8
-    wide = np.stack([folded(np.frombuffer(b, dtype=np.uint64), words_ * 64) for b in bits])
     sig = wide
-    while sig.shape[1] > max(4, words_ // 4):
+    while sig.shape[1] > max(4, wide.shape[1] // 4):
         sig = sig[:, : sig.shape[1] // 2] | sig[:, sig.shape[1] // 2 :]
-    kinds, code, count = np.unique(comp, return_inverse=True, return_counts=True)
+    _, code, count = np.unique(comp, return_inverse=True, return_counts=True)
     main = code == count.argmax()
-    out_a, out_b = [], []
-    lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
-    for some, others in ((lefts[~main[lefts]], rights), (lefts[main[lefts]], rights[~main[rights]])):
+    out = [np.zeros((2, 0), dtype=np.int64)]
+    for some, others in ((left[~main[left]], right), (left[main[left]], right[~main[right]])):
         if not len(some) or not len(others):
             continue
         step = max(1, 2_000_000 // (len(others) * sig.shape[1]))
@@ -189,17 +196,41 @@ def tile_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: list[byte
             i = some[k : k + step]
             differing = np.bitwise_count(sig[i][:, None, :] ^ sig[others][None, :, :]).sum(2, dtype=np.int64)
             ok = (code[i][:, None] != code[others][None, :]) & may_link(n[i][:, None], n[others][None, :], differing)
-            # two rows of the tile's own band meet in both orders
             ok &= ~home[others][None, :] | (row[i][:, None] < row[others][None, :])
             x, y = np.nonzero(ok)
             if len(x) and sig is not wide:
                 narrow = np.concatenate([np.bitwise_count(wide[i[x[s : s + 8192]]] ^ wide[others[y[s : s + 8192]]]).sum(1, dtype=np.int64) for s in range(0, len(x), 8192)])
                 passed = may_link(n[i[x]], n[others[y]], narrow)
                 x, y = x[passed], y[passed]
-            out_a.append(row[i[x]])
-            out_b.append(row[others[y]])
-    empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b])
+            out.append(np.stack([row[i[x]], row[others[y]]]))
+    a, b = np.concatenate(out, axis=1)
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """Size band of a set."""
+    return np.floor(np.log(n) / np.log(100 / LINK) + 1e-9).astype(np.int64)
+
+
+def tile_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, marks: list[bytes], left: np.ndarray | None = None, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile in different components that may link.
+
+    With ``left`` and ``home`` it is a part of a band: rows given as left with the others, of which those of the band
+    are at home. Without, it is all of a hash, whose bands each meet themselves and the next.
+    """
+
+    def between(i: np.ndarray, j: np.ndarray, home_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        used = np.union1d(i, j)
+        bits = 8 * min(len(marks[k]) for k in used)
+        wide = np.stack([folded(np.frombuffer(marks[k], dtype=np.uint64), bits) for k in used])
+        at = lambda k: np.searchsorted(used, k)
+        return _pairs_between(row[used], n[used], comp[used], wide, at(i), at(j), home_[used])
+
+    if left is not None:
+        return between(np.flatnonzero(left), np.flatnonzero(~left), home)
+    level = _level(n)
+    found = [between(np.flatnonzero(level == b), np.flatnonzero((level == b) | (level == b + 1)), level == b) for b in np.unique(level)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 _TILE_KEY = ["h", "band", "i", "j"]
@@ -208,18 +239,17 @@ _TILE_KEY = ["h", "band", "i", "j"]
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``tile_pairs`` of each tile; rows come sorted by tile. A tile's rows are held together, up to four times TILE on average."""
     held: list[list[np.ndarray]] = []
-    made: list[tuple[np.ndarray, np.ndarray]] = []
+    made: list[np.ndarray] = []
     at = None
 
-    def done() -> int:
-        row, n, comp, bits, left, home = held[0] if len(held) == 1 else (np.concatenate(x) for x in zip(*held, strict=True))
-        a, b = tile_pairs(row, n, comp, list(bits), left, home)
-        if len(a):
-            made.append((np.minimum(a, b), np.maximum(a, b)))
-        return sum(len(a) for a, _ in made) if len(a) else 0
+    def done() -> None:
+        rep, n, comp, mark, left, home = (np.concatenate(x) for x in zip(*held, strict=True))
+        whole = at[1] < 0
+        made.append(np.stack(tile_pairs(rep, n, comp, list(mark), None if whole else left.astype(bool), None if whole else home.astype(bool))))
+        held.clear()
 
     def out() -> pa.RecordBatch:
-        a, b = (np.concatenate(x) for x in zip(*made, strict=True))
+        a, b = np.unique(np.concatenate([*made, np.zeros((2, 0), dtype=np.int64)], axis=1), axis=1)
         made.clear()
         return pa.RecordBatch.from_pydict({"a": a, "b": b})
 
@@ -229,97 +259,126 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         key = np.stack([column[c].astype(np.int64) for c in _TILE_KEY], axis=1)
         starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
-        values = [column[c] for c in ("row", "n", "comp", "bits", "left", "home")]
+        values = [column[c] for c in ("rep", "n", "comp", "mark", "left", "home")]
         for i, j in zip(starts[:-1], starts[1:], strict=True):
             now = tuple(key[i])
-            if at is not None and now != at:
-                if done() > OUT_PAIRS:
+            if held and now != at:
+                done()
+                if sum(x.shape[1] for x in made) > OUT_PAIRS:
                     yield out()
-                held = []
             at = now
             held.append([v[i:j] for v in values])
     if held:
         done()
-    if made:
-        yield out()
+    yield out()
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _first_pass(prefix: DataFrame) -> DataFrame:
-    parts = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shuffled = prefix.select("h", "row", "n", F.xxhash64("row", F.pmod("h", F.lit(ORDERS))).alias("o"))
-    ordered = shuffled.repartitionByRange(parts, "h", "o", "row").sortWithinPartitions("h", "o", "row")
-    return ordered.mapInArrow(_neighbours, "a long, b long").distinct()
+    shuffled = prefix.select("h", "rep", "n", F.col("rep").alias("comp"), F.xxhash64("rep", F.pmod("h", F.lit(ORDERS))).alias("o"))
+    ordered = shuffled.repartitionByRange(_parts(prefix), "h", "o", "rep").sortWithinPartitions("h", "o", "rep")
+    return ordered.mapInArrow(_within(1), "a long, b long").distinct()
 
 
-def _second_pass(prefix: DataFrame, component: DataFrame, full: DataFrame) -> DataFrame:
-    parts = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    now = prefix.select("h", "row", "n").join(component.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("comp", F.coalesce("component", "row"))
-    open_ = written(now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h"), "open-hashes")
-    now = now.join(open_, "h").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / LINK) + 1e-9))
+def _dealt(entries: DataFrame) -> DataFrame:
+    """The rows of tiles: those of a hash together, or those of a hash with more than TILE of them dealt out by band and part."""
+    columns = ["rep", "n", "comp", "mark"]
+    zero, none = F.lit(0), F.lit(False)
+    whole = entries.filter(F.col("kinds") <= TILE).select("h", F.lit(-1).cast("long").alias("band"), zero.alias("i"), zero.alias("j"), none.alias("left"), none.alias("home"), *columns)
     # a band's tile has its own rows and those of the next band
-    placed = now.select("h", "row", "n", "comp", "band", F.explode(F.array(F.lit(0), F.lit(1))).alias("below")).select("h", "row", "n", "comp", (F.col("band") - F.col("below")).alias("band"), (F.col("below") == 0).alias("home"))
-    placed = written(placed, "placed")
+    banded = entries.filter(F.col("kinds") > TILE).withColumn("level", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / LINK) + 1e-9).cast("long"))
+    placed = banded.select("h", "level", *columns, F.explode(F.array(zero, F.lit(1))).alias("below")).filter("level >= below").select("h", (F.col("level") - F.col("below")).alias("band"), (F.col("below") == 0).alias("home"), *columns)
     tiles = placed.groupBy("h", "band").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    tiles = written(tiles.filter("lo <> hi and homes > 0").select("h", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("k")), "tiles")
-    placed = placed.join(tiles, ["h", "band"]).join(full.select("row", "bits"), "row")
-    part, every = F.pmod(F.xxhash64("row"), F.col("k")).cast("int"), F.sequence(F.lit(0), F.col("k") - 1)
+    tiles = tiles.filter("lo <> hi and homes > 0").select("h", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("k"))
+    part, every = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"), F.sequence(zero, F.col("k") - 1)
     spread = lambda left, i, j: F.transform(every, lambda x: F.struct(i(x).alias("i"), j(x).alias("j"), F.lit(left).alias("left")))
     roles = F.concat(F.when(F.col("home"), spread(True, lambda x: part, lambda x: x)).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>")), spread(False, lambda x: x, lambda x: part))
-    dealt = placed.select("h", "band", "row", "n", "comp", "home", "bits", F.explode(roles).alias("r")).select("h", "band", "r.i", "r.j", "r.left", "row", "n", "comp", "home", "bits")
-    return dealt.repartition(parts, *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(_tiles, "a long, b long").distinct()
+    parts = placed.join(tiles, ["h", "band"]).select("h", "band", "home", *columns, F.explode(roles).alias("r")).select("h", "band", "r.i", "r.j", "r.left", "home", *columns)
+    return whole.unionByName(parts)
+
+
+def _second_pass(prefix: DataFrame, component: DataFrame, full: DataFrame) -> DataFrame:
+    """Pairs that share a prefix hash and may link, of different components."""
+    now = prefix.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    of_hash = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("kinds")).filter("lo <> hi").select("h", "kinds")
+    open_ = written(now.join(of_hash, "h"), "open-prefixes")
+    few = open_.filter(F.col("kinds") <= FEW).repartition(_parts(prefix), "h").sortWithinPartitions("h", "rep").mapInArrow(_within(FEW - 1), "a long, b long")
+    many = _dealt(open_.filter(F.col("kinds") > FEW).join(full.select("rep", "mark"), "rep"))
+    many = many.repartition(_parts(prefix), *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(_tiles, "a long, b long")
+    found = written(few.unionByName(many).distinct(), "tile-pairs")
+    released(open_)
+    return found
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, text1 and text2 (hashes of the text), n, label (of the class) and component_id (its least id) for each row of ``docs``."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    described = with_sets(plain).select("doc_id", F.xxhash64("text").alias("text1"), F.xxhash64(F.lit("second"), "text").alias("text2"), "n", "sig1", "sig2", F.slice("set", F.lit(1), F.when(F.col("n") > 0, _look(F.col("n"))).otherwise(0)).alias("look"))
+    looked = written(described.withColumn("row", F.monotonically_increasing_id()), "looks")
+    rows = written(looked.drop("look"), "rows")
+    some = rows.filter("n > 0")
+    kinds = written(some.groupBy("n", "sig1", "sig2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "kinds")
+    possible = written(_possible(looked.filter("n > 0"), kinds), "possible")
+    released(looked)
+    # the whole sets of those that are left, each from its first document
+    ids = written(some.join(possible.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("doc_id").alias("of")).distinct(), "ids")
+    chosen = with_sets(plain.join(if_small(ids), plain["doc_id"].eqNullSafe(ids["of"]), "left_semi")).select("n", "sig1", "sig2", "set").join(if_small(possible), ["n", "sig1", "sig2"]).select("rep", "n", "set")
+    sets = written(chosen, "sets")
+    if sets.count() > possible.count():  # copies that share an id
+        again, sets = sets, written(sets.dropDuplicates(["rep"]), "sets")
+        released(again)
+    held = written(sets.select("rep", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("rep").alias("rep")), "held")
+    alone = held.filter("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    left = written(sets.select("rep", "n").join(alone, "rep", "left").filter(F.coalesce("alone", F.lit(0)) <= _allowed(F.col("n"))).select("rep"), "left")
+    full = written(sets.join(if_small(left), "rep", "left_semi").mapInPandas(_signed, "rep long, n long, set array<bigint>, bits binary, mark binary"), "full-sets")
+    # prefixes in the common order, rarest first
+    shared = full.select("rep", "n", F.explode("set").alias("h")).join(held.filter("df > 1").select("h", "df"), "h")
+    of_kind = Window.partitionBy("rep")
+    shared = shared.withColumns({"place": F.row_number().over(of_kind.orderBy("df", "h")), "n_shared": F.count("*").over(of_kind)})
+    prefix = written(shared.filter(F.col("place") + F.col("n") - F.col("n_shared") <= _allowed(F.col("n")) + 1).select("h", "rep", "n"), "prefixes")
+    released(sets, held, left)
+    near = written(_first_pass(prefix), "neighbours")
+    first = verified(near, full)
+    component = written(connected_components(first), "components")
+    further = _second_pass(prefix, component, full)
+    second = verified(further.join(near, ["a", "b"], "left_anti"), full)
+    component = written(connected_components(first.union(second)), "components")
+    released(near, further, full, prefix)
+    labelled = kinds.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig1", "sig2", "least", F.coalesce("component", "rep").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    labelled = written(labelled.join(least, "label").select("n", "sig1", "sig2", "label", "component_id"), "labelled")
+    return rows.join(labelled, ["n", "sig1", "sig2"], "left").select("row", "doc_id", "text1", "text2", "n", F.coalesce("label", "row").alias("label"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id of the class), row (a number of the input row) and label (of the class)."""
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    described = with_sets(plain)
-    elems = F.when(F.col("n") <= SMALL, F.col("set")).otherwise(F.filter("set", lambda x: x < _THETA))
-    sets = written(described.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "sig1", "sig2", elems.alias("elems")), "shingle-sets")
-    some = sets.filter("n > 0")
-    left = written(_narrowed(some, written(_possible(some), "possible"), "row"), "possible-sets")
-    equal = written(left.groupBy("n", "sig1", "sig2").agg(F.min("row").alias("rep")), "equal-sets")
-    copies = left.select("row", "n", "sig1", "sig2").join(equal, ["n", "sig1", "sig2"]).select("row", "rep")
-    reps = _narrowed(left, equal.select(F.col("rep").alias("row")), "row")
-    for _ in range(2):  # without copies, and then without those done with, more are alone
-        reps = written(reps, "reps")
-        reps = _narrowed(reps, written(_possible(reps), "possible"), "row")
-    reps = written(reps, "reps")
-    # whole sets of those that are left
-    ids = reps.select(F.col("doc_id").alias("of")).distinct()
-    chosen = with_sets(_narrowed(plain, ids, plain["doc_id"].eqNullSafe(ids["of"]))).select("set", "n", "sig1", "sig2")
-    full = chosen.join(reps.select("row", "n", "sig1", "sig2"), ["n", "sig1", "sig2"]).select("row", "n", "set").dropDuplicates(["row"])
-    full = written(full.mapInPandas(_signed, "row long, n long, set array<bigint>, bits binary"), "full-sets")
-    # prefixes in the common order: inside the region first, rarest first
-    held = reps.select("row", "n", F.explode("elems").alias("h"))
-    counts = held.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = written(held.join(counts, "h"), "shared")
-    outside = F.col("h") >= _THETA
-    own = reps.select("row", F.size(F.filter("elems", lambda x: x < _THETA)).alias("e_in"), F.size(F.filter("elems", lambda x: x >= _THETA)).alias("e_out"))
-    of_row = Window.partitionBy("row")
-    shared = shared.withColumns({"place": F.row_number().over(of_row.orderBy(outside, "df", "h")), "s_in": F.count_if(~outside).over(of_row), "s_out": F.count_if(outside).over(of_row)}).join(own, "row")
-    alone = F.col("e_in") - F.col("s_in") + F.when(outside, F.col("e_out") - F.col("s_out")).otherwise(0)
-    prefix = written(shared.filter(F.col("place") + alone <= _allowed(F.col("n")) + 1).select("h", "row", "n"), "prefixes")
-    links = verified(_first_pass(prefix), full)
-    component = written(connected_components(links), "components")
-    links = links.union(verified(_second_pass(prefix, component, full), full))
-    component = written(connected_components(links), "components")
-    labels = copies.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("component", "rep").alias("label"))
-    rows = sets.select("row", "doc_id", "n").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    rows = written(rows, "labelled")
-    least = written(rows.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).filter("members > 1").select("label", "component_id"), "classes")
-    return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row", "label")
+    return _classes(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row", "label")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, of each class the one of the least id. Of rows with one id in a class, the one of the least text stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    found = written(found.filter("doc_id is not null"), "classes")
-    lost = written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "lost")
-    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    kept = docs.join(few(lost), F.col(id_col) == F.col("_lost"), "left_anti")
-    again = written(found.filter("doc_id = component_id").groupBy("doc_id", "label").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again")).distinct(), "again")
+    """The rows of ``docs``, of each class the one of the least id (null last), and of the least text hash where rows share that.
+
+    Rows are told apart by id and text, so rows that share an id only stay or go each for itself; of rows that share
+    both, one stays. Rows without words all stay.
+    """
+    classes = written(_classes(docs, id_col, text_col).filter("n > 0"), "classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text1", "text2")
+    best = written(classes.groupBy("label").agg(F.min(rank).alias("best"), F.count("*").alias("members")).filter("members > 1"), "best")
+    members = classes.join(best, "label").withColumn("kept", rank == F.col("best"))
+    keys = ["doc_id", "text1", "text2"]
+    lost = written(members.filter("not kept").select(*keys).distinct(), "lost")
+    again = written(members.filter("kept").groupBy(*keys).agg(F.count("*").alias("times")).filter("times > 1").select(*keys), "repeated")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text1"), F.xxhash64(F.lit("second"), F.col(text_col)).alias("text2"))
+
+    def of(table: DataFrame, how: str) -> DataFrame:
+        on = keyed["doc_id"].eqNullSafe(table["doc_id"]) & (keyed["text1"] == table["text1"]) & (keyed["text2"] == table["text2"])
+        return keyed.join(if_small(table), on, how)
+
     if again.isEmpty():
-        return kept
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    once = kept.join(few(again), F.col(id_col) == F.col("_again"), "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")
-    return kept.join(few(again), F.col(id_col) == F.col("_again"), "left_anti").unionByName(once)
+        return of(lost, "left_anti").select("row.*")
+    once = of(again, "left_semi").dropDuplicates(keys).select("row.*")
+    return of(written(lost.unionByName(again), "lost-or-repeated"), "left_anti").select("row.*").unionByName(once)
