@@ -18,8 +18,11 @@
    their symmetric difference, so they bound the overlap from above. Pairs that pass are bounded by wider signatures,
    and what passes those is intersected exactly, as sorted arrays.
 
-No group is expanded into all its pairs: within a component nothing is compared any more, and tiles give out only
-pairs whose bound allows a link between components. No bucket or partner is capped.
+No group is expanded into all its pairs: within a component nothing is compared any more. The tiles of one group have
+much the same kinds, so the second pass begins with the tiles of ``FIRST_HASHES`` hashes a kind, then takes all, and
+leaves out pairs that were tested before. A tile gives out ``PARTNERS`` pairs a kind that its bound allows; where a kind
+has more, the pass is made again with the components that these gave and with more partners, until no kind has. So each
+pair that shares a prefix hash is verified, or bounded away, or inside one component. No bucket or partner is capped.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; texts of fewer than five words have
 one shingle, all their words; a row is a document, also where ids repeat; a null id is the least of no class that has
@@ -45,7 +48,9 @@ WORDS, LINK = 5, 75
 #: The first look takes a part of 1 / SPARE of a set beyond its prefix.
 SPARE = 8
 #: Random orders in the first pass, kinds in a tile of the second, and kinds of a hash that hands on all its pairs.
-ORDERS, TILE, FEW = 12, 4096, 8
+ORDERS, TILE, FEW = 16, 4096, 8
+#: Pairs of a kind that a tile gives out at first (each further second pass allows sixteen times as many), and hashes of a kind whose tiles come first.
+PARTNERS, FIRST_HASHES = 64, 4
 #: Bits of the signatures that tiles compare, at most.
 TILE_BITS = 2048
 #: Pairs that a task gathers from small tiles before it passes them on.
@@ -176,8 +181,22 @@ def _within(reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return pairs
 
 
-def _pairs_between(row, n, comp, wide, left, right, home) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the rows ``left`` with the rows ``right`` (indices) in different components that may link; ``home``: rows of ``right`` that meet ``left`` in both orders.
+def _chosen(a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are among the ``limit`` of their ``a`` that come first by a hash of the pair, and whether their ``a`` has more."""
+    mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    order = np.lexsort((mixed, a))
+    start = np.r_[True, a[order][1:] != a[order][:-1]][: len(a)]
+    run = np.cumsum(start) - 1
+    first = np.flatnonzero(start)
+    size = np.diff(np.r_[first, len(a)])
+    nth, more = np.empty(len(a), dtype=np.int64), np.empty(len(a), dtype=bool)
+    nth[order], more[order] = np.arange(len(a)) - first[run], size[run] > limit
+    return nth < limit, more
+
+
+def _pairs_between(n, comp, wide, left, right, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Pairs of the rows ``left`` with the rows ``right`` (indices) in different components that may link, by way of ``chosen``.
 
     Rows of the component that most of them are in are compared with the other components' only. All pairs are
     bounded by signatures folded to a quarter, and those that pass by the whole ones.
@@ -187,7 +206,7 @@ def _pairs_between(row, n, comp, wide, left, right, home) -> tuple[np.ndarray, n
         sig = sig[:, : sig.shape[1] // 2] | sig[:, sig.shape[1] // 2 :]
     _, code, count = np.unique(comp, return_inverse=True, return_counts=True)
     main = code == count.argmax()
-    out = [np.zeros((2, 0), dtype=np.int64)]
+    out = [np.zeros((3, 0), dtype=np.int64)]
     for some, others in ((left[~main[left]], right), (left[main[left]], right[~main[right]])):
         if not len(some) or not len(others):
             continue
@@ -195,16 +214,13 @@ def _pairs_between(row, n, comp, wide, left, right, home) -> tuple[np.ndarray, n
         for k in range(0, len(some), step):
             i = some[k : k + step]
             differing = np.bitwise_count(sig[i][:, None, :] ^ sig[others][None, :, :]).sum(2, dtype=np.int64)
-            ok = (code[i][:, None] != code[others][None, :]) & may_link(n[i][:, None], n[others][None, :], differing)
-            ok &= ~home[others][None, :] | (row[i][:, None] < row[others][None, :])
-            x, y = np.nonzero(ok)
+            x, y = np.nonzero((code[i][:, None] != code[others][None, :]) & may_link(n[i][:, None], n[others][None, :], differing))
             if len(x) and sig is not wide:
                 narrow = np.concatenate([np.bitwise_count(wide[i[x[s : s + 8192]]] ^ wide[others[y[s : s + 8192]]]).sum(1, dtype=np.int64) for s in range(0, len(x), 8192)])
                 passed = may_link(n[i[x]], n[others[y]], narrow)
                 x, y = x[passed], y[passed]
-            out.append(np.stack([row[i[x]], row[others[y]]]))
-    a, b = np.concatenate(out, axis=1)
-    return np.minimum(a, b), np.maximum(a, b)
+            out.append(chosen(i[x], others[y]))
+    return np.concatenate(out, axis=1)
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -212,65 +228,87 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(n) / np.log(100 / LINK) + 1e-9).astype(np.int64)
 
 
-def tile_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, marks: list[bytes], left: np.ndarray | None = None, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile in different components that may link.
+def _tested_keys(row: np.ndarray, tested: np.ndarray) -> np.ndarray:
+    """``i * len(row) + j`` of the pairs of a tile's rows (indices) that were tested before: ``tested`` has a list of other rows, or None, for each."""
+    lists = [np.zeros(0, dtype=np.int64) if t is None else np.asarray(t, dtype=np.int64) for t in tested]
+    others, i = np.concatenate(lists), np.repeat(np.arange(len(row)), [len(t) for t in lists])
+    order = np.argsort(row, kind="stable")
+    at = np.minimum(np.searchsorted(row[order], others), len(row) - 1)
+    here = row[order][at] == others
+    return np.unique(i[here] * len(row) + order[at[here]])
+
+
+def tile_pairs(row: np.ndarray, n: np.ndarray, comp: np.ndarray, marks: list[bytes], tested: np.ndarray, limit: int, left: np.ndarray | None = None, home: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of a tile in different components that may link and weren't tested, ``limit`` a row, and whether a row had more.
 
     With ``left`` and ``home`` it is a part of a band: rows given as left with the others, of which those of the band
     are at home. Without, it is all of a hash, whose bands each meet themselves and the next.
     """
 
-    def between(i: np.ndarray, j: np.ndarray, home_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def between(i: np.ndarray, j: np.ndarray, home_: np.ndarray) -> np.ndarray:
         used = np.union1d(i, j)
         bits = 8 * min(len(marks[k]) for k in used)
         wide = np.stack([folded(np.frombuffer(marks[k], dtype=np.uint64), bits) for k in used])
-        at = lambda k: np.searchsorted(used, k)
-        return _pairs_between(row[used], n[used], comp[used], wide, at(i), at(j), home_[used])
+        known = _tested_keys(row[used], tested[used])
+
+        def chosen(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            a, b = row[used[x]], row[used[y]]
+            # rows of the band meet in both orders
+            new = (~home_[used[y]] | (a < b)) & ~np.isin(x * len(used) + y, known)
+            a, b = a[new], b[new]
+            some, more = _chosen(a, b, limit)
+            return np.stack([np.minimum(a, b), np.maximum(a, b), more])[:, some]
+
+        return _pairs_between(n[used], comp[used], wide, np.searchsorted(used, i), np.searchsorted(used, j), chosen)
 
     if left is not None:
         return between(np.flatnonzero(left), np.flatnonzero(~left), home)
     level = _level(n)
-    found = [between(np.flatnonzero(level == b), np.flatnonzero((level == b) | (level == b + 1)), level == b) for b in np.unique(level)]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return np.concatenate([between(np.flatnonzero(level == b), np.flatnonzero((level == b) | (level == b + 1)), level == b) for b in np.unique(level)], axis=1)
 
 
 _TILE_KEY = ["h", "band", "i", "j"]
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``tile_pairs`` of each tile; rows come sorted by tile. A tile's rows are held together, up to four times TILE on average."""
-    held: list[list[np.ndarray]] = []
-    made: list[np.ndarray] = []
-    at = None
 
-    def done() -> None:
-        rep, n, comp, mark, left, home = (np.concatenate(x) for x in zip(*held, strict=True))
-        whole = at[1] < 0
-        made.append(np.stack(tile_pairs(rep, n, comp, list(mark), None if whole else left.astype(bool), None if whole else home.astype(bool))))
-        held.clear()
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        made: list[np.ndarray] = []
+        at = None
 
-    def out() -> pa.RecordBatch:
-        a, b = np.unique(np.concatenate([*made, np.zeros((2, 0), dtype=np.int64)], axis=1), axis=1)
-        made.clear()
-        return pa.RecordBatch.from_pydict({"a": a, "b": b})
+        def done() -> None:
+            rep, n, comp, mark, tested, left, home = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = at[1] < 0
+            made.append(tile_pairs(rep, n, comp, list(mark), tested, limit, None if whole else left.astype(bool), None if whole else home.astype(bool)))
+            held.clear()
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        key = np.stack([column[c].astype(np.int64) for c in _TILE_KEY], axis=1)
-        starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
-        values = [column[c] for c in ("rep", "n", "comp", "mark", "left", "home")]
-        for i, j in zip(starts[:-1], starts[1:], strict=True):
-            now = tuple(key[i])
-            if held and now != at:
-                done()
-                if sum(x.shape[1] for x in made) > OUT_PAIRS:
-                    yield out()
-            at = now
-            held.append([v[i:j] for v in values])
-    if held:
-        done()
-    yield out()
+        def out() -> pa.RecordBatch:
+            a, b, more = np.unique(np.concatenate([*made, np.zeros((3, 0), dtype=np.int64)], axis=1), axis=1)
+            made.clear()
+            return pa.RecordBatch.from_pydict({"a": a, "b": b, "more": more})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            key = np.stack([column[c].astype(np.int64) for c in _TILE_KEY], axis=1)
+            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
+            values = [column[c] for c in ("rep", "n", "comp", "mark", "tested", "left", "home")]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                now = tuple(key[i])
+                if held and now != at:
+                    done()
+                    if sum(x.shape[1] for x in made) > OUT_PAIRS:
+                        yield out()
+                at = now
+                held.append([v[i:j] for v in values])
+        if held:
+            done()
+        yield out()
+
+    return tiles
 
 
 def _parts(df: DataFrame) -> int:
@@ -285,7 +323,7 @@ def _first_pass(prefix: DataFrame) -> DataFrame:
 
 def _dealt(entries: DataFrame) -> DataFrame:
     """The rows of tiles: those of a hash together, or those of a hash with more than TILE of them dealt out by band and part."""
-    columns = ["rep", "n", "comp", "mark"]
+    columns = ["rep", "n", "comp", "mark", "tested"]
     zero, none = F.lit(0), F.lit(False)
     whole = entries.filter(F.col("kinds") <= TILE).select("h", F.lit(-1).cast("long").alias("band"), zero.alias("i"), zero.alias("j"), none.alias("left"), none.alias("home"), *columns)
     # a band's tile has its own rows and those of the next band
@@ -300,16 +338,26 @@ def _dealt(entries: DataFrame) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def _second_pass(prefix: DataFrame, component: DataFrame, full: DataFrame) -> DataFrame:
-    """Pairs that share a prefix hash and may link, of different components."""
-    now = prefix.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+def _second_pass(prefix: DataFrame, component: DataFrame, full: DataFrame, tested: DataFrame, limit: int, first: bool) -> DataFrame:
+    """Pairs (a, b) that share a prefix hash and may link, of different components, and whether a kind had more than ``limit`` of them in a tile."""
+    label = component.select(F.col("node").alias("rep"), "component")
+    now = prefix.join(label, "rep", "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     of_hash = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("kinds")).filter("lo <> hi").select("h", "kinds")
     open_ = written(now.join(of_hash, "h"), "open-prefixes")
-    few = open_.filter(F.col("kinds") <= FEW).repartition(_parts(prefix), "h").sortWithinPartitions("h", "rep").mapInArrow(_within(FEW - 1), "a long, b long")
-    many = _dealt(open_.filter(F.col("kinds") > FEW).join(full.select("rep", "mark"), "rep"))
-    many = many.repartition(_parts(prefix), *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(_tiles, "a long, b long")
-    found = written(few.unionByName(many).distinct(), "tile-pairs")
-    released(open_)
+    hot = open_.filter(F.col("kinds") > FEW)
+    if first:
+        hot = hot.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("h"))).filter(F.col("nth") <= FIRST_HASHES)
+    # of tested pairs, those of one component don't come up any more
+    ends = [label.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    apart = tested.select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    apart = apart.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(apart.select("b", "a")).groupBy("rep").agg(F.collect_list("other").alias("tested"))
+    marks = written(full.select("rep", "mark").join(apart, "rep", "left"), "marks")
+    many = _dealt(hot.join(marks, "rep")).repartition(_parts(prefix), *_TILE_KEY).sortWithinPartitions(*_TILE_KEY).mapInArrow(_tiles(limit), "a long, b long, more long")
+    if first:
+        few = open_.filter(F.col("kinds") <= FEW).repartition(_parts(prefix), "h").sortWithinPartitions("h", "rep").mapInArrow(_within(FEW - 1), "a long, b long")
+        many = many.unionByName(few.join(tested, ["a", "b"], "left_anti").withColumn("more", F.lit(0).cast("long")))
+    found = written(many.groupBy("a", "b").agg(F.max("more").alias("more")), "tile-pairs")
+    released(open_, marks)
     return found
 
 
@@ -340,13 +388,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = shared.withColumns({"place": F.row_number().over(of_kind.orderBy("df", "h")), "n_shared": F.count("*").over(of_kind)})
     prefix = written(shared.filter(F.col("place") + F.col("n") - F.col("n_shared") <= _allowed(F.col("n")) + 1).select("h", "rep", "n"), "prefixes")
     released(sets, held, left)
-    near = written(_first_pass(prefix), "neighbours")
-    first = verified(near, full)
-    component = written(connected_components(first), "components")
-    further = _second_pass(prefix, component, full)
-    second = verified(further.join(near, ["a", "b"], "left_anti"), full)
-    component = written(connected_components(first.union(second)), "components")
-    released(near, further, full, prefix)
+    tested = written(_first_pass(prefix), "neighbours")
+    links, limit, first = verified(tested, full), PARTNERS, True
+    while True:
+        component = written(connected_components(links), "components")
+        found = _second_pass(prefix, component, full, tested, limit, first)
+        more = first or not found.filter("more = 1").isEmpty()
+        if not found.isEmpty():
+            links, tested = links.union(verified(found.select("a", "b"), full)), tested.select("a", "b").union(found.select("a", "b"))
+        if not more:
+            break
+        limit, first = limit if first else 16 * limit, False
+    component = written(connected_components(links), "components")
+    released(full, prefix)
     labelled = kinds.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("n", "sig1", "sig2", "least", F.coalesce("component", "rep").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     labelled = written(labelled.join(least, "label").select("n", "sig1", "sig2", "label", "component_id"), "labelled")
