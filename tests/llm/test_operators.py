@@ -136,10 +136,27 @@ def test_lines_against_plain_version(spark):
     pool = [f"Line number {i} of a common pool" for i in range(6)] + ["short", "", "  LINE number 1 of a common POOL \t"]
     texts = {i: "\n".join(rng.choice(pool, rng.integers(0, 8))) or None for i in range(60)}
     d = docs(spark, *texts.values(), ids=list(texts))
-    got = {r.doc_id: r._kept for r in line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).collect()}
+    got = {r.row.doc_id: r.kept_text for r in line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).collect()}
     assert got == kept_lines(texts)
 
 
+def test_texts_of_one_id_keep_their_own_lines(spark):
+    line = "a line that four documents hold"
+    rows = [(1, f"{line}\nx", "mine"), (1, "precious unique content\nx", "mine"), (2, line, "mine"), (3, line, "mine"), (None, line, "mine")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept_text string")
+    got = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).collect()
+    assert sorted((r.row.doc_id or 0, r.kept_text) for r in got) == [(0, line), (1, "precious unique content\nx"), (1, "x"), (2, ""), (3, line)]
+    assert {r.row.kept_text for r in got} == {"mine"}
+
+
+def test_lines_across_range_partitions(spark, monkeypatch):
+    """One key in all documents, streamed in many partitions."""
+    monkeypatch.setattr(line_dedup, "PARTITION_ROWS", 7)
+    texts = {i: f"the same line in each of them\nan own line of number {i}" for i in range(100)}
+    d = docs(spark, *texts.values(), ids=list(texts))
+    assert {r.row.doc_id: r.kept_text for r in line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).collect()} == kept_lines(texts)
+
+
 def test_jaccard_against_brute_force(spark):
     rng = np.random.default_rng(7)
     base = [list(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(6)]
@@ -163,9 +180,33 @@ def test_jaccard_against_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i + 1: (len(sets[i]), label[i]) for i in range(len(texts))}
 
 
+def surrogates(spark, texts):
+    """Rows of the operator, text being the new one, by id."""
+    return {r.doc_id: r for r in pii.pseudonymise(docs(spark, *texts), "k").select("row.doc_id", F.col("new_text").alias("text"), "n_entities").collect()}
+
+
+def test_users_columns_are_kept_under_any_name(spark):
+    odd = spark.createDataFrame([(1, "mail a@b.org", "mine", "x"), (None, "mail a@b.org", "yours", "y")], "doc_id long, text string, entities string, attempts string")
+    rows = pii.pseudonymise(odd, "k").collect()
+    assert sorted((r.row.entities, r.row.attempts) for r in rows) == [("mine", "x"), ("yours", "y")]
+    assert len({r.new_text for r in rows}) == 1 and all("a@b.org" not in r.new_text for r in rows)
+
+
+def test_tokens_accounts_and_addresses(spark):
+    texts = ["key sk-abcdefghijklmnopqrstuvwx end", "pay DE89 3704 0044 0532 0130 00 now", "pay DE89370400440532013000 now", "host 2001:db8:0:1:1:1:1:1 and fe80::a1 up", "ratio 12:30 and std::vector"]
+    got = surrogates(spark, texts)
+    assert "abcdefghijkl" not in got[1].text and got[1].text.startswith("key sk-")
+    iban = re.search(r"DE[0-9 ]+[0-9]", got[2].text).group()
+    assert [len(x) for x in iban.split()] == [4, 4, 4, 4, 4, 2] and got[3].text == f"pay {iban.replace(' ', '')} now" and "3704" not in iban
+    plain = iban.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[4].n_entities == 2 and "2001:db8" not in got[4].text and "fe80" not in got[4].text
+    assert got[5].text == texts[4]
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     texts = ("Write to Anna.Smith@corp.org or call +49 170 555 1234.", "anna.smith@CORP.org again, card 4539 1488 0343 6467", "Herr Weber met Anna Fischer", "nothing here", None)
-    rows = {r.doc_id: r for r in pii.pseudonymise(docs(spark, *texts), "k").collect()}
+    rows = surrogates(spark, texts)
     mail = [re.search(r"\S+@\S+\b", rows[i].text).group().lower() for i in (1, 2)]
     assert mail[0] == mail[1] != "anna.smith@corp.org"
     card = re.sub(r"\D", "", rows[2].text)[-16:]
@@ -178,7 +219,7 @@ def test_surrogates_are_consistent_and_distinct(spark):
 def test_parts_of_a_name_and_forms_of_a_number_agree(spark):
     names = ["Mr. Smith", *(f"{n} Smith" for n in pii.MALE), *(f"Dr. {n} Smith" for n in ("Foo", "Bar"))]
     phones = ["+1 555 123 4567", "+15551234567", "+49 170 555 1234"]
-    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, *names, *phones), "k").collect()}
+    got = {i: r.text for i, r in surrogates(spark, [*names, *phones]).items()}
     new = [got[i] for i in range(1, len(names) + 1)]
     assert len({n.split()[-1] for n in new}) == 1 and len(set(new)) == len(names) and not set(new) & set(names)
     assert {n.split()[0] for n in new[1:21]} == set(pii.MALE) and all(a.split()[0] != b.split()[0] for a, b in zip(new[1:21], names[1:21], strict=True))
@@ -190,7 +231,7 @@ def test_full_forms_are_widened(spark):
     names = [f"Mr. {n}" for n in pii.MALE] + [f"Frau {n}" for n in pii.FEMALE[:12]] + ["Paul Martin", "Herr Martin"]
     mails = [f"{c}@a{i}.org" for c in "jk" for i in range(50)]
     texts = names + mails
-    got = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, *texts), "k").collect()}
+    got = {i: r.text for i, r in surrogates(spark, texts).items()}
     new = [got[i] for i in range(1, len(texts) + 1)]
     of = dict(zip(texts, new, strict=True))
     assert of["Paul Martin"].split()[-1] == of["Herr Martin"].split()[-1] == of["Mr. Martin"].split()[-1]
@@ -198,6 +239,40 @@ def test_full_forms_are_widened(spark):
     assert sum(of[n].split()[-1] in pii.FEMALE[12:] for n in names[20:32]) == 8
 
 
+def test_keep_one_goes_by_rows(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a.replace("a59", "other")
+    rows = [(1, a, "p"), (5, near, "q"), (5, b, "r"), (5, b, "r"), (None, a, "s"), (None, "c d e f g h", "t"), (None, None, "u"), (7, None, "v"), (7, "", "w")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = sorted(r.label for r in ngram_join.keep_one(d).collect())
+    assert got == ["p", "r", "t", "u", "v", "w"]
+
+
+def test_jaccard_of_a_large_group_and_long_texts(spark, monkeypatch):
+    """More kinds of a hash than a tile takes, few partners at a time, and links at and about the threshold."""
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 1)
+    monkeypatch.setattr(ngram_join, "ORDERS", 1)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for _ in range(rng.integers(1, 6)):
+            w[rng.integers(len(w))] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(w[: rng.integers(60, 120)]))
+    long = [f"l{i}" for i in range(9000)]
+    texts += [" ".join(long), " ".join(long[:6800]), " ".join(long[:6700])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(1, len(texts) + 1))
+    for _ in range(20):
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+    got = ngram_join.near_duplicates(docs(spark, *texts)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i + 1: label[i] for i in range(len(texts))} and len(set(label)) > 2
+
+
 def test_mix_meets_targets_and_grows_nested(spark):
     rows = [(i, "w " * (1 + i % 7), "abc"[i % 3] if i % 10 else None) for i in range(600)]
     found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
@@ -223,6 +298,55 @@ def test_chat_windows_read_back(spark):
     assert later and all(w.text.startswith("### system: be kind</turn>") for w in later)
 
 
+def test_windows_keep_the_budget(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, 0, "system", "s " * size) for c, size in ((1, 10), (2, 300), (3, 600))]
+    rows += [(c, i, ("user", "assistant")[i % 2], "w " * int(rng.integers(1, 260))) for c in (1, 2, 3, 4) for i in range(1, 60)]
+    rows += [(5, 1, "user", "w " * 900), (5, 2, "assistant", "w " * 900), (None, 1, "user", "a"), (None, None, "assistant", "b"), (None, None, "assistant", "b")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat_windows.chat_windows(chats).collect()
+    size = lambda w: sum(len(t.partition(": ")[2].split()) + chat_windows.MARKS for t in w.text.split(chat_windows.END)[:-1])
+    for w in found:
+        assert size(w) <= chat_windows.BUDGET or w.n_turns - w.n_repeated == 1 and w.n_repeated <= 1 or w.window == 0
+    first = [w for w in found if w.window == 0 and size(w) > chat_windows.BUDGET]
+    assert {w.conv_id for w in first} <= {3, 5}
+    back = {r.conv_id: r for r in chat_windows.read_back(chat_windows.chat_windows(chats)).collect()}
+    assert [t.text for t in back[None].turns] == ["b", "b", "a"] and back[None].loss_text == "bb"
+
+
+def test_packing_costs_no_more_than_single_lengths():
+    rng = np.random.default_rng(6)
+    cost = lambda filled, lengths: sum(min(c for c in lengths if c >= f) + 16 for f in filled)
+    for lengths in ((256, 512, 1024), (100, 130, 400)):
+        for _ in range(20):
+            pieces = np.sort(rng.integers(1, lengths[-1], 60))[::-1]
+            _, _, capacity, filled = packing.pack_shard(pieces, lengths, 16)
+            singles = [cost(packing.best_fit(pieces.tolist(), o, lengths)[2], lengths) for o in lengths]
+            assert int(capacity.sum()) + 16 * len(filled) == cost(filled, lengths) <= min(singles) and filled.sum() == pieces.sum()
+
+
+def partitions(items):
+    """All partitions of a list."""
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+
+def test_packing_of_few_pieces_is_near_the_optimum():
+    rng = np.random.default_rng(8)
+    lengths, whole, best = (10, 16, 30), 0, 0
+    for _ in range(25):
+        pieces = np.sort(rng.integers(1, 30, 6))[::-1]
+        _, _, capacity, filled = packing.pack_shard(pieces, lengths, 2)
+        whole += int(capacity.sum()) + 2 * len(filled)
+        best += min(sum(min(c for c in lengths if c >= sum(b)) + 2 for b in bins) for bins in partitions(pieces.tolist()) if all(sum(b) <= 30 for b in bins))
+    assert best <= whole <= 1.06 * best
+
+
 def test_components_against_brute_force(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 130)]
@@ -239,5 +363,5 @@ def test_bitmap_is_of_a_documents_lines(spark):
     d = docs(spark, f"x\n{line}", f"{line}\ny", line)
     kept = {r.doc_id: r.n_dropped for r in line_dedup.keep_bitmaps(d).collect()}
     assert kept == {1: 1, 2: 1}
-    got = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).select("doc_id", F.sha2("_kept", 256).alias("h")).collect()
+    got = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).select("row.doc_id", F.sha2("kept_text", 256).alias("h")).collect()
     assert {r.doc_id: r.h for r in got}[1] == hashlib.sha256(b"x").hexdigest()

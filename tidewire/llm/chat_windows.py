@@ -1,10 +1,12 @@
 """Chat formatting in budgeted windows.
 
 Prefix sums of turn tokens place each turn on its conversation's axis; the axis is cut into windows of ``budget -
-history`` tokens, aligned to turns: a turn that crosses a cut is a window of its own, unless it is the conversation's
-first. Each later window starts with the leading system turn, where there is one, and the last turns before it that fit
-in ``history`` tokens. Loss spans cover the texts of the assistant's new turns only, so what is repeated is masked and
-each target is learned once.
+history`` tokens less those of the leading system turn, aligned to turns: a turn that crosses a cut is a window of its
+own, unless it is the conversation's first. Each later window starts with the leading system turn, where there is one,
+and the last turns before it that fit in ``history`` tokens and in what its own turns leave of the budget. No window of
+several new turns is longer than the budget; one of a single new turn is, where that turn and the system turn alone
+are. Loss spans cover the texts of the assistant's new turns only, so what is repeated is masked and each target is
+learned once.
 
 A turn is formatted as ``### role: text</turn>`` and a line break. In texts and roles ``\\``, ``#`` and ``<`` are
 written ``\\b``, ``\\h`` and ``\\l`` (and ``:`` in roles ``\\c``), so no text can hold a control string, and all of it
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import words
 
-#: Tokens (words) of a window without its system turn, and of repeated turns in it.
+#: Tokens (words and ``MARKS`` a turn) of a window, and of repeated turns in it.
 BUDGET, HISTORY = 512, 128
 #: Tokens that a turn's marks count as.
 MARKS = 4
@@ -55,7 +57,10 @@ def _header(role: Column) -> Column:
 
 
 def placed_turns(conversations: DataFrame, stride: int) -> DataFrame:
-    """conv_id, role, text, n (tokens), pos (tokens before, -1 for the leading system turn) and the window v."""
+    """conv_id, role, text, n (tokens), pos (tokens before, -1 for the leading system turn), lead_n (tokens of that), stride (of the conversation) and the window v.
+
+    ``stride``: tokens of a window's new turns where no system turn leads.
+    """
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumns({"n": (F.size(words(F.col("text"))) + MARKS).cast("long"), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))})
     here = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -72,11 +77,12 @@ def placed_turns(conversations: DataFrame, stride: int) -> DataFrame:
     turns = turns.join(blocks, turns["conv_id"].eqNullSafe(blocks["b_conv"]) & (turns["block"] == blocks["b_block"]))
     system = F.col("lead.role") == "system"
     leading = system & F.col("first_block") & (F.col("nth") == 1)
-    pos = F.col("offset") + F.col("sum") - F.col("n") - F.when(system, F.col("lead.n")).otherwise(0)
-    turns = turns.withColumn("pos", F.when(leading, F.lit(-1)).otherwise(pos).cast("long"))
-    w = F.floor(F.col("pos") / stride)
-    v = F.when(F.col("pos") <= 0, F.lit(0)).otherwise(2 * w + F.when(F.col("pos") + F.col("n") > (w + 1) * stride, 1).otherwise(0))
-    return turns.select("conv_id", "role", "text", "n", "pos", v.cast("long").alias("v"))
+    lead_n = F.when(system, F.col("lead.n")).otherwise(0)
+    pos = F.col("offset") + F.col("sum") - F.col("n") - lead_n
+    turns = turns.withColumns({"pos": F.when(leading, F.lit(-1)).otherwise(pos).cast("long"), "lead_n": lead_n.cast("long"), "stride": F.greatest(F.lit(1), stride - lead_n).cast("long")})
+    w = F.floor(F.col("pos") / F.col("stride"))
+    v = F.when(F.col("pos") <= 0, F.lit(0)).otherwise(2 * w + F.when(F.col("pos") + F.col("n") > (w + 1) * F.col("stride"), 1).otherwise(0))
+    return turns.select("conv_id", "role", "text", "n", "pos", "lead_n", "stride", v.cast("long").alias("v"))
 
 
 def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -87,13 +93,13 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int =
     turns = placed_turns(conversations, stride)
     turn = lambda kind: F.struct(F.lit(kind).alias("kind"), "pos", "role", "text").alias("turn")
     new = turns.select("conv_id", "v", turn(2))
-    later = turns.filter("v > 0").groupBy(F.col("conv_id").alias("w_conv"), F.col("v").alias("w_v")).agg(F.min("pos").alias("start"))
+    later = turns.filter("v > 0").groupBy(F.col("conv_id").alias("w_conv"), F.col("v").alias("w_v")).agg(F.min("pos").alias("start"), F.least(F.lit(history), F.greatest(F.lit(0), budget - F.max("lead_n") - F.sum("n"))).alias("room"))
     # repeated turns start at most `history` tokens before the window, so they are in few strides of the axis
     bucket = lambda at: F.floor(at / stride)
     near = later.withColumn("w_bucket", F.explode(F.sequence(bucket(F.greatest(F.col("start") - history, F.lit(0))), bucket(F.col("start") - 1))))
     plain = turns.filter("pos >= 0").withColumn("bucket", bucket(F.col("pos")))
     same = lambda a, b: a["conv_id"].eqNullSafe(b["w_conv"])
-    repeated = plain.join(near, same(plain, near) & (plain["bucket"] == near["w_bucket"])).filter((F.col("pos") >= F.col("start") - history) & (F.col("pos") + F.col("n") <= F.col("start")))
+    repeated = plain.join(near, same(plain, near) & (plain["bucket"] == near["w_bucket"])).filter((F.col("pos") >= F.col("start") - F.col("room")) & (F.col("pos") + F.col("n") <= F.col("start")))
     leading = turns.filter("pos = -1")
     system = leading.join(later, same(leading, later))
     members = new.unionByName(repeated.select("conv_id", F.col("w_v").alias("v"), turn(1))).unionByName(system.select("conv_id", F.col("w_v").alias("v"), turn(0)))

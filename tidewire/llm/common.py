@@ -89,6 +89,7 @@ BROADCAST_BYTES = 32 << 20
 
 def if_small(table_: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``table_``, a written table, to be broadcast where its rows take at most ``limit`` bytes; else Spark decides."""
-    texts = [F.sum(F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))) for c, kind in table_.dtypes if kind in ("string", "binary")]
+    plain = lambda c, kind: F.to_json(F.col(f"`{c}`")) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`")
+    texts = [F.sum(F.coalesce(F.octet_length(plain(c, kind)), F.lit(0))) for c, kind in table_.dtypes if kind.startswith(("string", "binary", "array", "map", "struct"))]
     rows, *lengths = table_.agg(F.count("*"), *texts).first()
     return F.broadcast(table_) if rows * 16 * len(table_.columns) + sum(x or 0 for x in lengths) <= limit else table_

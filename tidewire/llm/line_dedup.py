@@ -12,8 +12,8 @@ that ``min_docs`` documents or more hold lose all their lines but those in the l
 
 Defined cases: a null or empty text is one empty line and is kept as such; a line that repeats within a document
 counts as one document and is kept or dropped as a whole; a null document id loses and holds nothing; rows with equal
-ids are one document to the counts and each keeps or loses the lines at the positions decided for the id; an empty
-table gives an empty result; further columns are ignored, or kept by ``apply_bitmaps``.
+ids are one document to the counts, but each text of an id has a bitmap of its own; an empty table gives an empty
+result; further columns are ignored, or kept in the struct ``row`` of ``apply_bitmaps``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from tidewire.llm.common import lines, lower_ascii, written
+from tidewire.llm.common import if_small, lines, lower_ascii, written
 
 #: Rows of a range partition, on average (40 bytes each).
 PARTITION_ROWS = 500_000
@@ -40,23 +40,23 @@ def line_key(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """h1, h2, doc_id, pos for every line whose key is long enough."""
+    """h1, h2, doc_id, text (a hash of the whole text) and pos for every line whose key is long enough."""
     # long enough lines only can have long enough keys
-    found = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(lines(F.col(text_col))).alias("pos", "line")).filter(F.length("line") >= min_chars)
-    found = found.select("doc_id", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
-    return found.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "pos")
+    found = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text"), F.posexplode(lines(F.col(text_col))).alias("pos", "line")).filter(F.length("line") >= min_chars)
+    found = found.select("doc_id", "text", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
+    return found.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "text", "pos")
 
 
-_STREAMED = "doc_id long, pos int, open boolean, h1 long, h2 long"
+_STREAMED = "doc_id long, text long, pos int, open boolean, h1 long, h2 long"
 
 
 def stream_runs(min_docs: int):
     """The pass over a sorted partition: yields rows that are dropped for sure, and those of its first and last run as open."""
 
-    def out(doc, pos, open_, h1, h2) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"doc_id": doc.astype(np.int64), "pos": pos.astype(np.int32), "open": np.full(len(doc), open_), "h1": h1.astype(np.int64), "h2": h2.astype(np.int64)})
+    def out(doc, text, pos, open_, h1, h2) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"doc_id": doc.astype(np.int64), "text": text.astype(np.int64), "pos": pos.astype(np.int32), "open": np.full(len(doc), open_), "h1": h1.astype(np.int64), "h2": h2.astype(np.int64)})
 
-    def decided(h1, h2, doc, pos) -> pa.RecordBatch:
+    def decided(h1, h2, doc, text, pos) -> pa.RecordBatch:
         """Rows of whole runs, of which some aren't the first in the partition and none is the last."""
         new_run = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         new_doc = new_run | np.r_[True, doc[1:] != doc[:-1]]
@@ -64,22 +64,22 @@ def stream_runs(min_docs: int):
         first_doc = nth[new_run]
         docs_in_run = np.r_[first_doc[1:], nth[-1] + 1] - first_doc
         lost = (docs_in_run[run] >= min_docs) & (nth > first_doc[run])
-        return out(doc[lost], pos[lost], False, h1[lost], h2[lost])
+        return out(doc[lost], text[lost], pos[lost], False, h1[lost], h2[lost])
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of the run that isn't over, unless it is the first
         at, first = None, True
         for batch in batches:
-            h1, h2, doc, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h1", "h2", "doc_id", "pos"))
+            h1, h2, doc, text, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("h1", "h2", "doc_id", "text", "pos"))
             if not len(h1):
                 continue
             starts = np.flatnonzero(np.r_[(h1[0], h2[0]) != at, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            part = lambda i, j: (h1[i:j], h2[i:j], doc[i:j], pos[i:j])  # noqa: E731, B023
+            part = lambda i, j: (h1[i:j], h2[i:j], doc[i:j], text[i:j], pos[i:j])  # noqa: E731, B023
             head = starts[0] if len(starts) else len(h1)
             if at is None:
                 head = starts[1] if len(starts) > 1 else len(h1)
             if first and head:  # the first run goes on
-                yield out(doc[:head], pos[:head], True, h1[:head], h2[:head])
+                yield out(doc[:head], text[:head], pos[:head], True, h1[:head], h2[:head])
             elif head:
                 held.append(part(0, head))
             tail = starts[-1] if len(starts) and starts[-1] >= head else None
@@ -90,25 +90,24 @@ def stream_runs(min_docs: int):
                     yield decided(*joined)
                 held, first = [part(tail, len(h1))], False
             at = (h1[-1], h2[-1])
-        for h1, h2, doc, pos in held:
-            yield out(doc, pos, True, h1, h2)
+        for h1, h2, doc, text, pos in held:
+            yield out(doc, text, pos, True, h1, h2)
 
     return streamed
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, pos of every line that is lost."""
+    """doc_id, text (a hash of the whole text) and pos of every line that is lost."""
     rows = written(line_rows(docs, min_chars, id_col, text_col), "line-hashes")
     parts = max(1, -(-rows.count() // PARTITION_ROWS))
     parts = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["h1", "h2", F.col("doc_id").desc(), "pos"]
+    order = ["h1", "h2", F.col("doc_id").desc(), "text", "pos"]
     streamed = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(stream_runs(min_docs), _STREAMED), "streamed-lines")
     open_ = streamed.filter("open")
     by_doc = open_.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     runs = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).filter(F.col("docs") >= min_docs)
-    # at most two runs a partition, whatever the input: a broadcast of a proven size
-    lost = open_.join(F.broadcast(runs), ["h1", "h2"]).filter("doc_id <> keeper")
-    return streamed.filter("not open").select("doc_id", "pos").unionByName(lost.select("doc_id", "pos"))
+    lost = open_.join(if_small(written(runs, "open-runs")), ["h1", "h2"]).filter("doc_id <> keeper")
+    return streamed.filter("not open").select("doc_id", "text", "pos").unionByName(lost.select("doc_id", "text", "pos"))
 
 
 @F.pandas_udf(BinaryType())
@@ -122,9 +121,9 @@ def _bitmap(n_lines: pd.Series, dropped: pd.Series) -> pd.Series:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped, keep (zlib-compressed bits, first line first) for each document that loses a line."""
-    lost = dropped_lines(docs, min_chars, min_docs, id_col, text_col).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
-    return lost.select("doc_id", F.size("lost").cast("long").alias("n_dropped"), _bitmap(F.element_at("lost", -1) + 1, "lost").alias("keep"))
+    """doc_id, text (a hash of the whole text), n_dropped and keep (zlib-compressed bits, first line first) for each text of a document that loses a line."""
+    lost = dropped_lines(docs, min_chars, min_docs, id_col, text_col).groupBy("doc_id", "text").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
+    return lost.select("doc_id", "text", F.size("lost").cast("long").alias("n_dropped"), _bitmap(F.element_at("lost", -1) + 1, "lost").alias("keep"))
 
 
 @F.pandas_udf(StringType())
@@ -141,7 +140,13 @@ def _kept_text(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns, the kept lines as ``_kept`` and their number as ``_n_dropped``; Python gets the texts that lose a line only."""
-    own = docs.columns
-    joined = docs.join(bitmaps.select(F.struct("doc_id", "keep", "n_dropped").alias("_bits")), F.col(id_col) == F.col("_bits.doc_id"), "left")
-    return joined.withColumn("_n_dropped", F.coalesce("_bits.n_dropped", F.lit(0)).cast("long")).withColumn("_kept", F.when(F.col("_bits").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(_kept_text(F.when(F.col("_bits").isNotNull(), F.col(text_col)), "_bits.keep"))).select(*own, "_kept", "_n_dropped")
+    """row (a struct of a row's own columns), kept_text (its kept lines) and n_dropped; Python gets the texts that lose a line only.
+
+    Texts are shuffled only where the bitmaps are too large to be broadcast.
+    """
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("whole"))
+    bits = if_small(written(bitmaps, "bitmaps"))
+    joined = own.join(bits, (F.col("id") == F.col("doc_id")) & (F.xxhash64("whole") == F.col("text")), "left")
+    lost = F.col("keep").isNotNull()
+    kept = F.when(~lost, F.coalesce("whole", F.lit(""))).otherwise(_kept_text(F.when(lost, F.col("whole")), "keep"))
+    return joined.select("row", kept.alias("kept_text"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))

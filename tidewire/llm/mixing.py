@@ -118,8 +118,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def apply_mix(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the plan takes them, with their own columns. Texts aren't shuffled by more than the plan's size asks for."""
-    own = docs.columns
-    plan = plan.select(F.struct("source", "epochs", "below").alias("_plan"))
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("_plan.source")))
-    copies = F.col("_plan.epochs") + F.when(hash_place(F.col(id_col)) < F.col("_plan.below"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*own)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"))
+    joined = own.join(plan.select("source", "epochs", "below"), F.col("from").eqNullSafe(F.col("source")))
+    copies = F.col("epochs") + F.when(hash_place(F.col("id")) < F.col("below"), 1).otherwise(0)
+    return joined.select("row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select("row.*")

@@ -2,10 +2,12 @@
 
 Documents are cut into pieces of at most the largest permitted length; pieces of just that length are sequences of
 their own. The others are dealt to shards of bounded size and packed there, longest first, each into the open bin that
-it fills best. Which length a new bin opens with is decided jointly for the shard: each permitted length is tried as
-the opening length of all pieces that it holds (longer pieces open the next length that holds them), every bin is
-downsized to the least permitted length that holds its contents, and the trial of the least total cost wins. A bin
-costs its length and a fixed ``bin_cost``, in tokens.
+it fills best. Which length a new bin opens with is decided jointly for the shard. In the first trial each new bin is
+filled with the longest pieces left that fit, at each permitted length, and opens at the length that costs least a
+token that it takes; in one further trial a length, all pieces that it holds open with it (longer ones open the next
+length that holds them) and are placed best-fit. Every bin is downsized to the least permitted length that holds its
+contents, and the trial of the least total cost wins, so no single length would cost less. A bin costs its length and a
+fixed ``bin_cost``, in tokens.
 
 Shards are dealt by a hash of the row, so a hot source or a repeated row can't fill one, and their number grows with
 the rows; what is wasted at the end of a shard is less than a bin.
@@ -63,12 +65,50 @@ def best_fit(pieces: Sequence[int], opening: int, lengths: Sequence[int]) -> tup
     return bins, offsets, filled
 
 
+def least_cost(pieces: Sequence[int], lengths: Sequence[int], bin_cost: int) -> tuple[list[int], list[int], list[int]]:
+    """Packs ``pieces``, given longest first, as ``best_fit`` does, opening each bin at the length that costs least a token."""
+    queues: dict[int, list[int]] = {}
+    for k in range(len(pieces) - 1, -1, -1):
+        queues.setdefault(pieces[k], []).append(k)
+    sizes = sorted(queues)  # distinct lengths of the pieces left
+    bins, offsets, filled = [0] * len(pieces), [0] * len(pieces), []
+    while sizes:
+        best = None
+        for length in lengths:
+            if length < sizes[-1]:
+                continue
+            room, taken, used = length, [], 0
+            at = bisect.bisect_right(sizes, room) - 1
+            while at >= 0 and room:
+                times = min(len(queues[sizes[at]]), room // sizes[at])
+                if times:
+                    taken.append((sizes[at], times))
+                    room -= times * sizes[at]
+                    used += times * sizes[at]
+                at = min(at, bisect.bisect_right(sizes, room)) - 1
+            capacity = lengths[bisect.bisect_left(lengths, used)]
+            cost = (capacity + bin_cost) / used
+            if best is None or cost < best[0]:
+                best = cost, taken
+        at, bin_ = 0, len(filled)
+        for size, times in best[1]:
+            for _ in range(times):
+                k = queues[size].pop()
+                bins[k], offsets[k] = bin_, at
+                at += size
+            if not queues[size]:
+                del queues[size]
+                sizes.pop(bisect.bisect_left(sizes, size))
+        filled.append(at)
+    return bins, offsets, filled
+
+
 def pack_shard(pieces: np.ndarray, lengths: Sequence[int], bin_cost: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each piece, capacity and contents of each bin, at the least cost over all opening lengths."""
+    """Bin and offset of each piece, capacity and contents of each bin, at the least cost over all trials."""
     permitted = np.array(lengths)
-    best = None
-    for opening in lengths:
-        bins, offsets, filled = best_fit(pieces.tolist(), opening, lengths)
+    best, given = None, pieces.tolist()
+    for opening in (None, *lengths):
+        bins, offsets, filled = least_cost(given, lengths, bin_cost) if opening is None else best_fit(given, opening, lengths)
         capacity = permitted[np.searchsorted(permitted, filled)]
         cost = int(capacity.sum()) + bin_cost * len(filled)
         if best is None or cost < best[0]:
@@ -76,14 +116,14 @@ def pack_shard(pieces: np.ndarray, lengths: Sequence[int], bin_cost: int) -> tup
     return best[1:]
 
 
-def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, bin_cost: int = 16, id_col: str = "doc_id", tokens: Column | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, bin_cost: int = 16, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """A row for each piece: doc_id, piece (from 0), start and length in the document, bin_id, bin_capacity, bin_offset.
 
     ``tokens``: the number of tokens of a row; by default its words.
     """
     lengths = sorted(lengths)
     largest = lengths[-1]
-    tokens = F.size(words(F.col("text"))) if tokens is None else tokens
+    tokens = F.size(words(F.col(text_col))) if tokens is None else tokens
     rows = docs.select(F.col(id_col).alias("doc_id"), tokens.cast("long").alias("n")).filter("n > 0")
     # a written table keeps the row numbers, so tasks that run again deal out alike
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "token-counts")

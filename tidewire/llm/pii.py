@@ -1,7 +1,7 @@
 """Surrogates for personal data.
 
-Detected entities (e-mail addresses, telephone numbers, payment cards, IPv4 addresses, social security numbers, access
-tokens, and full or titled personal names) are replaced by surrogates of the same type and form, made from a keyed
+Detected entities (e-mail addresses, telephone numbers, payment cards, IBANs, IPv4 and IPv6 addresses, social security
+numbers, access tokens, and full or titled personal names) are replaced by surrogates of the same type and form, made from a keyed
 SHA-256 of the entity's canonical form: digits for digits, letters of the same script for letters, a valid check digit
 for a valid one, a first name of the same gender and script for a first name. Equal entities get equal surrogates in
 all documents, also where they are written in another form; a surname alone gets the surrogate of its full name's.
@@ -14,7 +14,7 @@ the corpus, so no name is. Attempts above zero are few, and are joined to the do
 
 Only Spark's own functions are used. Defined cases: null and empty texts have no entity and stay as they are; a null
 document id is an id; an entity that repeats counts once to the check and is replaced everywhere; an empty table gives
-an empty result; further columns are ignored by ``resolved`` and kept by ``pseudonymise``.
+an empty result; further columns are kept in the struct ``row`` of ``pseudonymise``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import written
+from tidewire.llm.common import if_small, released, written
 
 # First names by gender and script, and titles.
 FEMALE = ("Anna", "Maria", "Elena", "Laura", "Julia", "Sophie", "Emma", "Claire", "Marie", "Carmen", "Lucia", "Ingrid", "Helga", "Alice", "Susan", "Karen", "Linda", "Nancy", "Olivia", "Rachel")
@@ -38,6 +38,8 @@ LISTS = (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC)
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
     "card": r"(?<![\w.])(?:\d{4}[ -]?){3}\d{4}(?!\w)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
@@ -46,7 +48,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: Without one of these there is no entity; saves the longer pattern on most texts.
-HINT = r"[@0-9]|" + PATTERNS["name"]
+HINT = r"[@0-9]|::|sk-|gh[pousr]_|[a-f]{32}|[A-F]{32}|AKIA|" + PATTERNS["name"]
 
 
 def found(text: Column) -> Column:
@@ -66,7 +68,7 @@ def canonical(raw: Column) -> Column:
     """What makes two written forms one entity, after its type: digits of numbers (and a telephone number's plus), lower case otherwise."""
     k = kind(raw)
     digits = F.regexp_replace(raw, r"\D", "")
-    return F.concat(k, F.lit(":"), F.when(k.isin("card", "ssn"), digits).when(k == "phone", F.concat(F.regexp_extract(raw, r"^\+", 0), digits)).when(k.isin("ip", "token"), raw).otherwise(F.lower(raw)))
+    return F.concat(k, F.lit(":"), F.when(k.isin("card", "ssn"), digits).when(k == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(k == "phone", F.concat(F.regexp_extract(raw, r"^\+", 0), digits)).when(k.isin("ip", "token"), raw).otherwise(F.lower(raw)))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -115,17 +117,36 @@ def _luhn(digits: Column, new: Column) -> Column:
     return F.when(_luhn_sum(digits, 1) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(new)
 
 
-def _in_form(raw: Column, digits: Column) -> Column:
-    """``raw`` with its digits replaced by ``digits`` one by one."""
+def _in_form(raw: Column, digits: Column, what: str = r"^\d$") -> Column:
+    """``raw`` with its digits (or what else is named) replaced by ``digits`` one by one."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(a: Column, c: Column) -> Column:
-        digit = c.rlike(r"^\d$")
+        digit = c.rlike(what)
         return F.struct(F.concat(a["out"], F.when(digit, F.substr(digits, a["at"], F.lit(1))).otherwise(c)).alias("out"), (a["at"] + digit.cast("int")).alias("at"))
 
     return F.aggregate(F.split(raw, ""), start, step)["out"]
 
 
+def _mod_97(chars: Column) -> Column:
+    """Remainder of a string of digits and capitals as a number, letters being 10 to 35."""
+
+    def step(a: Column, c: Column) -> Column:
+        digit = c.rlike(r"^\d$")
+        return F.when(digit, a * 10 + F.coalesce(c.try_cast("int"), F.lit(0))).otherwise(a * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.split(chars, ""), F.lit(0), step)
+
+
+def _new_iban(plain: Column, stream: Column) -> Column:
+    """An IBAN of the same country and form, with valid check digits where ``plain`` has them."""
+    country = F.substring(plain, 1, 2)
+    account = _scrambled(F.substr(plain, F.lit(5)), stream)
+    valid = F.lpad((98 - _mod_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+    own = _mod_97(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4))) == 1
+    return F.concat(country, F.when(own, valid).otherwise(_new_digits(F.substring(plain, 3, 2), stream, F.lit(0))), account)
+
+
 def _keyed(key: str, names: tuple[str, ...]) -> list[str]:
     """``names`` in an order that the key decides."""
     return sorted(names, key=lambda n: hashlib.sha256(f"{key}|order|{n}".encode()).digest())
@@ -223,6 +244,8 @@ def surrogate(raw: Column, key: str, attempt: Column) -> Column:
     return (
         F.when(k == "email", email)
         .when(k == "ip", F.concat(F.concat_ws(".", *(octet(i) for i in range(4))), F.when(more > 0, F.concat(F.lit("."), longer)).otherwise("")))
+        .when(k == "ipv6", hexed)
+        .when(k == "iban", _in_form(raw, _new_iban(F.substring_index(c, ":", -1), stream), "^[0-9A-Z]$"))
         .when(k == "card", F.concat(_in_form(raw, _luhn(digits, _new_digits(digits, stream, F.lit(1)))), longer))
         .when(k == "phone", F.concat(_in_form(raw, _new_digits(digits, stream, country)), longer))
         .when(k == "ssn", F.concat(_in_form(raw, _new_digits(digits, stream, F.lit(0))), longer))
@@ -230,10 +253,18 @@ def surrogate(raw: Column, key: str, attempt: Column) -> Column:
     )
 
 
-def resolved(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """unit, form (its least written one), attempt and surrogate of every distinct unit, and the surrogates of listed last parts."""
-    distinct = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(found(F.col(text_col)), units)))).alias("u")).select("u.*").groupBy("unit").agg(F.min("form").alias("form"))
-    distinct = written(distinct, "units")
+def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """holder (a document's id) and units (struct<unit, form>, distinct) of each document that has an entity."""
+    entities = docs.select(F.col(id_col).alias("holder"), found(F.col(text_col)).alias("entities")).filter(F.size("entities") > 0)
+    return written(entities.select("holder", F.array_distinct(F.flatten(F.transform("entities", units))).alias("units")), "mentions")
+
+
+def resolved(held: DataFrame, key: str) -> tuple[DataFrame, dict[str, str]]:
+    """unit, form (its least written one), attempt and surrogate of every distinct unit of ``mentions``, and the surrogates of listed last parts."""
+    distinct = written(held.select(F.explode("units").alias("u")).select("u.*").groupBy("unit").agg(F.min("form").alias("form")), "units")
+    # a surrogate is much work for a row of few bytes, so rows are dealt out by number
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.repartition(parts, "unit")
     names = [n for names in LISTS for n in names]
     listed = listed_lasts({r.form for r in distinct.filter(F.col("unit").startswith("last:") & F.col("form").isin(*names)).collect()}, key)
 
@@ -246,7 +277,7 @@ def resolved(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFra
         first = F.concat(F.substring_index(unit, " ", 1), F.lit(" "), F.lower(new))
         return F.when(unit.startswith("last:"), _last_unit(new)).when(unit.startswith("first:"), first).otherwise(canonical(new))
 
-    table = written(distinct.withColumn("attempt", F.lit(0)).withColumn("surrogate", made(F.col("attempt"))), "surrogates")
+    table = written(dealt.withColumn("attempt", F.lit(0)).withColumn("surrogate", made(F.col("attempt"))), "surrogates")
     while True:
         keyed = table.withColumn("as_unit", as_unit())
         taken = keyed.groupBy("as_unit").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "unit"))["unit"].alias("winner")).filter("n > 1").select("as_unit", "winner")
@@ -261,15 +292,20 @@ def resolved(docs: DataFrame, key: str, text_col: str = "text") -> tuple[DataFra
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its own columns, surrogates in its texts, and ``_n_entities``."""
-    own = docs.columns
-    table, listed = resolved(docs, key, text_col)
-    retried = written(table.filter("attempt > 0").select("unit", "attempt"), "retried")
-    holders = docs.select(F.col(id_col).alias("_holder"), F.explode(F.array_distinct(F.flatten(F.transform(found(F.col(text_col)), units)))["unit"]).alias("unit"))
-    attempts = holders.join(retried, "unit").groupBy("_holder").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("_attempts"))
-    joined = docs.join(attempts, F.col(id_col).eqNullSafe(F.col("_holder")), "left").withColumn("_found", F.coalesce(found(F.col(text_col)), F.array().cast("array<string>")))
-    attempt = lambda unit: F.when(F.col("_attempts").isNull(), F.lit(0)).otherwise(F.coalesce(F.try_element_at("_attempts", unit), F.lit(0)))
-    between = F.split(F.col(text_col), ANY)
-    new = F.transform("_found", lambda raw: F.when(kind(raw) == "name", surrogate_of_name(raw, key, attempt, listed)).otherwise(surrogate(raw, key, attempt(canonical(raw)))))
-    text = F.when(F.size("_found") == 0, F.col(text_col)).otherwise(F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
-    return joined.withColumns({"_text": text, "_n_entities": F.size("_found").cast("long")}).select(*(F.col("_text").alias(c) if c == text_col else c for c in own), "_n_entities")
+    """row (a struct of a row's own columns), new_text (its text with surrogates) and n_entities.
+
+    Texts are shuffled only where the units that had to try again are in too many documents for a broadcast.
+    """
+    held = mentions(docs, id_col, text_col)
+    table, listed = resolved(held, key)
+    retried = table.filter("attempt > 0").select("unit", "attempt")
+    tries = held.select("holder", F.explode(F.col("units")["unit"]).alias("unit")).join(retried, "unit").groupBy("holder").agg(F.map_from_entries(F.collect_set(F.struct("unit", "attempt"))).alias("attempts"))
+    tries = if_small(written(tries, "attempts"))
+    released(held, table)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("whole"))
+    joined = own.join(tries, F.col("id").eqNullSafe(F.col("holder")), "left").withColumn("entities", F.coalesce(found(F.col("whole")), F.array().cast("array<string>")))
+    attempt = lambda unit: F.when(F.col("attempts").isNull(), F.lit(0)).otherwise(F.coalesce(F.try_element_at("attempts", unit), F.lit(0)))
+    between = F.split("whole", ANY)
+    new = F.transform("entities", lambda raw: F.when(kind(raw) == "name", surrogate_of_name(raw, key, attempt, listed)).otherwise(surrogate(raw, key, attempt(canonical(raw)))))
+    text = F.when(F.size("entities") == 0, F.col("whole")).otherwise(F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    return joined.select("row", text.alias("new_text"), F.size("entities").cast("long").alias("n_entities"))

@@ -28,7 +28,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    return kept.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
+    return kept.select("row.doc_id", F.size(lines(F.col("row.text"))).cast("long").alias("n_lines"), "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ PII_KEY = "registered query"
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY).select("doc_id", F.col("_n_entities").alias("n_entities"), "text")
+    return pii.pseudonymise(docs, PII_KEY).select("row.doc_id", "n_entities", F.col("new_text").alias("text"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,15 +131,17 @@ n AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS n,
              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM c),
 s AS (SELECT *, bool_or(nth = 1 AND role = 'system') OVER (PARTITION BY conv_id) AS has_system,
              nth = 1 AND role = 'system' AS lead,
+             coalesce(max(CASE WHEN nth = 1 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id), 0) AS lead_n,
              -- a turn's text and role escaped, with its marks
              length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) + length(role)
              + length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) + 14 AS chars FROM n),
 p AS (SELECT *, CASE WHEN lead THEN -1 ELSE sum(CASE WHEN lead THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY nth) - n END AS pos FROM s),
-v AS (SELECT *, CASE WHEN pos <= 0 THEN 0 ELSE 2 * (pos // 384) + CASE WHEN pos + n > (pos // 384 + 1) * 384 THEN 1 ELSE 0 END END AS v FROM p),
-w AS (SELECT conv_id, v, min(pos) AS start FROM v WHERE v > 0 GROUP BY conv_id, v),
+q AS (SELECT *, greatest(1, 384 - lead_n) AS stride FROM p),
+v AS (SELECT *, CASE WHEN pos <= 0 THEN 0 ELSE 2 * (pos // stride) + CASE WHEN pos + n > (pos // stride + 1) * stride THEN 1 ELSE 0 END END AS v FROM q),
+w AS (SELECT conv_id, v, min(pos) AS start, least(128, greatest(0, 512 - max(lead_n) - sum(n))) AS room FROM v WHERE v > 0 GROUP BY conv_id, v),
 again AS (
   SELECT w.conv_id, sum(v.chars) AS chars FROM w JOIN v ON w.conv_id = v.conv_id
-   AND (v.lead OR v.pos >= 0 AND v.pos >= w.start - 128 AND v.pos + v.n <= w.start) GROUP BY w.conv_id),
+   AND (v.lead OR v.pos >= 0 AND v.pos >= w.start - w.room AND v.pos + v.n <= w.start) GROUP BY w.conv_id),
 t AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
          coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM v GROUP BY conv_id)
