@@ -21,8 +21,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that no later document holds as well, where three or more do; a document may end up empty."""
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return kept.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
