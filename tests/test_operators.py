@@ -31,17 +31,23 @@ def test_titles(spark):
 def test_publisher_suffix(spark):
     strip = lambda h: text.strip_publisher(F.lit(h), F.lit("Daily News"))
     long_, short, other = values(spark, strip("A long enough headline about routes - Daily News"), strip("Short - Daily News"), strip("A long enough headline about routes - part two"))
-    assert long_ == "A long enough headline about routes" and short == "Short - Daily News" and other.endswith("part two")
+    assert long_ == "A long enough headline about routes" and short == "Short - Daily News" and other == "A long enough headline about routes"
+    kept, radar = values(spark, strip("A long enough headline about routes - here is why it happened in seven words."), text.strip_publisher(F.lit("A long enough headline about routes - Some Outlet"), F.lit("News radar")))
+    assert kept.endswith("words.") and radar == "A long enough headline about routes"
 
 
 def test_html_and_excerpts(spark):
     found = values(spark, text.strip_html(F.lit("<p>A &amp;amp; B<script>x()</script></p><!-- c -->")), text.clip_excerpt(F.lit("One. Two! Three.")), text.cut(F.lit("some words here"), 12))
     assert found == ("A & B", "One. Two!", "some words…")
+    clip = lambda x: text.clip_excerpt(F.lit(x))
+    first, cut, none = values(spark, clip("First one  is here. " + "b" * 270 + "."), clip("word, " * 60), text.clip_excerpt(F.lit(None).cast("string")))
+    assert first == "First one is here." and cut == ("word, " * 46)[:-2] + "…" and none == ""
 
 
 def test_translations(spark):
     clean = lambda s, r: text.clean_translation(F.lit(s), F.lit(r))
-    assert values(spark, clean("short", 'Here is it:\n"kurz"\nmore'), clean("x", "y" * 100)) == ("kurz", None)
+    assert values(spark, clean("short", '(a note on the translation)\nNote: free\n\n"kurz"\nmore'), clean("x", "y" * 100)) == ("kurz", None)
+    assert values(spark, clean("l" * 201, "Not: x\none\n\ntwo"), clean("x", "Note: nothing else")) == ("one\n\ntwo", None)
 
 
 def test_scores(spark):

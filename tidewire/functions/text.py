@@ -62,9 +62,14 @@ def cut(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""), F.lit("…")))
 
 
-def clip_excerpt(text: Column, most: int = 280, sentences: int = 2) -> Column:
-    """The first sentences, within a limit."""
-    return cut(F.array_join(F.slice(F.split(F.trim(text), r"(?<=[.!?])\s+"), 1, sentences), " "), most)
+def clip_excerpt(text: Column, most: int = 280) -> Column:
+    """The first two sentences where both fit, else the first; one that is too long is cut at a blank, with an ellipsis."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    parts = F.split(plain, r"(?<=[.!?])\s+")
+    both = F.array_join(F.slice(parts, 1, 2), " ")
+    kept = F.when(F.length(both) <= most, both).otherwise(F.get(parts, F.lit(0)))
+    head = F.regexp_replace(F.substring(kept, 1, most - 1), r"\s\S*$", "")
+    return F.when(F.length(kept) <= most, kept).otherwise(F.concat(F.regexp_replace(head, r"[ ,;:\-]+$", ""), F.lit("…")))
 
 
 def squash(text: Column) -> Column:
@@ -87,20 +92,26 @@ def strip_html(html: Column) -> Column:
 
 
 def strip_publisher(headline: Column, source: Column, head_chars: int = 25, tail_words: int = 6) -> Column:
-    """Without a publisher's name after the last dash: short, not a sentence, and akin to the source's name."""
-    head = F.regexp_extract(headline, r"^(.*\S)\s+[-–—|]\s+([^-–—|]+)$", 1)
-    tail = F.regexp_extract(headline, r"^(.*\S)\s+[-–—|]\s+([^-–—|]+)$", 2)
-    a, b = squash(tail), squash(source)
-    akin = (a != "") & (F.contains(a, b) | F.contains(b, a))
-    fits = (F.length(head) >= head_chars) & (word_count(tail) <= tail_words) & ~tail.rlike(r"[.!?]\s*$") & akin
-    return F.when(F.coalesce(fits, F.lit(False)), head).otherwise(headline)
+    """Without a publisher's name after the last dash: part of the source's name, or a few words that aren't a sentence."""
+    pattern = r"(?s)^(.*?)\s+[-–—|]\s+([^-–—|]{2,60})\s*$"
+    head, tail = F.trim(F.regexp_extract(headline, pattern, 1)), F.trim(F.regexp_extract(headline, pattern, 2))
+    bare = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
+    of_source = F.coalesce((F.length(source) > 0) & (bare(tail) != "") & F.contains(bare(source), bare(tail)), F.lit(False))
+    short = (word_count(tail) <= tail_words) & ~tail.rlike(r"[.!?:]$")
+    return F.when((tail != "") & (F.length(head) >= head_chars) & (of_source | short), head).otherwise(headline)
+
+
+# What a line of remarks about a translation looks like.
+META_LINE = r"(?iu)^\s*(\(.*(çevir|translat).*\)|not[:\s].*|note[:\s].*)\s*$"
 
 
 def clean_translation(source: Column, raw: Column) -> Column:
-    """A translation without remarks around it, or null if it is out of proportion to its source."""
-    kept = F.filter(F.split(F.trim(raw), "\n"), lambda x: (F.trim(x) != "") & ~F.lower(F.trim(x)).rlike(r"^(here is|here's|translation:|note:)"))
-    text = F.when(F.length(source) <= 200, F.get(kept, F.lit(0))).otherwise(F.array_join(kept, "\n"))
-    text = F.trim(F.regexp_replace(F.trim(text), r"^[\"“”']+|[\"“”']+$", ""))
+    """A translation without remarks around it, or null if it is out of proportion to its source; of a headline, the first line."""
+    kept = F.filter(F.split(raw, r"\r\n|\r|\n"), lambda x: ~x.rlike(META_LINE))
+    first = F.get(F.filter(kept, lambda x: F.trim(x) != ""), F.lit(0))
+    text = F.when(F.length(source) <= 200, first).otherwise(F.array_join(kept, "\n"))
+    blanks = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    text = blanks(F.regexp_replace(blanks(text), r"^[\"“”]+|[\"“”]+$", ""))
     return F.when((F.length(text) > 0) & (F.length(text) <= 4 * F.length(source) + 40), text)
 
 

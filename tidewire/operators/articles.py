@@ -41,8 +41,34 @@ def mentioning(articles: DataFrame, found: DataFrame, id_col: str = "id") -> Dat
     return articles.join(found.select(F.col("article_id").alias("_mentioned")), F.col(id_col) == F.col("_mentioned"), "left_semi")
 
 
-def filtered(cat: Catalog, *, category: str | None = None, subcategory: str | None = None, region: str | None = None, sentiment: str | None = None, as_of: str | None = None, days: int | None = None, on_date: dt.date | None = None, translated: bool | None = None, airlines: list[str] | None = None, country: str | None = None) -> DataFrame:
-    """Original articles with their enrichment under all the conditions that are given; the published-only window drops rows without a date."""
+def _one_of(column: str, wanted: str | list[str] | None) -> list[Column]:
+    """Condition that a column is a value or one of several; None and no values at all ask for nothing."""
+    if not wanted:
+        return []
+    return [F.col(column).isin([wanted] if isinstance(wanted, str) else list(wanted))]
+
+
+def filtered(
+    cat: Catalog,
+    *,
+    category: str | list[str] | None = None,
+    subcategory: str | list[str] | None = None,
+    region: str | list[str] | None = None,
+    sentiment: str | list[str] | None = None,
+    sources: list[str] | None = None,
+    as_of: str | None = None,
+    days: int | None = None,
+    on_date: dt.date | None = None,
+    translated: bool | None = None,
+    airlines: list[str] | None = None,
+    country: str | None = None,
+    airport: str | None = None,
+) -> DataFrame:
+    """Original articles with their enrichment under all the conditions that are given.
+
+    Articles without an enrichment are left out by conditions on it only. An empty list of ``airlines`` asks for any
+    airline at all, ``sources`` are names. The published-only window drops rows without a date.
+    """
     rows = originals(cat.articles)
     if days is not None:
         rows = rows.filter(F.col("published_at") >= since(as_of, days))
@@ -53,22 +79,31 @@ def filtered(cat: Catalog, *, category: str | None = None, subcategory: str | No
         rows = mentioning(rows, mentions(cat, "airline", airlines))
     if country is not None:
         rows = mentioning(rows, mentions(cat, "country", [country], "name"))
-    rows = rows.join(cat.enrichment, F.col("id") == F.col("article_id"))
-    for column, value in (("category", category), ("subcategory", subcategory), ("region", region), ("sentiment", sentiment)):
-        if value is not None:
-            rows = rows.filter(F.col(column) == value)
+    if airport is not None:
+        rows = mentioning(rows, mentions(cat, "airport", [airport]))
+    for name in _one_of("name", sources):
+        rows = rows.join(cat.sources.filter(name).select(F.col("id").alias("_source")), F.col("source_id") == F.col("_source"), "left_semi")
+    asked = [x for column, value in (("category", category), ("subcategory", subcategory), ("region", region), ("sentiment", sentiment)) for x in _one_of(column, value)]
     if translated is not None:
-        rows = rows.filter(F.col("translated_at").isNotNull() if translated else F.col("translated_at").isNull())
+        asked.append(F.col("translated_at").isNotNull() if translated else F.col("translated_at").isNull())
+    rows = rows.join(cat.enrichment, F.col("id") == F.col("article_id"), "inner" if asked else "left")
+    for condition in asked:
+        rows = rows.filter(condition)
     return rows
 
 
+def page_with_total(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page and, in each of its rows, how many there are in all."""
+    return newest(rows, limit, offset).withColumn("total", rows.agg(F.count("*")).scalar())
+
+
 def newest(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page in the order of publication; the id makes it a total order."""
     return rows.orderBy(F.col("published_at").desc_nulls_last(), F.col("fetched_at").desc(), "id").offset(offset).limit(limit)
 
 
 def count_by_category(cat: Catalog, **conditions) -> DataFrame:
-    return filtered(cat, **conditions).groupBy("category").agg(F.count("*").alias("n"))
+    return filtered(cat, **conditions).filter("category is not null").groupBy("category").agg(F.count("*").alias("n"))
 
 
 def count_by_day(cat: Catalog, as_of: str, days: int) -> DataFrame:
@@ -83,7 +118,7 @@ def count_by_day(cat: Catalog, as_of: str, days: int) -> DataFrame:
 
 def volume_by_week(cat: Catalog, as_of: str, weeks: int, top: int = 6) -> DataFrame:
     """week (its Monday), category, n for the largest categories; weeks without an article have zeros."""
-    rows = filtered(cat, as_of=as_of, days=7 * weeks).select("category", F.date_trunc("week", "published_at").cast("date").alias("week"))
+    rows = filtered(cat, as_of=as_of, days=7 * weeks).filter("category is not null").select("category", F.date_trunc("week", "published_at").cast("date").alias("week"))
     counts = rows.groupBy("week", "category").agg(F.count("*").alias("n"))
     leading = counts.groupBy("category").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "category").limit(top).select("category")
     frame = counts.select("week").distinct().crossJoin(F.broadcast(leading))  # weeks of the window times `top` rows

@@ -11,15 +11,17 @@ from tidewire.functions.scoring import keyword_pattern, rating_sentiment
 from tidewire.functions.text import normalize
 
 
-def themes(text: Column, keywords: Mapping[str, Sequence[str]], most: int = 3) -> Column:
-    """The themes that a text hits most, ties by name."""
-    hits = F.array(*(F.struct((-F.regexp_count(normalize(text), F.lit(keyword_pattern(ws)))).alias("n"), F.lit(t).alias("theme")) for t, ws in keywords.items()))
+def themes(normal: Column, keywords: Mapping[str, Sequence[str]], most: int = 3) -> Column:
+    """The themes that a text in its normal form hits most, ties by name."""
+    hits = F.array(*(F.struct((-F.regexp_count(normal, F.lit(keyword_pattern(ws)))).alias("n"), F.lit(t).alias("theme")) for t, ws in keywords.items()))
     return F.transform(F.slice(F.array_sort(F.filter(hits, lambda h: h["n"] < 0)), 1, most), lambda h: h["theme"])
 
 
 def tagged(reviews: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
     """``reviews`` with themes and sentiment (by rating; unrated ones are neutral)."""
-    return reviews.withColumns({"themes": themes(F.col("body"), keywords), "sentiment": rating_sentiment(F.col("rating"), F.lit("neutral"))})
+    # the normal form is a column of its own, so that it is made once a text
+    rows = reviews.withColumn("_normal", normalize(F.col("body")))
+    return rows.withColumns({"themes": themes(F.col("_normal"), keywords), "sentiment": rating_sentiment(F.col("rating"), F.lit("neutral"))}).drop("_normal")
 
 
 def theme_stats(reviews: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -31,9 +31,10 @@ def value_for_year(kpis: DataFrame, year: int) -> DataFrame:
 
 def dashboard(kpis: DataFrame) -> DataFrame:
     """metric_key, value, previous, change: the last primary reading against the one before."""
-    order = Window.partitionBy("metric_key").orderBy("as_of", "id")
-    rows = kpis.filter("is_primary").withColumn("previous", F.lag("value").over(order))
-    return latest(rows).select("metric_key", "as_of", "value", "previous", percent_change(F.col("value"), F.col("previous")).alias("change"))
+    two = _recent(kpis.filter("is_primary"), "metric_key").filter(F.col("_nth") <= 2)
+    of = lambda n, c: F.max(F.when(F.col("_nth") == n, F.col(c)))
+    rows = two.groupBy("metric_key").agg(of(1, "as_of").alias("as_of"), of(1, "value").alias("value"), of(2, "value").alias("previous"))
+    return rows.withColumn("change", percent_change(F.col("value"), F.col("previous")))
 
 
 def against_last_year(kpis: DataFrame, year: int) -> DataFrame:
@@ -44,9 +45,9 @@ def against_last_year(kpis: DataFrame, year: int) -> DataFrame:
 
 
 def corroborations(kpis: DataFrame, metric: str, most: int = 5) -> DataFrame:
-    """The last secondary readings of a metric, one of each source."""
-    by_source = latest(kpis.filter((F.col("metric_key") == metric) & ~F.col("is_primary")), "source")
-    return by_source.orderBy(F.col("as_of").desc(), F.col("id").desc()).limit(most)
+    """Of the last ``most`` secondary readings of a metric, the last of each source; so there may be fewer."""
+    rows = kpis.filter((F.col("metric_key") == metric) & ~F.col("is_primary"))
+    return latest(rows.orderBy(F.col("as_of").desc(), F.col("id").desc()).limit(most), "source")
 
 
 def without_repeats(kpis: DataFrame) -> DataFrame:

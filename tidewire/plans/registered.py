@@ -16,7 +16,7 @@ from tidewire.sources import feeds
 #: "Now" of the registered queries: just after the last article, and the last reading.
 AS_OF, REVIEW_DAY = "2001-08-02", "2024-10-01"
 #: Keywords of the invented texts' themes.
-THEMES = {"crew": ["team", "staff", "people"], "food": ["coffee", "bread", "food"], "cabin": ["room", "house", "water"], "time": ["day", "year", "time"]}
+THEMES = {"crew": ["that", "with"], "food": ["tion", "ble"], "cabin": ["thon", "ther"], "time": ["thre", "erin"]}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +37,7 @@ def query(sql: str | None = None, *views: str):
 # --- listings and counts
 
 _ORIGINAL = ", a AS (SELECT * FROM articles WHERE NOT is_duplicate), ae AS (SELECT * FROM a JOIN enrichment e ON a.id = e.article_id)"
+_ALL = _ORIGINAL.replace("a JOIN enrichment", "a LEFT JOIN enrichment")
 _AE = ("articles", "enrichment")
 _MENTION = ", m AS (SELECT DISTINCT x.article_id, n.code, n.name FROM article_entities x JOIN entities n ON x.entity_id = n.id WHERE n.entity_type = '{}')"
 
@@ -51,9 +52,9 @@ def article_filters(cat):
     return articles.filtered(cat, region="europe", sentiment="negative", translated=True, airlines=["a1", "A2"]).select("id", "sentiment", "region")
 
 
-@query(_ORIGINAL + _MENTION.format("country") + " SELECT id, category FROM ae WHERE id IN (SELECT article_id FROM m WHERE lower(name) = 'nation_3') AND coalesce(published_at, fetched_at) >= TIMESTAMP '1998-05-05' AND coalesce(published_at, fetched_at) < TIMESTAMP '1998-05-06'", *_AE, "article_entities", "entities")
+@query(_ALL + _MENTION.format("country") + " SELECT id, category FROM ae WHERE id IN (SELECT article_id FROM m WHERE lower(name) = 'nation_14') AND coalesce(published_at, fetched_at) >= TIMESTAMP '1996-06-25' AND coalesce(published_at, fetched_at) < TIMESTAMP '1996-06-26'", *_AE, "article_entities", "entities")
 def articles_on_date_by_country(cat):
-    return articles.filtered(cat, country="NATION_3", on_date=dt.date(1998, 5, 5)).select("id", "category")
+    return articles.filtered(cat, country="NATION_14", on_date=dt.date(1996, 6, 25)).select("id", "category")
 
 
 @query(_ORIGINAL + " SELECT category, count(*) AS n FROM ae WHERE published_at >= TIMESTAMP '2001-07-03' GROUP BY category", *_AE)
@@ -86,23 +87,54 @@ def two_ended_selection(cat):
     return articles.two_ended(articles.not_enriched(cat), 20).select("id")
 
 
-@query(", i AS (SELECT url, id FROM articles WHERE id % 3 = 0 UNION ALL SELECT concat('https://new.example/', CAST(id % 50 AS VARCHAR)), id FROM articles), e AS (SELECT url FROM articles WHERE id % 2 = 0) SELECT url, min(id) AS id FROM i WHERE url NOT IN (SELECT url FROM e) GROUP BY url", "articles")
+@query(", i AS (SELECT url, id FROM articles UNION ALL SELECT concat('https://new.example/', CAST(source_id AS VARCHAR)), id FROM articles) SELECT url, min(id) AS id FROM i WHERE url NOT IN (SELECT url FROM articles) GROUP BY url", "articles")
 def new_urls(cat):
-    incoming = cat.articles.filter("id % 3 = 0").select("url", "id").union(cat.articles.select(F.concat(F.lit("https://new.example/"), (F.col("id") % 50).cast("string")), "id"))
-    return articles.new_rows(incoming, cat.articles.filter("id % 2 = 0"), "url", "id").select("url", "id")
+    # known addresses, and a new one of each source that several articles give
+    incoming = cat.articles.select("url", "id").union(cat.articles.select(F.concat(F.lit("https://new.example/"), F.col("source_id").cast("string")), "id"))
+    return articles.new_rows(incoming, cat.articles, "url", "id").select("url", "id")
 
 
-@query(_ORIGINAL + " SELECT id, coalesce(nullif(headline_tr, ''), nullif(headline, ''), nullif(title, '')) AS shown, translated_at IS NOT NULL AS is_translated, greatest(1, round(word_count / 200.0))::BIGINT AS reading_minutes FROM ae", *_AE)
+@query(_ALL + " SELECT id, coalesce(nullif(headline_tr, ''), nullif(headline, ''), nullif(title, '')) AS shown, translated_at IS NOT NULL AS is_translated, greatest(1, round(word_count / 200.0))::BIGINT AS reading_minutes FROM ae", *_AE)
 def article_cards(cat):
     return articles.filtered(cat).select("id", insights.headline().alias("shown"), F.col("translated_at").isNotNull().alias("is_translated"), text.reading_minutes(F.col("word_count")).alias("reading_minutes"))
 
 
 @query(
-    r", t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(coalesce(body, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM reviews), w AS (SELECT id, list_filter(string_split(x, ' '), lambda y: y <> '') AS w FROM t), h AS (SELECT id, len(w) AS n, len(list_filter(w, lambda y: y = 'data')) AS h1, len(list_filter(w, lambda y: y = 'the')) AS h2 FROM w) SELECT id, round((h1 + h2) / (1 + ln(n)), 6) AS rank FROM h WHERE h1 > 0 AND h2 > 0",
+    r", t AS (SELECT id, trim(regexp_replace(regexp_replace(lower(coalesce(body, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM reviews), w AS (SELECT id, list_filter(string_split(x, ' '), lambda y: y <> '') AS w FROM t), h AS (SELECT id, len(w) AS n, len(list_filter(w, lambda y: y = 'thon')) AS h1, len(list_filter(w, lambda y: y = 'thre')) AS h2 FROM w) SELECT id, round((h1 + h2) / (1 + ln(n)), 6) AS rank FROM h WHERE h1 > 0 AND h2 > 0",
     "reviews",
 )
 def full_text_search(cat):
-    return articles.search(cat.reviews, "the data", "body", "id")
+    return articles.search(cat.reviews, "thon thre", "body", "id")
+
+
+@query(_ALL + _MENTION.format("airport") + ", r AS (SELECT * FROM ae WHERE id IN (SELECT article_id FROM m WHERE lower(code) = 'h7') AND source_id IN (SELECT id FROM sources WHERE category IN ('BUILDING', 'MACHINERY'))) SELECT id, category, (SELECT count(*) FROM r) AS total FROM r ORDER BY published_at DESC NULLS LAST, fetched_at DESC, id LIMIT 20", *_AE, "article_entities", "entities", "sources")
+def article_page_with_total(cat):
+    names = cat.sources.filter(F.col("category").isin("BUILDING", "MACHINERY")).select(F.col("id").alias("_source"))
+    rows = articles.filtered(cat, airport="H7").join(names, F.col("source_id") == F.col("_source"), "left_semi")
+    return articles.page_with_total(rows, 20).select("id", "category", "total")
+
+
+@query(_ORIGINAL + " SELECT id, category, sentiment FROM ae WHERE category IN ('urgent', 'low') AND sentiment IN ('neutral', 'negative') AND source_id IN (SELECT id FROM sources WHERE name IN ('Customer#000000007', 'Customer#000000008', 'Customer#000000009'))", *_AE, "sources")
+def articles_of_several_values(cat):
+    return articles.filtered(cat, category=["urgent", "low"], sentiment=["neutral", "negative"], region=[], sources=["Customer#000000007", "Customer#000000008", "Customer#000000009"]).select("id", "category", "sentiment")
+
+
+_CLIP = r"""
+, c AS (SELECT id, trim(regexp_replace(coalesce(body, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS x FROM reviews),
+s AS (SELECT id, x, regexp_extract(x, '^.*?[.!?](?: |$)') AS f, regexp_extract(x, '^.*?[.!?] .*?[.!?](?: |$)') AS g FROM c),
+o AS (SELECT id, rtrim(CASE WHEN f <> '' THEN f ELSE x END) AS one, rtrim(CASE WHEN g <> '' THEN g ELSE x END) AS two FROM s),
+k AS (SELECT id, CASE WHEN length(two) <= 280 THEN two ELSE one END AS k FROM o)
+SELECT id, CASE WHEN length(k) <= 280 THEN k ELSE concat(regexp_replace(regexp_replace(k[1:279], '\s\S*$', ''), '[ ,;:\-]+$', ''), '…') END AS excerpt FROM k"""
+
+
+@query(_CLIP, "reviews")
+def review_excerpts(cat):
+    return cat.reviews.select("id", text.clip_excerpt(F.col("body")).alias("excerpt"))
+
+
+@query(r" SELECT id, len(regexp_extract_all(coalesce(body, ''), '[^ \t\n\x0b\f\r]+'))::BIGINT AS words, length(coalesce(body, ''))::BIGINT AS chars, sha256(concat(url, '|', coalesce(source_name, ''))) AS key FROM reviews", "reviews")
+def review_measures(cat):
+    return cat.reviews.select("id", text.word_count(F.col("body")).alias("words"), F.length(F.coalesce("body", F.lit(""))).cast("long").alias("chars"), text.dedupe_key(F.col("url"), F.coalesce("source_name", F.lit(""))).alias("key"))
 
 
 # --- pivots
@@ -174,7 +206,7 @@ def kpi_against_last_year(cat):
     return series.against_last_year(moved, 2023)
 
 
-@query(", s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY as_of DESC, id DESC) AS nth FROM kpis WHERE metric_key = 'purchase' AND NOT is_primary) SELECT id, source, value FROM s WHERE nth = 1 ORDER BY as_of DESC, id DESC LIMIT 5", "kpis")
+@query(", l AS (SELECT * FROM kpis WHERE metric_key = 'purchase' AND NOT is_primary ORDER BY as_of DESC, id DESC LIMIT 5), s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY as_of DESC, id DESC) AS nth FROM l) SELECT id, source, value FROM s WHERE nth = 1", "kpis")
 def kpi_corroborations(cat):
     return series.corroborations(cat.kpis, "purchase").select("id", "source", "value")
 
@@ -191,10 +223,10 @@ def kpi_without_repeats(cat):
     return series.without_repeats(_coarse(cat)).select("id", "metric_key", "value")
 
 
-@query(f", k AS ({_ROUNDED}), l AS (SELECT metric_key, arg_max(value, (as_of, id)) AS v, arg_max(source, (as_of, id)) AS s FROM k WHERE id % 2 = 0 GROUP BY metric_key) SELECT id, k.metric_key, value FROM k LEFT JOIN l USING (metric_key) WHERE id % 2 = 1 AND (l.metric_key IS NULL OR v IS DISTINCT FROM value OR s IS DISTINCT FROM source)", "kpis")
+@query(f", k AS ({_ROUNDED}), l AS (SELECT metric_key, arg_max(value, (as_of, id)) AS v, arg_max(source, (as_of, id)) AS s FROM k GROUP BY metric_key) SELECT id, k.metric_key, value FROM k LEFT JOIN l USING (metric_key) WHERE (l.metric_key IS NULL OR v IS DISTINCT FROM value OR s IS DISTINCT FROM source)", "kpis")
 def kpi_changed(cat):
     rows = _coarse(cat)
-    return series.changed(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")).select("id", "metric_key", "value")
+    return series.changed(rows, rows).select("id", "metric_key", "value")
 
 
 @query(" SELECT as_of::DATE AS date, value, unit, source, coalesce(source_url, '') AS source_url FROM kpis WHERE metric_key = 'click' AND is_primary", "kpis")
@@ -339,15 +371,15 @@ def content_hashes(cat):
     return cat.reviews.select("id", text.content_hash(F.col("source_name"), F.col("body")).alias("hash"))
 
 
-@query(", i AS (SELECT id + 5 AS id, name, 'new' AS category, trust_weight, is_active FROM sources WHERE id % 2 = 0) SELECT coalesce(s.id, i.id) AS id, coalesce(s.name, i.name) AS name, coalesce(i.category, s.category) AS category, CASE WHEN s.id IS NULL THEN i.trust_weight ELSE s.trust_weight END AS trust_weight FROM sources s FULL JOIN i ON s.id = i.id", "sources")
+@query(", i AS (SELECT id + 5 AS id, name, 'new' AS category, trust_weight, is_active FROM sources) SELECT coalesce(s.id, i.id) AS id, coalesce(s.name, i.name) AS name, coalesce(i.category, s.category) AS category, CASE WHEN s.id IS NULL THEN i.trust_weight ELSE s.trust_weight END AS trust_weight FROM sources s FULL JOIN i ON s.id = i.id", "sources")
 def upserted_sources(cat):
-    incoming = cat.sources.filter("id % 2 = 0").withColumns({"id": F.col("id") + 5, "category": F.lit("new")})
+    incoming = cat.sources.withColumns({"id": F.col("id") + 5, "category": F.lit("new")})
     return merge.upsert(cat.sources, incoming, ["id"], ["category"]).select("id", "name", "category", "trust_weight")
 
 
-@query(" SELECT id, name FROM sources WHERE id % 3 = 0 UNION ALL SELECT id, name FROM sources WHERE id % 3 <> 0 AND id % 2 = 0", "sources")
+@query(" SELECT id, name FROM sources UNION ALL SELECT id + 5 AS id, concat(name, ' (new)') AS name FROM sources WHERE id + 5 NOT IN (SELECT id FROM sources)", "sources")
 def inserted_sources(cat):
-    return merge.insert_absent(cat.sources.filter("id % 3 = 0"), cat.sources.filter("id % 2 = 0"), ["id"]).select("id", "name")
+    return merge.insert_absent(cat.sources, cat.sources.withColumns({"id": F.col("id") + 5, "name": F.concat("name", F.lit(" (new)"))}), ["id"]).select("id", "name")
 
 
 # --- raw sources
