@@ -102,6 +102,40 @@ def newest(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return rows.orderBy(F.col("published_at").desc_nulls_last(), F.col("fetched_at").desc(), "id").offset(offset).limit(limit)
 
 
+def most_important(rows: DataFrame, limit: int) -> DataFrame:
+    """The most important articles first, unrated ones last, newer ones before older."""
+    return rows.orderBy(F.col("importance_score").desc_nulls_last(), F.col("published_at").desc_nulls_last(), F.col("fetched_at").desc(), "id").limit(limit)
+
+
+def known_urls(urls: DataFrame, cat: Catalog) -> DataFrame:
+    """Those of ``urls`` (url) that an article has."""
+    return urls.join(cat.articles.select("url"), "url", "left_semi")
+
+
+def suspicious_translations(rows: DataFrame, marks: list[str], times: int = 4, more: int = 40) -> DataFrame:
+    """Articles whose translated headline holds one of ``marks`` in any case, or is out of proportion to its source."""
+    condition = F.length("headline_tr") > times * F.length("headline") + more
+    for mark in marks:
+        condition = condition | F.col("headline_tr").ilike(f"%{mark}%")
+    return rows.filter(condition)
+
+
+def facets(rows: DataFrame, column: str) -> DataFrame:
+    """value, n, share (in per cent of all rows with a value) for each value that is present."""
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = rows.filter(F.col(column).isNotNull()).agg(F.count("*")).scalar()
+    return counted.select("value", "n", F.round(100 * F.col("n") / total, 1).alias("share"))
+
+
+def by_day(rows: DataFrame) -> DataFrame:
+    """day (undated for articles without a date), n and place: days from the newest on, undated ones last."""
+    day = F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("undated"))
+    counted = rows.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    # a row for each day: few enough for one window
+    order = Window.orderBy(F.when(F.col("day") == "undated", 1).otherwise(0), F.col("day").desc())
+    return counted.withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def count_by_category(cat: Catalog, **conditions) -> DataFrame:
     return filtered(cat, **conditions).filter("category is not null").groupBy("category").agg(F.count("*").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.scoring import percent_change
@@ -37,6 +37,18 @@ def dashboard(kpis: DataFrame) -> DataFrame:
     return rows.withColumn("change", percent_change(F.col("value"), F.col("previous")))
 
 
+def axis(kpis: DataFrame) -> DataFrame:
+    """metric_key, low, high: the range of a chart, widened only where all values are equal."""
+    ends = kpis.groupBy("metric_key").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    pad = F.when(F.col("low") == F.col("high"), F.when(F.col("low") == 0, F.lit(1.0)).otherwise(F.abs("low") * 0.05)).otherwise(0.0)
+    return ends.select("metric_key", (F.col("low") - pad).alias("low"), (F.col("high") + pad).alias("high"))
+
+
+def signed_percent(change: Column) -> Column:
+    """A change in per cent with one decimal, with its sign unless it is zero."""
+    return F.concat(F.when(change > 0, "+").otherwise(""), F.format_string("%.1f%%", change))
+
+
 def against_last_year(kpis: DataFrame, year: int) -> DataFrame:
     """metric_key, value, ly_value, ly_change: the last reading against the last of ``year``."""
     before = value_for_year(kpis.filter("is_primary"), year).select(F.col("metric_key").alias("_key"), F.col("value").alias("ly_value"))

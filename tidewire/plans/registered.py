@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import scoring, text
-from tidewire.operators import articles, dedup, edition, graph, insights, merge, pivot, reviews, series
+from tidewire.operators import articles, dedup, delivery, edition, graph, insights, merge, pivot, reviews, series, summary
 from tidewire.plans.catalog import Catalog, with_views
 from tidewire.sources import feeds
 
@@ -382,6 +382,74 @@ def inserted_sources(cat):
     return merge.insert_absent(cat.sources, cat.sources.withColumns({"id": F.col("id") + 5, "name": F.concat("name", F.lit(" (new)"))}), ["id"]).select("id", "name")
 
 
+# --- further listings, summaries and delivery
+
+_SENTENCES = r"""
+, x AS (SELECT id, regexp_replace(coalesce(body, ''), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS x FROM reviews),
+l AS (SELECT id, list_filter(string_split(regexp_replace(x, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda y: y <> '') AS l FROM x),
+s AS (SELECT id, len(l) AS total, unnest(l) AS sentence, unnest(range(len(l))) AS pos FROM l),
+w AS (SELECT id, pos, unnest(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(sentence), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda y: y <> '')) AS word FROM s)"""
+
+
+@query(_ORIGINAL + " SELECT id, importance_score FROM ae WHERE translated_at IS NULL ORDER BY importance_score DESC NULLS LAST, published_at DESC NULLS LAST, fetched_at DESC, id LIMIT 25", *_AE)
+def most_important_untranslated(cat):
+    return articles.most_important(articles.filtered(cat, translated=False), 25).select("id", "importance_score")
+
+
+@query(" SELECT DISTINCT concat('https://news.example/', CAST(id AS VARCHAR)) AS url FROM sources WHERE concat('https://news.example/', CAST(id AS VARCHAR)) IN (SELECT url FROM articles)", "articles", "sources")
+def known_urls(cat):
+    return articles.known_urls(cat.sources.select(F.concat(F.lit("https://news.example/"), F.col("id").cast("string")).alias("url")).distinct(), cat)
+
+
+@query(_ORIGINAL + " SELECT id FROM ae WHERE headline_tr ILIKE '%IK 11%' OR headline_tr ILIKE '%note:%' OR length(headline_tr) > length(headline) - 3", *_AE)
+def suspicious_translations(cat):
+    return articles.suspicious_translations(articles.filtered(cat), ["IK 11", "note:"], 1, -3).select("id")
+
+
+@query(_ORIGINAL + " SELECT region AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM ae WHERE region IS NOT NULL), 1) AS share FROM ae WHERE region IS NOT NULL GROUP BY region", *_AE)
+def region_facets(cat):
+    return articles.facets(articles.filtered(cat), "region")
+
+
+@query(", a AS (SELECT coalesce(strftime(published_at, '%Y-%m-%d'), 'undated') AS day, count(*) AS n FROM articles WHERE NOT is_duplicate GROUP BY 1) SELECT day, n, row_number() OVER (ORDER BY day = 'undated', day DESC) AS place FROM a", "articles")
+def articles_by_day(cat):
+    return articles.by_day(articles.originals(cat.articles))
+
+
+@query(" SELECT DISTINCT metric_key FROM kpis", "kpis")
+def metric_keys(cat):
+    return cat.kpis.select("metric_key").distinct()
+
+
+@query(" SELECT metric_key, min(value) - CASE WHEN min(value) = max(value) THEN CASE WHEN min(value) = 0 THEN 1 ELSE abs(min(value)) * 0.05 END ELSE 0 END AS low, max(value) + CASE WHEN min(value) = max(value) THEN CASE WHEN min(value) = 0 THEN 1 ELSE abs(min(value)) * 0.05 END ELSE 0 END AS high FROM kpis GROUP BY metric_key", "kpis")
+def kpi_axis(cat):
+    return series.axis(cat.kpis)
+
+
+@query(_SENTENCES + ", t AS (SELECT id, word, count(*) AS n FROM w WHERE word NOT IN (" + ", ".join(f"'{x}'" for x in summary.STOP_WORDS) + ") GROUP BY ALL), p AS (SELECT w.id, w.pos, sum(t.n) AS score FROM w JOIN t USING (id, word) GROUP BY ALL), q AS (SELECT s.*, row_number() OVER (PARTITION BY s.id ORDER BY coalesce(score, 0) DESC, s.pos) AS nth FROM s LEFT JOIN p ON s.id = p.id AND s.pos = p.pos) SELECT r.id, coalesce(string_agg(q.sentence, ' ' ORDER BY pos), '') AS summary FROM reviews r LEFT JOIN q ON r.id = q.id AND (nth <= 3 OR total <= 2) GROUP BY r.id", "reviews")
+def review_summaries(cat):
+    return summary.summaries(cat.reviews)
+
+
+@query(_SENTENCES + " SELECT id, word, count(*) AS n FROM w WHERE word NOT IN (" + ", ".join(f"'{x}'" for x in summary.STOP_WORDS) + ") GROUP BY ALL", "reviews")
+def review_term_counts(cat):
+    return summary.term_counts(cat.reviews)
+
+
+@query(", s AS (SELECT DISTINCT CAST(as_of + INTERVAL 3 HOURS AS DATE) AS day FROM kpis WHERE metric_key = 'purchase' AND value > 300), r AS (SELECT id, hour(as_of + INTERVAL 3 HOURS) AS h, CAST(as_of + INTERVAL 3 HOURS AS DATE) IN (SELECT day FROM s) AS sent FROM kpis), x AS (SELECT id, CASE WHEN h < 9 THEN 'early' WHEN h >= 14 THEN 'late' WHEN sent THEN 'sent' ELSE 'due' END AS reason FROM r) SELECT id, reason, reason = 'due' AS due FROM x", "kpis")
+def newsletter_due(cat):
+    sent = cat.kpis.filter("metric_key = 'purchase' and value > 300").select(delivery.local_time(F.col("as_of")).cast("date").alias("day"))
+    return delivery.due(cat.kpis.select("id", F.col("as_of").alias("now")), sent).select("id", "reason", "due")
+
+
+@query(", d AS (SELECT id AS subscriber_id, CASE WHEN trust_weight > 0.8 THEN 'sent' ELSE 'failed' END AS status, round(trust_weight * 10)::BIGINT AS attempts FROM sources WHERE trust_weight >= 0.3), o AS (SELECT * FROM d UNION ALL SELECT id, 'pending', 0 FROM sources WHERE is_active AND trust_weight < 0.3), x AS (SELECT o.*, status <> 'sent' AND attempts < 5 AND s.is_active AS tried, s.category = 'MACHINERY' AS fails FROM o JOIN sources s ON s.id = o.subscriber_id) SELECT subscriber_id, CASE WHEN tried THEN CASE WHEN fails THEN 'failed' ELSE 'sent' END ELSE status END AS status, attempts + CASE WHEN tried THEN 1 ELSE 0 END AS attempts FROM x", "sources")
+def newsletter_attempts(cat):
+    status = F.when(F.col("trust_weight") > 0.8, "sent").otherwise("failed").alias("status")
+    before = cat.sources.filter("trust_weight >= 0.3").select(F.col("id").alias("subscriber_id"), F.lit(1).cast("long").alias("edition_id"), status, F.round(F.col("trust_weight") * 10).cast("long").alias("attempts"))
+    failing = cat.sources.filter("category = 'MACHINERY'").select(F.col("id").alias("subscriber_id"))
+    return delivery.attempted(delivery.opened(before, cat.sources, 1), cat.sources, failing).select("subscriber_id", "status", "attempts")
+
+
 # --- raw sources
 
 
