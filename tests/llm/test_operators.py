@@ -347,6 +347,51 @@ def test_packing_of_few_pieces_is_near_the_optimum():
     assert best <= whole <= 1.06 * best
 
 
+def plain_features(t):
+    w, rows = re.findall(r"[^\x20\x09-\x0D]+", t), t.split("\n")
+    n, grams = max(len(w), 1), [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    count = lambda chars: sum(c in chars for c in t)
+    return [
+        np.log(n),
+        sum(map(len, w)) / n,
+        np.log1p(count("#*$%&|<>") / n),
+        np.log1p(count("!?") / n),
+        1 - len(set(rows)) / len(rows),
+        1 - max(len(set(w)), 1) / n,
+        1 - max(len(set(grams)), 1) / max(len(w) - 2, 1),
+        np.log(n / len(rows)),
+        sum(c.isupper() for c in t) / max(len(t), 1),
+        count("0123456789") / max(len(t), 1),
+    ]
+
+
+def test_scores_against_plain_version(spark):
+    """Features, the score of given weights, and a table without labels of both classes."""
+    texts = ["Some Text of 3 lines!\nwith #tags <b> & more?\nwith #tags <b> & more?", "a b c a b c a b c", "", "\n\n ", "Ünï Ä 12345 $$$"]
+    model = quality_classifier.Ranking(tuple(range(10)), (2.0,) * 10, tuple(0.1 * k for k in range(10)), 0.3, 0.5)
+    rows = quality_classifier.features(docs(spark, *texts)).select("doc_id", "features", model.score(F.col("features")).alias("score")).collect()
+    for r in rows:
+        x = np.array(plain_features(texts[r.doc_id - 1]))
+        assert np.allclose(r.features, x)
+        logit = ((x - np.arange(10)) * 0.1 * np.arange(10) / 2).sum() - 0.3
+        assert abs(r.score - 1 / (1 + np.exp(-(0.5 * logit + np.log(0.7 / 0.3))))) < 1e-9
+    one_class = spark.createDataFrame([(1, 1), (2, 1), (2, 0)], "doc_id long, quality int")
+    assert {r.score for r in quality_classifier.rank(docs(spark, *texts), one_class).collect()} == {0.7}
+
+
+def test_ranking_is_the_minimum_of_its_loss():
+    rng = np.random.default_rng(9)
+    good, bad = rng.normal(size=(40, 4)) + [1, 0, 0.5, 0], rng.normal(size=(25, 4))
+    w = quality_classifier.bradley_terry(good, bad)
+    i, j = quality_classifier.pairs(len(good), len(bad))
+    assert set(i) == set(range(40)) and set(j) == set(range(25)) and len(i) == 8 * 40
+    loss = lambda w: np.log1p(np.exp(-(good[i] - bad[j]) @ w)).mean() + 0.5e-3 * w @ w
+    assert all(loss(w) < loss(w + d) for d in rng.normal(size=(200, 4)) * 0.01)
+    cut = quality_classifier.best_quantile(good @ w, bad @ w)
+    right = lambda c: (good @ w >= c).mean() + (bad @ w < c).mean()
+    assert right(cut) >= max(right(c) for c in np.r_[good @ w, bad @ w]) - 0.08
+
+
 def test_components_against_brute_force(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(i, i + 1) for i in range(100, 130)]
