@@ -15,13 +15,18 @@ def keyword_pattern(keywords: Sequence[str]) -> str:
     import re
 
     plain = [re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", k.lower())).strip() for k in keywords]
-    return r"\b(?:" + "|".join(sorted(filter(None, plain))) + r")\b"
+    return r"\b(?:" + "|".join(filter(None, plain)) + r")\b"
 
 
-def keyword_score(title: Column, body: Column, keywords: Sequence[str]) -> Column:
-    """Three for each hit in the title, one for each in the body."""
+def hits(title: Column, body: Column, keywords: Sequence[str]) -> Column:
+    """Three for each hit in a title, one for each in a body, both in normal form; of keywords that start alike, the first in the list is taken."""
     pattern = F.lit(keyword_pattern(keywords))
-    return (3 * F.regexp_count(normalize(title), pattern) + F.regexp_count(normalize(body), pattern)).cast("long")
+    return (3 * F.regexp_count(title, pattern) + F.regexp_count(body, pattern)).cast("long")
+
+
+def keyword_score(title: Column, body: Column, keywords: Sequence[str]) -> Column:
+    """``hits`` of texts as they are."""
+    return hits(normalize(title), normalize(body), keywords)
 
 
 def best_category(title: Column, body: Column, taxonomy: Mapping[str, Sequence[str]], default: str = "general") -> Column:

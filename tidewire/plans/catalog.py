@@ -58,6 +58,10 @@ VIEWS = {
                CASE WHEN doc_id % 6 = 0 THEN NULL ELSE CAST((doc_id * 7) % 11 AS DOUBLE) END AS rating,
                CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS DATE) END AS review_date
         FROM documents""",
+    "gazetteer": """
+        SELECT * FROM (VALUES ('the', 'airline', 'The Air', 'TA', 0), ('of the', 'airline', 'The Air', 'TX', 1), ('que', 'airline', 'Que Air', 'QA', 2),
+                              ('der', 'airport', 'Der Field', 'DRF', 3), ('en la', 'airport', 'La Field', 'LAF', 4),
+                              ('und', 'country', 'Und', NULL, 5), ('with the', 'country', 'With', NULL, 6)) AS g(alias, entity_type, name, code, ord)""",
 }
 
 #: Views that stand on other tables than the view's own text shows are none; each stands on the input tables alone.

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions import scoring, text
-from tidewire.operators import articles, dedup, delivery, edition, graph, insights, merge, pivot, reviews, series, summary
+from tidewire.functions import scoring, text, titles
+from tidewire.operators import articles, dedup, delivery, edition, enrich, graph, insights, merge, pivot, reviews, series, summary
 from tidewire.plans.catalog import Catalog, with_views
 from tidewire.sources import feeds
 
@@ -137,6 +137,96 @@ def review_measures(cat):
     return cat.reviews.select("id", text.word_count(F.col("body")).alias("words"), F.length(F.coalesce("body", F.lit(""))).cast("long").alias("chars"), text.dedupe_key(F.col("url"), F.coalesce("source_name", F.lit(""))).alias("key"))
 
 
+# --- local enrichment
+
+#: Keywords of the invented texts, and the weights of two categories.
+TOPICS, FOCUS = {"network": ["the", "and"], "finance": ["que", "la"], "fleet": ["der", "und"], "safety": ["tion", "with"]}, {"finance": 2, "fleet": 3}
+SUBTOPICS = {"network": {"hub": ["to"], "route": ["in"]}, "finance": {"debt": ["en"], "cash": ["ci"]}, "events": {"fair": ["the"]}}
+COMMERCIAL, DECISIVE, WATCHED = ["that", "is", "le"], ["for", "die"], ["en la", "les"]
+
+
+def _normal(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _any(words: list[str]) -> str:
+    return rf"'\b(?:{'|'.join(words)})\b'"
+
+
+def _hits(words: list[str]) -> str:
+    return f"(3 * len(regexp_extract_all(t, {_any(words)})) + len(regexp_extract_all(b, {_any(words)})))"
+
+
+_SCORED = (
+    f", n AS (SELECT id, rating, {_normal('substr(body, 1, 60)')} AS t, {_normal('body')} AS b, length(coalesce(body, '')) < 120 AS stub FROM reviews)"
+    + ", h AS (SELECT *, " + ", ".join(f"{_hits(k)} AS {c}" for c, k in TOPICS.items()) + f", {_hits(COMMERCIAL)} AS c FROM n)"
+    + ", k AS (SELECT *, greatest(network, 2 * finance, 3 * fleet, safety) AS best FROM h)"
+    + ", r AS (SELECT *, CASE WHEN best = 0 THEN 'general' WHEN network = best THEN 'network' WHEN 2 * finance = best THEN 'finance' WHEN 3 * fleet = best THEN 'fleet' ELSE 'safety' END AS category FROM k)"
+)
+
+
+def _relevance(cat: Catalog) -> DataFrame:
+    rows = cat.reviews.select("id", F.substring("body", 1, 60).alias("title"), "body")
+    return enrich.relevance(rows, TOPICS, FOCUS, COMMERCIAL, DECISIVE, WATCHED)
+
+
+@query(_SCORED + f" SELECT id, category, (best + c + CASE WHEN regexp_matches(t, {_any(DECISIVE)}) THEN 6 ELSE 0 END + CASE WHEN regexp_matches(t, {_any(WATCHED)}) THEN 6 ELSE 0 END + CASE WHEN stub AND c > 0 THEN 3 ELSE 0 END)::BIGINT AS score FROM r", "reviews")
+def relevance_scores(cat):
+    return _relevance(cat).select("id", "category", "score")
+
+
+_SUB = " ".join(f"WHEN category = '{c}' THEN CASE WHEN {_hits(x[0])} = 0 AND {_hits(y[0])} = 0 THEN NULL WHEN {_hits(x[0])} >= {_hits(y[0])} THEN '{x[1]}' ELSE '{y[1]}' END" for c, x, y in (("network", (["to"], "hub"), (["in"], "route")), ("finance", (["en"], "debt"), (["ci"], "cash"))))
+
+
+@query(_SCORED + f" SELECT id, CASE {_SUB} END AS subcategory FROM r", "reviews")
+def subcategories(cat):
+    return _relevance(cat).select("id", enrich.subcategory(F.col("title"), F.col("body"), F.col("category"), SUBTOPICS).alias("subcategory"))
+
+
+@query(
+    _SCORED + ", o AS (SELECT id, CASE WHEN rating >= 5 THEN 'network' ELSE 'safety' END AS chosen, unnest([{'c': 'network', 's': network}, {'c': 'finance', 's': finance}, {'c': 'fleet', 's': fleet}, {'c': 'safety', 's': safety}], recursive := true) FROM r)"
+    ", p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC) AS nth, lead(s) OVER (PARTITION BY id ORDER BY s DESC) AS second, max(CASE WHEN c = chosen THEN s END) OVER (PARTITION BY id) AS own FROM o)"
+    " SELECT id, CASE WHEN s > second AND s >= 3 AND s - own >= 2 THEN c END AS instead FROM p WHERE nth = 1",
+    "reviews",
+)
+def category_overrides(cat):
+    chosen = cat.reviews.select(F.col("id").alias("_id"), F.when(F.col("rating") >= 5, "network").otherwise("safety").alias("chosen"))
+    return _relevance(cat).join(chosen, F.col("id") == F.col("_id")).select("id", enrich.overruled(F.col("chosen"), F.col("raw")).alias("instead"))
+
+
+_FOUND = f", n AS (SELECT id, {_normal('body')} AS b FROM reviews), f AS (SELECT n.id, entity_type, name, arg_min(code, ord) AS code, min(ord)::INT AS ord FROM n JOIN gazetteer g ON contains(concat(' ', b, ' '), concat(' ', g.alias, ' ')) GROUP BY ALL)"
+
+
+@query(_FOUND + " SELECT * FROM f", "reviews", "gazetteer")
+def text_entities(cat):
+    return enrich.entities(cat.reviews, cat.view("gazetteer"), "body")
+
+
+@query(
+    _FOUND + ", c(country, region) AS (VALUES ('und', 'europe'), ('spain', 'iberia')), p(code, country) AS (VALUES ('DRF', 'und'), ('LAF', 'spain'))"
+    ", x AS (SELECT id, lower(name) AS country, 0 AS tier, ord FROM f WHERE entity_type = 'country' UNION ALL SELECT id, country, 1, ord FROM f JOIN p ON f.code = p.code WHERE entity_type = 'airport')"
+    " SELECT id, arg_min(region, tier * 100 + ord) AS region FROM x JOIN c ON x.country = c.country GROUP BY id",
+    "reviews", "gazetteer",
+)
+def text_regions(cat):
+    country_regions = cat.spark.createDataFrame([("und", "europe"), ("spain", "iberia")], "country string, region string")
+    airports = cat.spark.createDataFrame([("DRF", "und"), ("LAF", "spain")], "code string, country string")
+    return enrich.regions(enrich.entities(cat.reviews, cat.view("gazetteer"), "body"), country_regions, airports)
+
+
+_WORD = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def _says(words: str) -> str:
+    words = words.replace("'", "''")
+    return f"regexp_matches(coalesce(body, ''), '(?i)(?:^|{_WORD})(?:{words})(?:$|{_WORD})')"
+
+
+@query(rf" SELECT id, length(regexp_replace(lower(coalesce(body, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}]+', '', 'g')) >= 25 AND NOT {_says(titles.CHATBOT)} AND NOT ({_says(titles.SOFTWARE)} AND NOT {_says(titles.FLIGHT)}) AS quotable FROM reviews", "reviews")
+def quotable_reviews(cat):
+    return cat.reviews.select("id", titles.quotable(F.col("body")).alias("quotable"))
+
+
 # --- pivots
 
 
