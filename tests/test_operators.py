@@ -3,8 +3,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidewire.functions import scoring, text
-from tidewire.operators import dedup, merge, series
+from tidewire.functions import scoring, text, titles
+from tidewire.operators import dedup, enrich, merge, series
 from tidewire.sources import feeds
 from tidewire.streaming import intake
 
@@ -118,3 +118,51 @@ def test_stream_of_articles(spark, tmp_path):
     stream = intake.unique(intake.event_time(spark.readStream.schema("url string, published_at timestamp, fetched_at timestamp").parquet(str(source))))
     intake.into(stream, lambda df, _: seen.extend(r.url for r in df.collect()), str(tmp_path / "cp")).start().awaitTermination(120)
     assert sorted(seen) == ["u1", "u2"]
+
+
+def test_conflicting_titles(spark):
+    clash = lambda a, b: titles.conflict(F.lit(a), F.lit(b))
+    found = values(
+        spark,
+        clash("Carrier firms up order for Airbus A350s", "Carrier firms up order for Boeing jets"),
+        clash("Carrier takes its first A350", "Carrier takes its first 787"),
+        clash("Carrier signs agreement with CAE", "Carrier signs agreement with HAVELSAN"),
+        clash("CEO of the carrier speaks", "FAA hears of the carrier"),
+        clash("Carrier takes its first A350", "The A350 is at the carrier"),
+    )
+    assert found == (True, True, True, False, False)
+
+
+def test_same_story_in_either_language(spark):
+    same = lambda *x: titles.same_story(*(F.lit(v).cast("string") for v in x))
+    found = values(
+        spark,
+        same("Carrier incorpora nuevos servicios", "New ancillary services at carrier", "yeni ek hizmetler", "yeni hizmetler geldi"),
+        same("Carrier incorpora nuevos servicios", "New ancillary services at carrier", "yeni ek hizmetler", None),
+        same("Orders 20 jets", "Orders 30 jets", None, None),
+    )
+    assert found == (True, False, False)
+
+
+def test_quotable_excerpts(spark):
+    texts = ("10", "The app crashes whenever I try to log in again", "The app is clunky but the crew were lovely", "Sure, here's a draft in your voice about the flight", None)
+    assert values(spark, *(titles.quotable(F.lit(t).cast("string")) for t in texts)) == (False, False, True, False, False)
+
+
+def test_overrides_need_evidence_and_margin(spark):
+    def of(chosen, **scores):
+        raw = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(s).alias("score")) for c, s in scores.items()))
+        return enrich.overruled(F.lit(chosen), raw)
+
+    assert values(spark, of("rm", rm=1, fleet=3), of("rm", rm=2, fleet=2), of("rm", rm=0, fleet=2), of("none", rm=4, fleet=4), of("none", rm=4, fleet=1)) == ("fleet", None, None, None, "rm")
+
+
+def test_entities_are_whole_words_and_regions_fall_back(spark):
+    rows = spark.createDataFrame([(1, "Management meets"), (2, "ANA flies to Heathrow"), (3, "Spain and Heathrow"), (4, None)], "id long, body string")
+    known = spark.createDataFrame([("ana", "airline", "All Nippon", "NH", 0), ("heathrow", "airport", "Heathrow", "LHR", 1), ("spain", "country", "Spain", None, 2)], "alias string, entity_type string, name string, code string, ord int")
+    found = enrich.entities(rows, known, "body")
+    assert sorted((r.id, r.name) for r in found.collect()) == [(2, "All Nippon"), (2, "Heathrow"), (3, "Heathrow"), (3, "Spain")]
+    places = spark.createDataFrame([("spain", "south"), ("uk", "north")], "country string, region string")
+    airports = spark.createDataFrame([("LHR", "uk")], "code string, country string")
+    assert sorted(map(tuple, enrich.regions(found, places, airports).collect())) == [(2, "north"), (3, "south")]
+    assert enrich.entities(rows, known.limit(0), "body").count() == 0
