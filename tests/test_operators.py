@@ -1,10 +1,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import scoring, text, titles
-from tidewire.operators import dedup, enrich, merge, series
+from tidewire.operators import dedup, enrich, graph, insights, merge, series
 from tidewire.sources import feeds
 from tidewire.streaming import intake
 
@@ -166,3 +167,68 @@ def test_entities_are_whole_words_and_regions_fall_back(spark):
     airports = spark.createDataFrame([("LHR", "uk")], "code string, country string")
     assert sorted(map(tuple, enrich.regions(found, places, airports).collect())) == [(2, "north"), (3, "south")]
     assert enrich.entities(rows, known.limit(0), "body").count() == 0
+
+
+def test_labelled_pairs(spark):
+    pair = lambda x: text.labelled_pair(F.lit(x).cast("string"))
+    both, one, none, null = values(spark, pair("intro\nHEADLINE: A b\nc\n\nözet : D\ne"), pair("SUMMARY: only"), pair("nothing marked"), pair(None))
+    assert (both.headline, both.summary) == ("A b c", "D e") and (one.headline, one.summary) == (None, "only")
+    assert (none.headline, none.summary) == (None, None) and (null is None or null.headline is None)
+
+
+def test_vowel_harmony(spark):
+    fix = lambda x: text.vowel_harmony(F.lit(x))
+    assert values(spark, fix("tanıtüyor ve geliyor"), fix("GÖRÜYOR KOŞIYOR"), fix("gülıyor, okiyor"), fix("brrüyor")) == ("tanıtıyor ve geliyor", "GÖRÜYOR KOŞUYOR", "gülüyor, okuyor", "brrüyor")
+
+
+def test_feed_times_and_broken_feeds(spark):
+    at = lambda x: feeds.feed_time(F.lit(x)).cast("string")
+    assert values(spark, at("Tue, 05 Mar 2024 10:00:00 +0300"), at("2024-03-05T10:00:00Z"), at(" 09:00:00 GMT"), at("soon")) == ("2024-03-05 07:00:00", "2024-03-05 10:00:00", None, None)
+    docs = spark.createDataFrame([(1, "<rss><channel>"), (2, None), (3, "")], "id long, xml string")
+    assert feeds.feed_items(docs).count() == 0
+
+
+def test_forum_posts(spark):
+    entry = lambda title, body: f'<entry><title>{title}</title><link href="https://f/1"/><author><name>/u/a</name></author><content type="html">{body}</content><updated>2024-03-05T10:00:00+00:00</updated></entry>'
+    own = "&lt;div class=\"md\"&gt;&lt;p&gt;Crew were kind on my long flight home. &lt;a href=\"x\"&gt;[link]&lt;/a&gt;&lt;/p&gt;&lt;/div&gt; submitted by"
+    xml = '<feed xmlns="http://www.w3.org/2005/Atom">' + entry("T", own) + entry("A title long enough to be quoted", "&lt;table/&gt;") + entry("Short", "") + "</feed>"
+    found = feeds.forum_posts(spark.createDataFrame([(1, xml)], "id long, xml string")).orderBy("excerpt").collect()
+    assert [r.excerpt for r in found] == ["A title long enough to be quoted", "Crew were kind on my long flight home."]
+    assert all(r.author == "u/a" and r.review_date == dt.date(2024, 3, 5) for r in found)
+
+
+def test_second_pass_keeps_the_earliest(spark):
+    day = lambda h: dt.datetime(2024, 5, 1, h)
+    titles_ = {1: "carrier adds new leisure routes", 2: "new leisure routes added by carrier", 3: "carrier adds new leisure routes", 4: "carrier orders 20 jets", 5: "carrier orders 30 jets"}
+    articles = spark.createDataFrame([(i, t, day(6 - i if i < 3 else i), False, None, "enriched") for i, t in titles_.items()], "id long, title string, published_at timestamp_ntz, is_duplicate boolean, duplicate_of_id long, status string")
+    enrichment = spark.createDataFrame([(i, None, "network") for i in titles_], "article_id long, headline_tr string, category string")
+    named = spark.createDataFrame([(3, 7), (4, 7), (5, 7)], "article_id long, entity_id long")
+    found = {r.id: (r.is_duplicate, r.duplicate_of_id, r.status) for r in dedup.second_pass(articles, enrichment, named, "2024-05-02").collect()}
+    # 2 is the earlier of the pair without entities; 3 is in no group with them; 4 and 5 differ in a number only
+    assert found == {1: (True, 2, "duplicate"), **{i: (False, None, "enriched") for i in (2, 3, 4, 5)}}
+
+
+def test_first_pass_spares_known_rows(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "story of a route", body, 9, 1, "new"), (2, "story of a route", body, 5, 1, "enriched"), (3, "story of a route", body, 1, 1, "new"), (4, "story of a route", body, 1, 30, "enriched"), (5, "story 1", body, 9, 1, "new")]
+    day = lambda d: dt.datetime(2024, 5, 31) - dt.timedelta(days=d)
+    df = spark.createDataFrame([(i, t, b, day(a), day(f), s) for i, t, b, a, f, s in rows], "id long, title string, text string, time timestamp_ntz, fetched_at timestamp_ntz, status string")
+    assert {r.id: r.duplicate_of for r in dedup.first_pass(df, "2024-05-31").collect()} == {1: 2, 3: 2, 5: None}
+
+
+def test_cross_check_and_fuel_history(spark):
+    assert values(spark, series.cross_check(F.lit(32.0), F.lit(32.16)), series.cross_check(F.lit(0.0), F.lit(1.0))) == (0.5, 0.0)
+    assert series.fuel_history(spark.createDataFrame([(1, 80.0)], "as_of int, value double")).first().value == 94.4
+
+
+def test_narrowing_takes_only_known_dimensions(spark):
+    found = spark.createDataFrame([("a", "x", None, "tk"), ("b", None, "r", None)], "detector string, category string, region string, airline string")
+    assert [r.detector for r in insights.narrowed(found, {"airline": ["TK"], "region": []}).collect()] == ["a"]
+    assert insights.narrowed(found, {}).count() == 2
+    with pytest.raises(ValueError):
+        insights.narrowed(found, {"theme": ["x"]})
+
+
+def test_regions_of_places(spark):
+    counts, known = spark.createDataFrame([("Norway", 3), ("Atlantis", 0)], "place string, n long"), spark.createDataFrame([("norway", "europe")], "name string, region string")
+    assert {tuple(r) for r in graph.with_regions(counts, known).collect()} == {("Norway", 3, "europe"), ("Atlantis", 0, "other")}

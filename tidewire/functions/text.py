@@ -118,3 +118,37 @@ def clean_translation(source: Column, raw: Column) -> Column:
 def iso_date(value: Column) -> Column:
     """A date from an ISO string or its first ten characters, else null."""
     return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd"))
+
+
+# What marks the two parts of an answer, and the progressive suffix that each vowel asks for.
+HEADLINE, SUMMARY = r"(?iu)^\s*(?:HEADLINE|BAŞLIK|BASLIK)\s*:\s*", r"(?iu)^\s*(?:SUMMARY|ÖZET|OZET)\s*:\s*"
+HARMONY = {"aıA": "ıyor", "eiEIİ": "iyor", "oOuU": "uyor", "öÖüÜ": "üyor"}
+
+
+def labelled_pair(raw: Column) -> Column:
+    """headline, summary (a struct) of an answer with labels: a line belongs to the last label; a part without lines is null."""
+    lines = F.split(raw, r"\r\n|\r|\n")
+    start = F.struct(F.lit(0).alias("part"), F.lit("").alias("headline"), F.lit("").alias("summary"))
+
+    def step(said: Column, line: Column) -> Column:
+        part = F.when(line.rlike(HEADLINE), 1).when(line.rlike(SUMMARY), 2).otherwise(said["part"])
+        more = F.trim(F.regexp_replace(F.regexp_replace(line, HEADLINE, ""), SUMMARY, ""))
+        joined = lambda n, old: F.when(part == n, F.trim(F.concat(old, F.lit(" "), more))).otherwise(old)
+        return F.struct(part.alias("part"), joined(1, said["headline"]).alias("headline"), joined(2, said["summary"]).alias("summary"))
+
+    found = F.aggregate(lines, start, step)
+    return F.struct(F.nullif(found["headline"], F.lit("")).alias("headline"), F.nullif(found["summary"], F.lit("")).alias("summary"))
+
+
+def vowel_harmony(text: Column) -> Column:
+    """Progressive suffixes agree with the last vowel before them."""
+    for vowels, suffix in HARMONY.items():
+        stem = rf"(?U)([{vowels}][\w&&[^aeıioöuüAEIİOÖUÜ]]*)"
+        text = F.regexp_replace(text, stem + "[ıiuü]yor", "$1" + suffix)
+        text = F.regexp_replace(text, stem + "[IİUÜ]YOR", "$1" + suffix.upper())
+    return text
+
+
+def folded(text: Column) -> Column:
+    """Lower case without the marks of Turkish letters, for a search that overlooks them."""
+    return F.translate(F.lower(F.translate(text, "İI", "ii")), "çğıöşüâîû", "cgiosuaiu")

@@ -43,3 +43,16 @@ def place_detail(cat: Catalog, code: str, as_of: str, days: int, carriers: int =
     found = mentions(cat, "airline").select("article_id", "code").distinct()
     of_carrier = rows.join(found, F.col("id") == F.col("article_id")).groupBy("code").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code").limit(carriers)
     return total.unionByName(of_category).unionByName(of_carrier.select(F.lit("carrier").alias("kind"), F.col("code").alias("name"), "n"))
+
+
+def located(found: DataFrame, places: DataFrame) -> DataFrame:
+    """``found`` (origin, destination, ...) with the coordinates of both ends, where ``places`` (code, lat, lon) has both."""
+    end = lambda side: places.select(F.col("code").alias(f"_{side}"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))
+    rows = found.join(end("origin"), F.col("origin") == F.col("_origin")).join(end("destination"), F.col("destination") == F.col("_destination"))
+    return rows.drop("_origin", "_destination")
+
+
+def with_regions(counts: DataFrame, regions: DataFrame, unknown: str = "other") -> DataFrame:
+    """``counts`` (place, n) with the region of ``regions`` (name, region), whatever the case of a name."""
+    known = regions.select(F.lower("name").alias("_name"), F.col("region"))
+    return counts.join(known, F.lower("place") == F.col("_name"), "left").select("place", "n", F.coalesce("region", F.lit(unknown)).alias("region"))

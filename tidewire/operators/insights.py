@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import display_text
 from tidewire.operators.articles import at, mentions, originals, since
+from tidewire.operators.reviews import tagged, theme_growth, theme_windows
 from tidewire.plans.catalog import Catalog
 
 #: Columns that all detectors of alerts give.
-ALERT = ("detector", "key", "severity", "value", "previous", "evidence")
+ALERT = ("detector", "key", "severity", "value", "previous", "evidence", "category", "region", "airline")
 
 
 def _enriched(cat: Catalog) -> DataFrame:
@@ -62,8 +65,10 @@ def comparable(cat: Catalog, as_of: str, days: int, share: float = 0.35) -> Data
     return rows.agg(F.count_if(current).alias("current"), F.count_if(previous).alias("previous")).withColumn("comparable", (F.col("current") > 0) & (F.col("previous") / F.col("current") >= share))
 
 
-def _alert(detector: str, key: str, severity: Column, value: Column, previous: Column) -> list[Column]:
-    return [F.lit(detector).alias("detector"), F.col(key).cast("string").alias("key"), severity.alias("severity"), value.cast("long").alias("value"), previous.cast("long").alias("previous"), F.col("evidence")]
+def _alert(detector: str, key: str, severity: Column, value: Column, previous: Column, **of: str | Column) -> list[Column]:
+    """Columns of an alert; ``of`` says which category, region or airline it is about, if any."""
+    about = [(F.lit(of.get(d)) if not isinstance(of.get(d), Column) else of[d]).cast("string").alias(d) for d in ALERT[-3:]]
+    return [F.lit(detector).alias("detector"), F.col(key).cast("string").alias("key"), severity.alias("severity"), value.cast("long").alias("value"), previous.cast("long").alias("previous"), F.col("evidence"), *about]
 
 
 def surges(cat: Catalog, as_of: str, days: int, category: str) -> DataFrame:
@@ -74,7 +79,7 @@ def surges(cat: Catalog, as_of: str, days: int, category: str) -> DataFrame:
     now = with_evidence(rows.filter(current).select("region", "id", "published_at"), "region")
     both = now.join(before, F.col("region") == F.col("_r"), "left").withColumn("before", F.coalesce("before", F.lit(0)))
     both = both.filter((F.col("n") >= 3) & ((F.col("before") == 0) | (F.col("n") >= 2 * F.col("before"))))
-    return both.select(*_alert("surge", "region", F.when(F.col("n") >= 6, "high").otherwise("medium"), F.col("n"), F.col("before")))
+    return both.select(*_alert("surge", "region", F.when(F.col("n") >= 6, "high").otherwise("medium"), F.col("n"), F.col("before"), category=category, region=F.col("region")))
 
 
 def negative_clusters(cat: Catalog, as_of: str, days: int, exempt: tuple[str, ...] = ("safety",)) -> DataFrame:
@@ -83,7 +88,7 @@ def negative_clusters(cat: Catalog, as_of: str, days: int, exempt: tuple[str, ..
     n = rows.groupBy(F.col("category").alias("_c")).agg(F.count("*").alias("all"))
     bad = with_evidence(rows.filter("sentiment = 'negative'").select("category", "id", "published_at"), "category")
     both = bad.join(n, F.col("category") == F.col("_c")).filter((F.col("all") >= 5) & (F.col("n") / F.col("all") >= 0.5))
-    return both.select(*_alert("negative", "category", F.when(F.col("n") / F.col("all") >= 0.7, "high").otherwise("medium"), F.col("n"), F.col("all")))
+    return both.select(*_alert("negative", "category", F.when(F.col("n") / F.col("all") >= 0.7, "high").otherwise("medium"), F.col("n"), F.col("all"), category=F.col("category")))
 
 
 def rival_promotions(cat: Catalog, as_of: str, days: int, category: str, home: str) -> DataFrame:
@@ -91,7 +96,7 @@ def rival_promotions(cat: Catalog, as_of: str, days: int, category: str, home: s
     rows = _enriched(cat).filter((F.col("published_at") >= since(as_of, days)) & (F.col("published_at") < at(as_of)) & (F.col("category") == category)).select("id", "published_at")
     found = mentions(cat, "airline").filter(F.upper("code") != home.upper()).select("article_id", "code").distinct()
     groups = with_evidence(rows.join(found, F.col("id") == F.col("article_id")).select("code", "id", "published_at"), "code").filter("n >= 2")
-    return groups.select(*_alert("promotion", "code", F.when(F.col("n") >= 3, "high").otherwise("medium"), F.col("n"), F.lit(None)))
+    return groups.select(*_alert("promotion", "code", F.when(F.col("n") >= 3, "high").otherwise("medium"), F.col("n"), F.lit(None), category=category, airline=F.col("code")))
 
 
 def movers(cat: Catalog, as_of: str, days: int, top: int = 3) -> DataFrame:
@@ -103,7 +108,7 @@ def movers(cat: Catalog, as_of: str, days: int, top: int = 3) -> DataFrame:
     rows = originals(cat.articles).filter(current).select("id", "published_at")
     found = mentions(cat, "airline").select("article_id", F.coalesce("code", "name").alias("code")).join(moved.select("code"), "code", "left_semi").distinct()
     proof = with_evidence(rows.join(found, F.col("id") == F.col("article_id")).select("code", "id", "published_at"), "code").select(F.col("code").alias("_code"), "evidence")
-    return moved.join(proof, F.col("code") == F.col("_code")).select(*_alert("momentum", "code", F.when(F.abs("delta") >= 5, "high").otherwise("medium"), F.col("current"), F.col("previous")))
+    return moved.join(proof, F.col("code") == F.col("_code")).select(*_alert("momentum", "code", F.when(F.abs("delta") >= 5, "high").otherwise("medium"), F.col("current"), F.col("previous"), airline=F.col("code")))
 
 
 def upcoming(cat: Catalog, today: str, days: int = 14, types: tuple[str, ...] = ("airshow", "conference", "holiday"), most: int = 4) -> DataFrame:
@@ -111,19 +116,58 @@ def upcoming(cat: Catalog, today: str, days: int = 14, types: tuple[str, ...] =
     first = F.lit(today).cast("date")
     rows = cat.calendar.filter(F.col("event_type").isin(*types) & F.col("starts").between(first, F.date_add(first, days))).orderBy("starts", "id").limit(most)
     rows = rows.withColumn("evidence", F.array("id"))
-    return rows.select(*_alert("event", "id", F.when(F.date_diff("starts", first) <= 7, "medium").otherwise("low"), F.date_diff("starts", first), F.lit(None)))
-
-
-def alerts(cat: Catalog, as_of: str, days: int, category: str, home: str, limit: int = 20) -> DataFrame:
-    """All detectors' alerts that have evidence, the most severe first."""
-    parts = [rival_promotions(cat, as_of, days, category, home), surges(cat, as_of, days, category), movers(cat, as_of, days), negative_clusters(cat, as_of, days), upcoming(cat, as_of[:10])]
+    return rows.select(*_alert("event", "id", F.when(F.date_diff("starts", first) <= 7, "medium").otherwise("low"), F.date_diff("starts", first), F.lit(None), region=F.col("region")))
+
+
+def review_alerts(reviews: DataFrame, keywords: Mapping[str, Sequence[str]], today: str, days: int, home: str) -> DataFrame:
+    """Themes that grow in the reviews of the home carrier, over windows four times as long, with their newest reviews."""
+    current, _ = theme_windows(today, 4 * days)
+    rows = tagged(reviews.filter(current), keywords).select("id", F.col("review_date").alias("published_at"), F.explode("themes").alias("theme"))
+    grown = theme_growth(reviews, keywords, today, 4 * days).withColumnRenamed("theme", "_theme")
+    both = grown.join(with_evidence(rows, "theme"), F.col("_theme") == F.col("theme"))
+    return both.select(*_alert("review_theme", "theme", F.col("severity"), F.col("current"), F.col("previous"), airline=home))
+
+
+def narrowed(found: DataFrame, wanted: Mapping[str, Sequence[str] | None]) -> DataFrame:
+    """Alerts about one of the wanted categories, regions or airlines, whatever the case of a code; what has no such dimension goes."""
+    for dimension, values in wanted.items():
+        if dimension not in ALERT[-3:]:
+            raise ValueError(f"alerts have no dimension {dimension!r}")
+        if values:
+            found = found.filter(F.upper("airline").isin([v.upper() for v in values]) if dimension == "airline" else F.col(dimension).isin(list(values)))
+    return found
+
+
+def alerts(
+    cat: Catalog, as_of: str, days: int, category: str, home: str, limit: int = 20, *, themes: Mapping[str, Sequence[str]] | None = None, reviews: DataFrame | None = None, today: str | None = None, wanted: Mapping[str, Sequence[str] | None] | None = None
+) -> DataFrame:
+    """All detectors' alerts that have evidence, the most severe first; ``themes`` adds those of the reviews, ``wanted`` (values by category, region or airline) narrows."""
+    parts = [rival_promotions(cat, as_of, days, category, home), surges(cat, as_of, days, category), movers(cat, as_of, days), negative_clusters(cat, as_of, days)]
+    if themes:
+        parts.append(review_alerts(cat.reviews if reviews is None else reviews, themes, today or as_of[:10], days, home))
+    parts.append(upcoming(cat, as_of[:10]))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return out.filter(F.size("evidence") > 0).orderBy(rank, F.size("evidence").desc(), "detector", "key").limit(limit)
+    return narrowed(out, wanted or {}).filter(F.size("evidence") > 0).orderBy(rank, F.size("evidence").desc(), "detector", "key").limit(limit)
 
 
 def headline() -> Column:
     """What a listing shows: the translated headline, else the original one, else the title."""
     return display_text(F.col("headline_tr"), F.col("headline"), F.col("title"))
+
+
+# The sentences of a digest that no model writes.
+RISING, BUSIEST, WORLDWIDE, QUIET = "Bu hafta gündemi yükselenler: ", "Yeni hat duyurularının en yoğun olduğu bölge: ", "küresel", "Bu hafta belirgin bir örüntü öne çıkmadı."
+
+
+def digest(moved: DataFrame, signals: DataFrame, most: int = 3) -> DataFrame:
+    """One row, text: the leading risers of ``moved`` (as ``momentum`` gives them) and the busiest region of ``signals`` (region, n)."""
+    said = F.concat("code", F.lit(" ("), F.col("previous").cast("string"), F.lit("→"), F.col("current").cast("string"), F.lit(" haber)"))
+    rising = moved.filter("delta > 0").select((-F.abs("delta")).alias("d"), (-F.col("current")).alias("c"), "code", said.alias("said")).orderBy("d", "c", "code").limit(most)
+    names = rising.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "c", "code", "said"))), lambda x: x["said"]), ", ").alias("names"))
+    top = signals.agg(F.min(F.struct((-F.col("n")).alias("n"), F.coalesce("region", F.lit(WORLDWIDE)).alias("region"))).alias("top"))
+    first = F.when(F.col("names") != "", F.concat(F.lit(RISING), "names", F.lit(".")))
+    second = F.when(F.col("top").isNotNull(), F.concat(F.lit(BUSIEST), F.col("top.region"), F.lit(" ("), (-F.col("top.n")).cast("string"), F.lit(" haber).")))
+    return names.crossJoin(top).select(F.coalesce(F.nullif(F.concat_ws(" ", first, second), F.lit("")), F.lit(QUIET)).alias("text"))  # one row each

@@ -38,11 +38,15 @@ def overall(reviews: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count("rating").alias("rated"), F.round(F.avg("rating"), 1).alias("mean_rating"), count("positive"), count("neutral"), count("negative"))
 
 
+def theme_windows(today: str, days: int) -> tuple[Column, Column]:
+    """Whether a review is of the last ``days``, or of as many before; what is undated is of neither."""
+    start, before = (F.date_sub(F.lit(today).cast("date"), n) for n in (days, 2 * days))
+    return F.col("review_date") >= start, (F.col("review_date") >= before) & (F.col("review_date") < start)
+
+
 def theme_growth(reviews: DataFrame, keywords: Mapping[str, Sequence[str]], today: str, days: int, least: int = 3, factor: float = 1.5) -> DataFrame:
     """theme, current, previous, severity of themes that grow from one window to the next."""
-    last = F.lit(today).cast("date")
-    current = (F.col("review_date") > F.date_sub(last, days)) & (F.col("review_date") <= last)
-    previous = (F.col("review_date") > F.date_sub(last, 2 * days)) & (F.col("review_date") <= F.date_sub(last, days))
+    current, previous = theme_windows(today, days)
     rows = tagged(reviews.filter(current | previous), keywords).select("review_date", "sentiment", F.explode("themes").alias("theme"))
     counted = rows.groupBy("theme").agg(F.count_if(current).alias("current"), F.count_if(previous).alias("previous"), F.count_if(current & (F.col("sentiment") == "negative")).alias("bad"))
     grown = counted.filter((F.col("current") >= least) & (F.col("current") >= factor * F.col("previous")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,3 +83,60 @@ def for_export(kpis: DataFrame, metric: str) -> DataFrame:
     """The columns of the CSV export, to be written in ascending order; a missing address is empty."""
     rows = kpis.filter((F.col("metric_key") == metric) & F.col("is_primary"))
     return rows.orderBy("as_of", "id").select(F.col("as_of").cast("date").alias("date"), "value", "unit", "source", F.coalesce("source_url", F.lit("")).alias("source_url"))
+
+
+# Flights of a day for each one in the air, dollars between crude and jet fuel, the factor of its history, and the days of a period.
+FLIGHTS_PER_AIRBORNE, CRACK_SPREAD, FUEL_FACTOR = 12, 57.0, 1.18
+PERIOD_DAYS = {"1w": 7, "1m": 30, "3m": 90, "6m": 180, "1y": 365}
+
+
+def _long(rows: DataFrame, keys: list[str], metrics: dict[str, Column]) -> DataFrame:
+    """keys, metric_key, value: a row for each metric that has a value."""
+    pairs = F.array(*(F.struct(F.lit(k).alias("metric_key"), v.cast("double").alias("value")) for k, v in metrics.items()))
+    return rows.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.metric_key", "m.value").filter("value is not null")
+
+
+def published(years: DataFrame) -> DataFrame:
+    """as_of, metric_key, value from published figures of a year.
+
+    ``years``: as_of, passengers and departures in millions, load_factor in per cent, and rpk, passenger_revenue,
+    cargo_revenue, ancillary_revenue and ebit in billions. Capacity, yield and unit revenue and cost follow from them.
+    """
+    c, bn = F.col, 1e9
+    ask = c("rpk") / (c("load_factor") / 100)
+    revenue = c("passenger_revenue") + c("cargo_revenue") + c("ancillary_revenue")
+    return _long(years, ["as_of"], {
+        "passengers_ytd": c("passengers") * 1e6, "load_factor": c("load_factor"), "rpk": c("rpk") * bn, "ask": F.round(ask) * bn, "departures": c("departures") * 1e6,
+        "passenger_revenue_ytd": c("passenger_revenue") * bn, "ancillary_revenue_ytd": c("ancillary_revenue") * bn,
+        "total_aviation_revenue_ytd": (c("passenger_revenue") + c("ancillary_revenue")) * bn, "yield_per_rpk": F.round(c("passenger_revenue") / c("rpk") * 100, 2),
+        "rask": F.round(revenue / ask * 100, 2), "cask": F.round((revenue - c("ebit")) / ask * 100, 2),
+    })
+
+
+def live(readings: DataFrame) -> DataFrame:
+    """as_of, metric_key, value from ``readings`` (as_of, airborne, brent, usd_try; null: not read), with what is derived from them."""
+    c = F.col
+    return _long(readings, ["as_of"], {"flights_airborne": c("airborne"), "flights_today": F.round(c("airborne") * FLIGHTS_PER_AIRBORNE), "oil_price": c("brent"), "fuel_price": F.round(c("brent") + CRACK_SPREAD, 2), "fx_usd_try": c("usd_try")})
+
+
+def cross_check(value: Column, other: Column) -> Column:
+    """By how many per cent another source differs; 0 where there is nothing to compare with."""
+    return F.when(value != 0, F.round(F.abs(value - other) / value * 100, 3)).otherwise(0.0)
+
+
+def last_year(history: DataFrame) -> DataFrame:
+    """metric_key, value, is_primary: the first point of each metric's last year (metric_key, at, value), under a name of its own so that no trend shows it."""
+    return history.groupBy("metric_key").agg(F.min_by("value", "at").alias("value")).select(F.concat("metric_key", F.lit("_ly")).alias("metric_key"), "value", F.lit(False).alias("is_primary"))
+
+
+def history(kpis: DataFrame, metric: str, as_of: str, period: str) -> DataFrame:
+    """as_of, value of a metric's primary readings of a period (1w, 1m, 3m, 6m or 1y), oldest first."""
+    if period not in PERIOD_DAYS:
+        raise ValueError(f"unknown period {period!r}")
+    start = F.lit(dt.datetime.fromisoformat(as_of) - dt.timedelta(days=PERIOD_DAYS[period])).cast("timestamp_ntz")
+    return kpis.filter((F.col("metric_key") == metric) & F.col("is_primary") & (F.col("as_of") >= start)).orderBy("as_of", "id").select("as_of", "value")
+
+
+def fuel_history(crude: DataFrame) -> DataFrame:
+    """Closes of crude oil (as_of, value) as a history of fuel prices."""
+    return crude.withColumn("value", F.round(F.col("value") * FUEL_FACTOR, 2))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import scoring, text, titles
-from tidewire.operators import articles, dedup, delivery, edition, enrich, graph, insights, merge, pivot, reviews, series, summary
+from tidewire.operators import articles, dedup, delivery, edition, enrich, graph, insights, merge, months, pivot, reviews, series, summary, upkeep
 from tidewire.plans.catalog import Catalog, with_views
 from tidewire.sources import feeds
 
@@ -352,7 +352,21 @@ def comparable_windows(cat):
 
 @query()
 def alerts(cat):
-    return insights.alerts(cat, AS_OF, 90, "urgent", "A0")
+    return insights.alerts(cat, AS_OF, 90, "urgent", "A0", themes=THEMES, today=REVIEW_DAY)
+
+
+@query()
+def alerts_of_categories(cat):
+    return insights.alerts(cat, AS_OF, 90, "urgent", "A0", wanted={"category": ["urgent", "low"]})
+
+
+@query(
+    _MENTION.format("airline").replace("DISTINCT x.article_id, ", "x.article_id, ") + f", c AS (SELECT code, count(*) FILTER ({_WIN}) AS current, count(*) FILTER ({_BEFORE}) AS previous FROM articles a JOIN m ON a.id = m.article_id WHERE NOT is_duplicate AND ({_WIN} OR {_BEFORE}) GROUP BY code), d AS (SELECT * FROM c ORDER BY abs(current - previous) DESC, current DESC, code LIMIT 10), u AS (SELECT * FROM d WHERE current > previous ORDER BY current - previous DESC, current DESC, code LIMIT 3)"
+    f", g AS (SELECT region, count(*) AS n FROM articles a JOIN enrichment e ON a.id = e.article_id WHERE NOT is_duplicate AND published_at >= TIMESTAMP '2000-08-02' AND category = 'low' AND region IS NOT NULL GROUP BY region ORDER BY n DESC, region LIMIT 1), p AS (SELECT (SELECT concat('{insights.RISING}', string_agg(concat(code, ' (', previous, '→', current, ' haber)'), ', ' ORDER BY current - previous DESC, current DESC, code), '.') FROM u HAVING count(*) > 0) AS a, (SELECT concat('{insights.BUSIEST}', region, ' (', n, ' haber).') FROM g) AS b) SELECT coalesce(nullif(concat_ws(' ', a, b), ''), '{insights.QUIET}') AS text FROM p",
+    *_AE, "article_entities", "entities",
+)
+def insight_digest(cat):
+    return insights.digest(insights.momentum(cat, AS_OF, 90), insights.route_signals(cat, AS_OF, 365, "low"))
 
 
 # --- places
@@ -413,7 +427,7 @@ def review_stats(cat):
     return reviews.overall(cat.reviews)
 
 
-@query(_theme_sql() + ", c AS (SELECT theme, count(*) FILTER (review_date > DATE '2024-07-03') AS current, count(*) FILTER (review_date <= DATE '2024-07-03') AS previous, count(*) FILTER (review_date > DATE '2024-07-03' AND sentiment = 'negative') AS bad FROM t WHERE review_date > DATE '2024-04-04' AND review_date <= DATE '2024-10-01' GROUP BY theme) SELECT theme, current, previous, CASE WHEN bad / current >= 0.6 THEN 'high' ELSE 'medium' END AS severity FROM c WHERE current >= 3 AND current >= 0.9 * previous", "reviews")
+@query(_theme_sql() + ", c AS (SELECT theme, count(*) FILTER (review_date >= DATE '2024-07-03') AS current, count(*) FILTER (review_date < DATE '2024-07-03') AS previous, count(*) FILTER (review_date >= DATE '2024-07-03' AND sentiment = 'negative') AS bad FROM t WHERE review_date >= DATE '2024-04-04' GROUP BY theme) SELECT theme, current, previous, CASE WHEN bad / current >= 0.6 THEN 'high' ELSE 'medium' END AS severity FROM c WHERE current >= 3 AND current >= 0.9 * previous", "reviews")
 def review_theme_growth(cat):
     return reviews.theme_growth(cat.reviews, THEMES, REVIEW_DAY, 90, factor=0.9)
 
@@ -557,3 +571,134 @@ def json_series(cat):
 @query()
 def page_texts(cat):
     return cat.table("pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+@query(r" SELECT id, 0 AS position, url, concat('Story ', id) AS title, concat('Body ', id, ' & more') AS content, coalesce(source_name, '') AS author, review_date + INTERVAL 9 HOURS AS at FROM reviews WHERE id % 4 <> 1 UNION ALL SELECT id, 1, concat(url, '/b'), 'Second', '', NULL, NULL FROM reviews WHERE id % 4 = 2", "reviews")
+def feed_entries(cat):
+    # one feed a review: in RSS, in RSS with two items and one without a title, in Atom, or broken
+    date = lambda p: F.coalesce(F.date_format("review_date", p), F.lit(""))
+    body, name = F.concat(F.lit("&lt;p&gt;Body "), "id", F.lit(" &amp;amp; more&lt;/p&gt;")), F.coalesce("source_name", F.lit(""))
+    item = F.concat(F.lit("<item><title> Story "), "id", F.lit("</title><link>"), "url", F.lit("</link><description>"), body, F.lit("</description><author>"), name, F.lit("</author><pubDate>"), date("EEE, d MMM yyyy"), F.lit(" 09:00:00 GMT</pubDate></item>"))
+    more = F.when(F.col("id") % 4 == 2, F.concat(F.lit("<item><title>Second</title><link>"), "url", F.lit("/b</link></item><item><link>x</link></item>"))).otherwise("")
+    rss = F.concat(F.lit('<rss version="2.0"><channel><title>Feed</title>'), item, more, F.lit("</channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Story '), "id", F.lit('</title><link href="'), "url", F.lit('"/><content type="html">'), body, F.lit("</content><author><name>"), name, F.lit("</name></author><updated>"), date("yyyy-MM-dd"), F.lit("T09:00:00+00:00</updated></entry></feed>"))
+    xml = F.when(F.col("id") % 4 == 1, "<rss><channel>").when(F.col("id") % 4 == 3, atom).otherwise(rss)
+    found = feeds.feed_items(cat.reviews.select("id", xml.alias("xml")))
+    return found.select("id", "position", "url", "title", "content", F.coalesce("author", F.when(F.col("position") == 0, "")).alias("author"), F.col("published_at").cast("timestamp_ntz").alias("at"))
+
+
+@query(", q AS (SELECT id, url, rating, review_date FROM reviews WHERE id % 3 <> 0) SELECT id, CASE WHEN id % 3 = 1 THEN concat('https://reviews.example/list#anchor', id) ELSE 'https://reviews.example/list/2' END AS url, concat('The crew of flight ', id, ' were kind. Food was cold.') AS excerpt, review_date, rating, 'A. Guest' AS author, 'Rome to Oslo' AS route, CAST(NULL AS VARCHAR) AS cabin FROM q", "reviews")
+def review_page_entries(cat):
+    c, l = F.col, F.lit
+    named = F.when(c("id") % 3 == 1, F.concat(l("comp list-item review-"), "id")).otherwise("comp")
+    said = F.when(c("id") % 3 == 0, "The app crashed again and again.").otherwise(F.concat(l("<em>Trip Verified</em> | The crew of flight "), "id", l(" were kind.  Food was cold. Third.")))
+    rating = F.when(c("rating").isNotNull(), F.concat(l('<div itemprop="reviewRating"><span itemprop="ratingValue">'), "rating", l("</span>/10</div>"))).otherwise("")
+    date = F.when(c("review_date").isNotNull(), F.concat(l('<meta itemprop="datePublished" content="'), "review_date", l('">'))).otherwise("")
+    page = F.concat(l('<html><article itemprop="review" class="'), named, l('">'), rating, date, l('<span itemprop="author"><span itemprop="name">A. Guest</span></span><div class="text" itemprop="reviewBody">'), said, l('</div><table><tr><td class="header route ">Route</td><td>Rome to Oslo</td></tr></table></article></html>'))
+    return feeds.review_pages(cat.reviews.select("id", l("https://reviews.example/list/2").alias("page_url"), page.alias("html")), "https://reviews.example/list")
+
+
+_STORY = (
+    ", b AS (SELECT x.article_id, x.entity_id FROM article_entities x JOIN entities n ON x.entity_id = n.id WHERE n.entity_type = 'airline' AND n.id % 2 = 0)"
+    ", r AS (SELECT DISTINCT a.id, lower(a.title) AS title, CAST(published_at AS DATE) AS day, e.headline_tr AS tr, coalesce(CAST(b.entity_id AS VARCHAR), concat('category:', e.category)) AS key FROM articles a JOIN enrichment e ON a.id = e.article_id LEFT JOIN b ON b.article_id = a.id WHERE NOT is_duplicate AND status = 'enriched' AND published_at IS NOT NULL)"
+    f", t AS (SELECT *, list_distinct(list_filter(string_split({_normal('title')}, ' '), lambda x: x <> '')) AS w, list_distinct(list_filter(string_split({_normal('tr')}, ' '), lambda x: x <> '')) AS v, regexp_extract(title, '[0-9]+') AS number FROM r)"
+    ", p AS (SELECT DISTINCT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS s, CASE WHEN len(a.v) > 0 AND len(b.v) > 0 THEN len(list_intersect(a.v, b.v)) / len(list_distinct(list_concat(a.v, b.v))) ELSE 0 END AS z FROM t a JOIN t b ON a.key = b.key AND a.day = b.day AND a.id < b.id AND a.number = b.number)"
+)
+
+
+def _stories(cat: Catalog) -> tuple:
+    named = cat.article_entities.join(cat.entities.filter("entity_type = 'airline' and id % 2 = 0").select(F.col("id").alias("entity_id")), "entity_id")
+    return cat.articles.withColumn("title", F.lower("title")), cat.enrichment, named, AS_OF, 4000
+
+
+@query(_STORY + " SELECT a, b, round(greatest(s, z), 6) AS similarity FROM p WHERE greatest(s, z) >= 0.3", *_AE, "article_entities", "entities")
+def same_story_pairs(cat):
+    return dedup.story_pairs(*dedup.story_candidates(*_stories(cat))).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def second_pass(cat):
+    return dedup.second_pass(*_stories(cat)).select("id", "is_duplicate", "duplicate_of_id", "status")
+
+
+@query()
+def first_pass(cat):
+    status = F.when(F.col("id") % 3 == 0, "enriched").otherwise("new").alias("status")
+    rows = cat.reviews.select("id", F.substring("body", 1, 60).alias("title"), F.col("body").alias("text"), F.col("review_date").alias("time"), F.coalesce("review_date", F.lit("2024-09-30").cast("date")).cast("timestamp_ntz").alias("fetched_at"), status)
+    return dedup.first_pass(rows, REVIEW_DAY, 300)
+
+
+_YEARS = ", y AS (SELECT max(as_of) AS as_of, count(*) AS n, count(*) % 37 + 50 AS lf FROM kpis GROUP BY source), m AS (SELECT as_of, n * 1.0 AS rpk, lf * 1.0 AS lf, n / (lf / 100) AS ask, n * 0.5 AS pax, n * 0.125 AS cargo, n * 0.25 AS extra, n * 0.0625 AS ebit FROM y)"
+
+
+@query(
+    _YEARS + ", l AS (" + " UNION ALL ".join(f"SELECT as_of, '{k}' AS metric_key, ({v})::DOUBLE AS value FROM m" for k, v in {
+        "passengers_ytd": "rpk * 2 * 1e6", "load_factor": "lf", "rpk": "rpk * 1e9", "ask": "round(ask) * 1e9", "departures": "rpk * 1e6", "passenger_revenue_ytd": "pax * 1e9", "ancillary_revenue_ytd": "extra * 1e9",
+        "total_aviation_revenue_ytd": "(pax + extra) * 1e9", "yield_per_rpk": "round(pax / rpk * 100, 2)", "rask": "round((pax + cargo + extra) / ask * 100, 2)", "cask": "round((pax + cargo + extra - ebit) / ask * 100, 2)",
+    }.items()) + ") SELECT * FROM l", "kpis",
+)
+def published_kpis(cat):
+    n = F.col("n").cast("double")
+    years = cat.kpis.groupBy("source").agg(F.max("as_of").alias("as_of"), F.count("*").alias("n"))
+    return series.published(years.select("as_of", (n * 2).alias("passengers"), n.alias("departures"), (F.col("n") % 37 + 50).cast("double").alias("load_factor"), n.alias("rpk"), (n * 0.5).alias("passenger_revenue"), (n * 0.125).alias("cargo_revenue"), (n * 0.25).alias("ancillary_revenue"), (n * 0.0625).alias("ebit")))
+
+
+@query(", r AS (SELECT id, as_of, CASE WHEN id % 4 <> 0 THEN id % 10000 END AS a, CASE WHEN id % 5 <> 0 THEN id % 90 + 0.5 END AS b, CASE WHEN id % 6 <> 0 THEN id % 40 + 0.25 END AS u FROM kpis), l AS (SELECT as_of, 'flights_airborne' AS metric_key, a::DOUBLE AS value FROM r UNION ALL SELECT as_of, 'flights_today', a * 12 FROM r UNION ALL SELECT as_of, 'oil_price', b FROM r UNION ALL SELECT as_of, 'fuel_price', b + 57 FROM r UNION ALL SELECT as_of, 'fx_usd_try', u FROM r) SELECT as_of, metric_key, value::DOUBLE AS value FROM l WHERE value IS NOT NULL", "kpis")
+def live_kpis(cat):
+    unless = lambda k, v: F.when(F.col("id") % k != 0, v.cast("double"))
+    return series.live(cat.kpis.select("as_of", unless(4, F.col("id") % 10000).alias("airborne"), unless(5, F.col("id") % 90 + 0.5).alias("brent"), unless(6, F.col("id") % 40 + 0.25).alias("usd_try")))
+
+
+@query(" SELECT concat(metric_key, '_ly') AS metric_key, arg_min(value, (as_of, id)) AS value, false AS is_primary FROM kpis GROUP BY metric_key", "kpis")
+def kpi_last_year_points(cat):
+    return series.last_year(cat.kpis.select("metric_key", F.struct("as_of", "id").alias("at"), "value"))
+
+
+@query(" SELECT as_of, value FROM kpis WHERE metric_key = 'purchase' AND is_primary AND as_of >= TIMESTAMP '2024-01-03'", "kpis")
+def kpi_history(cat):
+    return series.history(cat.kpis, "purchase", "2024-07-01", "6m")
+
+
+@query(r", x AS (SELECT DISTINCT date_trunc('month', starts)::DATE AS month FROM calendar), g AS (SELECT month, CAST(month - INTERVAL 1 DAY * (isodow(month) - 1) AS DATE) AS first, (ceil((isodow(month) - 1 + day(last_day(month))) / 7) * 7)::BIGINT AS n FROM x), c AS (SELECT month, first, unnest(range(0, n)) AS cell FROM g) SELECT month, cell, CAST(first + INTERVAL 1 DAY * cell AS DATE) AS day, date_trunc('month', CAST(first + INTERVAL 1 DAY * cell AS DATE)) = month AS in_month FROM c", "calendar")
+def month_cells(cat):
+    return months.month_cells(cat.calendar.select(F.col("starts").alias("month")))
+
+
+@query(_ORIGINAL + " SELECT e.article_id, e.headline, false AS changed FROM enrichment e JOIN articles a ON a.id = e.article_id WHERE e.article_id % 5 <> 0 UNION ALL SELECT e.article_id, concat('A long enough headline about story ', e.article_id), true FROM enrichment e JOIN articles a ON a.id = e.article_id WHERE e.article_id % 5 = 0", *_AE)
+def cleaned_headlines(cat):
+    credited = F.concat(F.lit("A long enough headline about story "), F.col("article_id").cast("string"), F.lit(" - Some Daily"))
+    stored = cat.enrichment.withColumn("headline", F.when(F.col("article_id") % 5 == 0, credited).otherwise(F.col("headline")))
+    return upkeep.cleaned_headlines(cat.articles, cat.sources, stored)
+
+
+@query(" SELECT article_id, CASE WHEN article_id % 3 = 0 THEN concat('Haber ', article_id, ' tanıtıyor') WHEN headline_tr <> '' THEN headline_tr END AS headline_tr, CASE WHEN article_id % 3 = 0 OR headline_tr <> '' THEN translated_at END AS translated_at FROM enrichment", "enrichment")
+def repaired_translations(cat):
+    broken = F.concat(F.lit('(translated from English)\n"Haber '), F.col("article_id").cast("string"), F.lit(' tanıtüyor"'))
+    stored = cat.enrichment.withColumn("headline_tr", F.when(F.col("article_id") % 3 == 0, broken).otherwise(F.col("headline_tr")))
+    return upkeep.repaired_translations(stored)
+
+
+@query(" SELECT id, 'deduped' AS status FROM articles WHERE NOT is_duplicate AND fetched_at >= TIMESTAMP '2000-08-02' UNION ALL SELECT id, status FROM articles WHERE is_duplicate OR fetched_at < TIMESTAMP '2000-08-02'", "articles")
+def reset_articles(cat):
+    return upkeep.reset_enrichment(cat.articles, cat.enrichment, cat.article_entities, AS_OF, 365)[0].select("id", "status")
+
+
+@query(" SELECT e.article_id FROM enrichment e JOIN articles a ON a.id = e.article_id WHERE is_duplicate OR fetched_at < TIMESTAMP '2000-08-02'", *_AE)
+def reset_enrichment(cat):
+    return upkeep.reset_enrichment(cat.articles, cat.enrichment, cat.article_entities, AS_OF, 365)[1].select("article_id")
+
+
+@query(" SELECT id, name FROM calendar WHERE contains(translate(lower(concat(name, ' İĞNE')), 'i̇ğ', 'iig'), 'igne') AND contains(name, '17')", "calendar")
+def folded_search(cat):
+    marked = cat.calendar.filter(F.contains(text.folded(F.concat("name", F.lit(" İĞNE"))), F.lit("igne")))
+    return marked.filter(F.contains("name", F.lit("17"))).select("id", "name")
+
+
+_PLACED = ", z AS (SELECT DISTINCT code, CAST(substr(code, 2) AS DOUBLE) AS lat FROM entities WHERE entity_type = 'airport' AND CAST(substr(code, 2) AS BIGINT) % 4 <> 0)"
+
+
+@query(", m AS (SELECT DISTINCT a.id, n.code FROM articles a JOIN article_entities x ON a.id = x.article_id JOIN entities n ON x.entity_id = n.id WHERE n.entity_type = 'airport' AND NOT is_duplicate AND coalesce(published_at, fetched_at) >= TIMESTAMP '2000-08-02'), r AS (SELECT l.code AS origin, r.code AS destination, count(*) AS n FROM m l JOIN m r ON l.id = r.id AND l.code < r.code GROUP BY ALL HAVING n >= 2 ORDER BY n DESC, origin, destination LIMIT 40)" + _PLACED + " SELECT r.*, p.lat AS origin_lat, -p.lat AS origin_lon, q.lat AS destination_lat, -q.lat AS destination_lon FROM r JOIN z p ON p.code = origin JOIN z q ON q.code = destination", "articles", "article_entities", "entities")
+def located_routes(cat):
+    lat = F.substring("code", 2, 9).cast("double")
+    places = cat.entities.filter("entity_type = 'airport'").select("code", lat.alias("lat"), (-lat).alias("lon")).distinct().filter("lat % 4 <> 0")
+    return graph.located(graph.routes(cat, AS_OF, 365), places)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions.text import clip_excerpt, iso_date, strip_html
+from tidewire.functions.titles import quotable
+
 QUOTE = "struct<chart:struct<result:array<struct<meta:struct<regularMarketPrice:double>,timestamp:array<bigint>,indicators:struct<quote:array<struct<close:array<double>>>>>>>>"
 REVIEW = "struct<feed:struct<entry:array<struct<id:struct<label:string>,title:struct<label:string>,content:struct<label:string>,`im:rating`:struct<label:string>,updated:struct<label:string>>>>>"
 
@@ -60,3 +63,69 @@ def survivors(readers: Mapping[str, Callable[[SparkSession], DataFrame]], spark:
         else:
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out, errors
+
+
+RSS = "struct<channel:struct<item:array<struct<title:string,link:string,description:string,encoded:string,author:string,creator:string,pubDate:string,date:string>>>>"
+ATOM = "struct<entry:array<struct<title:string,link:array<struct<_href:string,_rel:string>>,content:string,summary:string,author:struct<name:string>,published:string,updated:string>>>"
+XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
+
+
+def feed_time(value: Column) -> Column:
+    """A time as feeds write it, in mail or ISO form, else null."""
+    mail = F.regexp_replace(F.regexp_replace(F.trim(value), r"^[A-Za-z]+,\s*", ""), r"(?:GMT|UTC?|Z)$", "+0000")
+    return F.coalesce(F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.regexp_extract(F.trim(value), r"^\d{4}-.*", 0)))
+
+
+def _entries(docs: DataFrame) -> DataFrame:
+    """id, position, url, title, html, author, published_at of the entries of feeds (id, xml) in either form."""
+    rss, atom = F.from_xml("xml", RSS, XML)["channel"]["item"], F.from_xml("xml", ATOM, XML)["entry"]
+    link = lambda e: F.get(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    entry = lambda url, title, html, author, time: F.struct(F.trim(url).alias("url"), F.trim(title).alias("title"), F.coalesce(html, F.lit("")).alias("html"), author.alias("author"), feed_time(time).alias("published_at"))
+    of_rss = F.transform(rss, lambda e: entry(e["link"], e["title"], F.coalesce(e["encoded"], e["description"]), F.coalesce(e["author"], e["creator"]), F.coalesce(e["pubDate"], e["date"])))
+    of_atom = F.transform(atom, lambda e: entry(link(e), e["title"], F.coalesce(e["content"], e["summary"]), e["author"]["name"], F.coalesce(e["published"], e["updated"])))
+    return docs.select("id", F.posexplode(F.coalesce(of_rss, of_atom)).alias("position", "e")).select("id", "position", "e.*")
+
+
+def feed_items(docs: DataFrame) -> DataFrame:
+    """id, position, url, title, content, author, published_at of feeds (id, xml); entries without address or title are left out, a broken feed has none."""
+    rows = _entries(docs).filter((F.col("url") != "") & (F.col("title") != ""))
+    return rows.select("id", "position", "url", "title", strip_html(F.col("html")).alias("content"), "author", "published_at")
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is made once a row: as a generator's output it isn't written into the conditions on it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def forum_posts(docs: DataFrame) -> DataFrame:
+    """id, url, excerpt, review_date, author of a forum's feeds (id, xml): the post's own text without links, else its title, where that can be quoted."""
+    own = F.regexp_replace(F.regexp_extract("html", r'(?s)<div[^>]*class="md"[^>]*>(.*?)</div>', 1), r"(?s)<a\b.*?</a>", " ")
+    said = F.coalesce(F.nullif(strip_html(own), F.lit("")), "title", F.lit(""))
+    author = F.nullif(F.regexp_replace(F.trim("author"), r"^/+", ""), F.lit(""))
+    rows = _once(_entries(docs).filter("url <> ''"), "excerpt", clip_excerpt(said))
+    return rows.filter(quotable(F.col("excerpt"))).select("id", "url", "excerpt", F.col("published_at").cast("date").alias("review_date"), author.alias("author"))
+
+
+# What precedes a verified review's text, and the class that numbers a review.
+VERIFIED, NUMBERED = r"(?i)^[^|]{0,40}\bverified\b[^|]{0,20}\|\s*", r"\breview-(\d+)\b"
+
+
+def review_pages(docs: DataFrame, base_url: str) -> DataFrame:
+    """id, url, excerpt, review_date, rating, author, route, cabin of the reviews in pages (id, page_url, html) marked up as such, where they can be quoted.
+
+    The address is the base listing's with the review's own anchor, so that it stays when a review moves to another page.
+    """
+    block = F.col("block")
+    take = lambda pattern: F.nullif(F.regexp_extract(block, "(?is)" + pattern, 1), F.lit(""))
+    marked = lambda name: take(rf'itemprop="{name}"[^>]*>(.*?)</(?:div|span|p|h\d|strong|a)>')
+    cell = lambda name: F.nullif(strip_html(take(rf'<td[^>]*class="[^"]*{name}[^"]*"[^>]*>.*?</td>\s*<td[^>]*>(.*?)</td>')), F.lit(""))
+    rows = docs.select("id", "page_url", F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<article\b[^>]*itemprop="review"[^>]*>.*?</article>'), F.lit(0))).alias("block"))
+    number = F.regexp_extract(F.regexp_extract(block, r'(?is)^<article\b[^>]*class="([^"]*)"', 1), NUMBERED, 1)
+    named = F.regexp_extract(block, r'(?is)itemprop="author".*', 0)
+    author = F.nullif(strip_html(F.regexp_extract(named, r'(?is)itemprop="name"[^>]*>(.*?)<', 1)), F.lit(""))
+    date = F.coalesce(take(r'<meta[^>]*itemprop="datePublished"[^>]*content="([^"]*)"'), take(r'<time[^>]*datetime="([^"]*)"'))
+    rows = _once(rows, "excerpt", clip_excerpt(F.regexp_replace(strip_html(marked("reviewBody")), VERIFIED, "")))
+    return rows.filter(quotable(F.col("excerpt"))).select(
+        "id", F.when(number != "", F.concat(F.lit(base_url + "#anchor"), number)).otherwise(F.col("page_url")).alias("url"), "excerpt", iso_date(date).alias("review_date"),
+        F.trim(marked("ratingValue")).try_cast("double").alias("rating"), F.substring(author, 1, 120).alias("author"), F.substring(cell("route"), 1, 60).alias("route"), cell("cabin_flown").alias("cabin"),
+    )
