@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import chat_windows, lattice, licenses, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, robust_outliers
+from tidewire.llm import chat_windows, filter_audit, lattice, licenses, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, robust_outliers, spelling, suffix_index
 from tidewire.llm.common import lines, table
 
 
@@ -68,7 +68,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_embedding_near_dedup, op5_line_dedup, op6_ngram_jaccard, op7_pii_surrogates, op8_mixing, op9_chat_formatting, op10_quality_classifier)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_index.remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_embedding_near_dedup, op5_line_dedup, op6_ngram_jaccard, op7_pii_surrogates, op8_mixing, op9_chat_formatting, op10_quality_classifier, op11_suffix_dedup, op12_spelling_variants, op13_filter_audit)}
 
 #: Blanks that the contracts name, as DuckDB writes them.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -150,4 +163,67 @@ SELECT t.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss
 FROM t LEFT JOIN again ON t.conv_id = again.conv_id
 """
 
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+s AS (SELECT doc_id, q, md5(substr(hx, 2 * q + 1, 200)) AS w FROM (SELECT doc_id, hx, unnest(range(length(hx) // 2 - 99)) AS q FROM d)),
+a AS (SELECT doc_id, q FROM (SELECT doc_id, q, row_number() OVER (PARTITION BY w ORDER BY doc_id, q) AS nth FROM s) WHERE nth > 1),
+g AS (SELECT *, CASE WHEN q <= lag(q) OVER (PARTITION BY doc_id ORDER BY q) + 100 THEN 0 ELSE 1 END AS new FROM a),
+n AS (SELECT doc_id, q, sum(new) OVER (PARTITION BY doc_id ORDER BY q) AS run FROM g),
+r AS (SELECT doc_id, min(q) AS start, max(q) + 100 AS stop FROM n GROUP BY doc_id, run),
+b AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM r),
+k AS (SELECT b.doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans, max(stop) AS last,
+             string_agg(substr(hx, 2 * before + 1, 2 * (start - before)), '' ORDER BY start) AS head FROM b JOIN d ON d.doc_id = b.doc_id GROUP BY b.doc_id)
+SELECT d.doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN hx ELSE head || substr(hx, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+OP12_SQL = r"""
+WITH bits AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i)),
+tab AS (WITH RECURSIVE t AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL
+        SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8)
+        SELECT list(c ORDER BY i) AS tab FROM t WHERE k = 8),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY id, run),
+x AS (SELECT *, hex(encode(id || ':' || run)) AS hx FROM d),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT),
+             lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS h FROM x, tab),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)::INT)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+      UNION SELECT a.word, v.word, v.n FROM cut a JOIN v ON a.rest = v.word
+      UNION SELECT v.word, a.word, a.n FROM cut a JOIN v ON a.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 5 * v.n THEN (SELECT min(p.other) FROM p WHERE p.word = v.word AND p.other_n = b.most) END AS form,
+             CASE WHEN b.most >= 5 * v.n THEN b.most END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+s AS (WITH RECURSIVE s AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT s.word, f.form, k + 1 FROM s JOIN f ON f.word = s.root WHERE f.form IS NOT NULL)
+      SELECT word, max_by(root, k) AS root FROM s GROUP BY word)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, s.root FROM f JOIN s ON s.word = f.word
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+             + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+             + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e
+      WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, bit,
+             coalesce(sum(n) FILTER (WHERE mask & (bit | before) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0) AS removed,
+             coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before <> 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+ORACLE_SQL = {"op5_line_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op11_suffix_dedup": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_filter_audit": OP13_SQL}
