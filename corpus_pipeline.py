@@ -14,29 +14,48 @@ from tidewire.llm.common import table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking, learned from the labels outside the held-out quarter, doesn't reject."""
+    """Documents that the ranking, learned from the labels outside the held-out quarter, doesn't reject.
+
+    Null and empty texts are scored by zero statistics; repeated rows are decided alike; without labels of both classes
+    no document is rejected; an empty table stays empty. All columns stay.
+    """
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the lines that no later document holds as well, where three or more do; a document may end up empty."""
+    """Documents with the lines that no later document holds as well, where three or more do; a document may end up empty.
+
+    A null text becomes an empty one; rows of a null id keep their lines and count for nobody; rows of one id are one
+    document to the counts. Every row stays, with its other columns but for n_chars, which is the new text's.
+    """
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return kept.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link on their shingles, the one of the least id."""
+    """Of documents that link on their shingles, the one of the least id.
+
+    Documents without words link with nothing and all stay; a null id comes last; of rows that share id and text, one
+    stays. All columns stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those that it doesn't take go."""
+    """Documents as often as the mix takes them; those that it doesn't take go.
+
+    A null source is a source; documents without words are taken as often as their source's others by their place; rows
+    of one id are taken alike. All columns stay; a document that is taken twice is two equal rows.
+    """
     return mixing.apply_mix(docs, mixing.plan_mix(docs)[1])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
+    """Pieces of the documents with their places in sequences.
+
+    Documents without words have no piece; equal rows are packed each for itself, and a null id is kept as it is.
+    """
     return packing.pack(docs)
 
 

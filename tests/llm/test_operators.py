@@ -26,14 +26,15 @@ ODD = (None, "", " \n ", "one word", "one word", "long " * 30_000)
 def test_every_operator_takes_odd_tables(spark, rows):
     d, n = docs(spark, *rows), len(rows)
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert robust_outliers.robust_outliers(d).count() == n
-    assert licenses.scan(d, licenses.known_licenses(spark)).count() == n
-    assert packing.pack(d).count() >= 0
-    assert line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).count() == n
-    assert ngram_join.near_duplicates(d).count() == n
-    assert pii.pseudonymise(d, "key").count() == n
-    assert mixing.mix(d).count() == n
-    assert quality_classifier.rank(d, labels).count() == n
+    # collected, so that every column is computed
+    assert len(robust_outliers.robust_outliers(d).collect()) == n
+    assert len(licenses.scan(d, licenses.known_licenses(spark)).collect()) == n
+    assert len(packing.pack(d).collect()) >= 0
+    assert len(line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).collect()) == n
+    assert len(ngram_join.near_duplicates(d).collect()) == n
+    assert [r.new_text for r in pii.pseudonymise(d, "key").collect()] == [t for t in rows]
+    assert len(mixing.mix(d).collect()) == n
+    assert all(0 <= r.score <= 1 for r in quality_classifier.rank(d, labels).collect())
 
 
 def test_statistics_of_texts(spark):
@@ -54,6 +55,51 @@ def test_outliers_are_found_and_clean_documents_stay(spark):
     assert not kept[301] and sum(kept.values()) >= 297
 
 
+def test_few_documents_are_judged_by_all(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words, rng.integers(80, 160))) for _ in range(300)] + ["#$% " * 40 + " ".join(rng.choice(words, 60)), " ".join(rng.choice(words, 100))]
+    rows = [(i, t, "en" if i < 300 else "xx", "s" if i < 300 else None) for i, t in enumerate(texts)]
+    found = robust_outliers.robust_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: r for r in found.collect()}
+    assert got[300].stratum == got[301].stratum == robust_outliers.ALL and not got[300].kept and got[301].kept
+    few = robust_outliers.robust_outliers(docs(spark, *texts[:7], "#$% " * 400 + texts[0])).collect()
+    assert all(r.base_failed or r.distance is not None for r in few)
+
+
+def test_equal_documents_are_no_outliers(spark):
+    """Constant statistics: no spread at all."""
+    text = " ".join(f"w{i}" for i in range(80))
+    assert all(r.kept for r in robust_outliers.robust_outliers(docs(spark, *[text] * 120)).collect())
+
+
+def test_verdicts_against_a_plain_estimate(spark):
+    """Distances from a plain minimum-determinant estimate over the same transformed statistics."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(800)]
+    texts = [" ".join(rng.choice(words, rng.integers(70, 260))) for _ in range(240)] + ["## " * rng.integers(20, 60) + " ".join(rng.choice(words, 90)) for _ in range(12)] + [" ".join(w * 6 for w in rng.choice(words, 80)) for _ in range(6)]
+    found = robust_outliers.robust_outliers(docs(spark, *texts)).collect()
+    of = sorted((r for r in found if not r.base_failed), key=lambda r: r.doc_id)
+    lines = 1
+    x = np.array([[np.log(r.n_words), np.log(r.word_chars / r.n_words), np.log1p(r.n_symbols / r.n_words), r.n_dup_lines / lines, r.n_repeat_words / r.n_words] for r in of])
+    floor, size = np.diag(np.square(robust_outliers.FLOORS)), int(np.ceil(0.75 * len(x)))
+    best = None
+    for start in range(30):
+        chosen = np.random.default_rng(start).choice(len(x), size, replace=False)
+        for _ in range(40):
+            centre, cov = x[chosen].mean(0), np.cov(x[chosen].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            chosen = np.argsort(d)[:size]
+        det = np.linalg.slogdet(np.cov(x[chosen].T, bias=True) + floor)[1]
+        if best is None or det < best[0]:
+            best = det, d
+    d = best[1] / max(1.0, np.median(best[1]) / robust_outliers.chi_square_quantile(0.5))
+    limit = robust_outliers.chi_square_quantile(1 - robust_outliers.TAIL)
+    clear = np.abs(d / limit - 1) > 0.25  # apart from what is close to the limit
+    assert [r.kept for r, c in zip(of, clear, strict=True) if c] == (d <= limit)[clear].tolist()
+    assert sum(not r.kept for r in of) >= 12
+
+
 def test_licences_are_found_in_other_spellings(spark):
     mit = licenses.KNOWN["MIT"]
     texts = ("Copyright (c) 2020 Somebody\n" + mit.upper().replace(",", " ;"), mit + " and more", "Text\nreleased under the MIT Licence\nmore", None)
@@ -107,19 +153,59 @@ def test_lattice_points_are_the_nearest():
     assert (((x - points) ** 2).sum(1) <= ((x[:, None] - offers) ** 2).sum(2).min(1) + 1e-9).all()
 
 
+def linked(vectors, least=0.9):
+    """Links, and the least index that each vector reaches."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= least
+    np.fill_diagonal(near, False)
+    component = np.arange(len(vectors))
+    while True:
+        least_of = np.array([min([component[i], *component[np.flatnonzero(near[i])]]) for i in range(len(vectors))])
+        if (least_of == component).all():
+            return near, component
+        component = least_of
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
     vectors = np.r_[base, base[:20] + rng.normal(size=(20, 16)) * 0.1, base[:5], np.repeat(base[:1], 30, 0) + rng.normal(size=(30, 16)) * 0.05]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16)]
     got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    near, component = linked(vectors)
+    links = near.sum(1)
     found = np.array([got[i].n_links for i in range(len(vectors))])
     assert (found <= links).all() and found.sum() >= 0.95 * links.sum()
+    assert [got[i].component_id for i in range(len(vectors))] == component.tolist()
+    assert [got[i].kept for i in range(len(vectors))] == (component == np.arange(len(vectors))).tolist()
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in (900, 901, 902, 903))
 
 
+def test_pairs_near_the_limit_are_found(spark):
+    """Partners planted at cosines from 0.86 to 0.95."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(120, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosines = np.repeat([0.86, 0.89, 0.905, 0.92, 0.935, 0.95], 20)[:, None]
+    vectors = np.r_[base, cosines * base + np.sqrt(1 - cosines**2) * other]
+    got = {r.vec_id: r for r in lattice.near_duplicates(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()}
+    near, _ = linked(vectors)
+    found = np.array([got[i].n_links for i in range(len(vectors))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.95 * near.sum()
+    assert all(got[i].n_links == 0 for i in range(40)) and near.sum() == 160
+
+
+def test_every_row_is_a_vector(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (None, [0.5, 0.5]), (None, None), (3, [0.0, 2.0]), (4, [1.0])]
+    table = spark.createDataFrame([(*r, "x", 9) for r in rows], "vec_id long, embedding array<double>, rep string, component long")
+    got = sorted(((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in lattice.near_duplicates(table).collect()))
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (-1, 0, -1, True), (-1, 0, -1, True), (3, 1, 1, False), (4, 0, 4, True)])
+    assert lattice.near_duplicates(table.limit(0)).collect() == []
+
+
 def kept_lines(texts):
     """Plain version of the line rule over {doc_id: text}."""
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate({i: i + 32 for i in range(65, 91)})
@@ -239,6 +325,39 @@ def test_full_forms_are_widened(spark):
     assert sum(of[n].split()[-1] in pii.FEMALE[12:] for n in names[20:32]) == 8
 
 
+def test_many_short_addresses_have_surrogates(spark):
+    texts = [f"{a}::{b}" for a in "0123456789abcdef" for b in "0123456789abcdef"]
+    got = {i: r.text for i, r in surrogates(spark, texts).items()}
+    new = [got[i] for i in range(1, len(texts) + 1)]
+    digits = [t for t in texts if re.search(r"\d", t)]
+    changed = [n for t, n in zip(texts, new, strict=True) if t in digits]
+    assert len(set(changed)) == len(digits) and not set(changed) & set(texts)
+    assert all(n == t for t, n in zip(texts, new, strict=True) if t not in digits)  # a::b names a scope
+
+
+def test_each_pattern_is_found_alone(spark):
+    alone = {
+        "email": "x@y.org", "ip": "10.1.2.3", "ipv6": "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd", "iban": "DE89370400440532013000", "card": "4539 1488 0343 6467", "ssn": "123-45-6789",
+        "phone": "030 12345678", "token": "abcdefabcdefabcdefabcdefabcdefab", "name": "Priya Sharma met us",
+    }
+    more = ["2001:db8::", "fe80::a1:b", "ABCDEFABCDEFABCDEFABCDEFABCDEFAB", "0171-2345678", "Dear Wei Zhang", "by std::vector", "at 12:30:45"]
+    assert set(alone) == set(pii.PATTERNS)
+    got = surrogates(spark, [*alone.values(), *more])
+    assert [got[i].n_entities for i in range(1, len(alone) + len(more) + 1)] == [1] * (len(alone) + 5) + [0, 0]
+
+
+def test_unlisted_names_are_found_by_what_stands_beside_them(spark):
+    firsts, lasts = ["Priya", "Wei", "Oluwaseun", "Zoë", "Şebnem", "Björn"], ["Sharma", "Zhang", "Adeyemi", "Ångström", "Yılmaz"]
+    names = [f"{f} {n}" for f in firsts for n in lasts]
+    said = ["{} met the board", "Dear {}, thank you", "it was signed by {} today", "a note written by {}", "{} wrote again", "we met {} there"]
+    texts = [said[k % len(said)].format(n) for k, n in enumerate(names)]
+    got = surrogates(spark, [*texts, "The Great Wall met with praise", "New York wrote history"])
+    assert all(got[k].n_entities == 1 and n not in got[k].text and n.split()[1] not in got[k].text for k, n in enumerate(names, 1))
+    new = {n: re.search(r"[^\W\d_]+ [^\W\d_]+", got[k].text.replace("Dear ", "").replace("it was signed by ", "").replace("a note written by ", "").replace("we met ", "")).group() for k, n in enumerate(names, 1)}
+    assert len(set(new.values())) == len(names)
+    assert all(new[f"{f} {n}"].split()[1] == new[f"{firsts[0]} {n}"].split()[1] for f in firsts for n in lasts)  # a surname's surrogate is one
+
+
 def test_keep_one_goes_by_rows(spark):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     near = a.replace("a59", "other")

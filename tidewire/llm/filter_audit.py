@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import permutations
+from math import factorial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,24 +68,24 @@ def cells(masks: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFr
 
 
 def orders(spark: SparkSession, names: list[str]) -> DataFrame:
-    """filter_order, step, filter and bit for every step of every order of ``names``."""
+    """number, filter_order, step, filter and bit for every step of every order of ``names``; orders are numbered from 0."""
     if len(names) > MAX_FILTERS:
         raise ValueError(f"at most {MAX_FILTERS} filters; all orders of more are too many")
-    rows = [("".join(p), k + 1, name, 1 << names.index(name)) for p in permutations(names) for k, name in enumerate(p)]
-    return spark.createDataFrame(rows, "filter_order string, step int, filter string, bit int")
+    rows = [(number, "".join(p), k + 1, name, 1 << names.index(name)) for number, p in enumerate(permutations(names)) for k, name in enumerate(p)]
+    return spark.createDataFrame(rows, "number int, filter_order string, step int, filter string, bit int")
 
 
 def audit(counted: DataFrame, names: list[str]) -> DataFrame:
     """part, filter_order, step, filter, the counts after each step of each order, and shapley, from ``cells``; bit k of a mask is filter k."""
     spark = counted.sparkSession
-    # masks against steps: at most 2^k masks, so neither side grows with the data
+    # each mask is unpivoted to all orders' steps: at most 2^k masks, so neither side grows with the data
     steps = orders(spark, names)
-    long_form = counted.select("mask").distinct().withColumn("steps", F.lit(1)).join(F.broadcast(steps.withColumn("steps", F.lit(1))), "steps").drop("steps")
+    long_form = counted.select("mask").distinct().withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(factorial(len(names)) - 1)))).join(F.broadcast(steps), "number")
     before = Window.partitionBy("mask", "filter_order").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     fails = F.col("mask").bitwiseAND(F.col("bit"))
     seen = long_form.withColumns({"fails": fails != 0, "earlier": F.coalesce(F.bit_or(fails).over(before), F.lit(0)) != 0})
-    written_ = written(seen.select("mask", "filter_order", "step", "filter", "fails", "earlier", (F.col("mask") == F.col("bit")).alias("alone")), "mask-steps")
-    rows = counted.join(F.broadcast(written_), "mask")
+    steps_of_masks = written(seen.select("mask", "filter_order", "step", "filter", "fails", "earlier", (F.col("mask") == F.col("bit")).alias("alone")), "mask-steps")
+    rows = counted.join(F.broadcast(steps_of_masks), "mask")
     removed = F.col("fails") & ~F.col("earlier")
     total = lambda value, condition: F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0)).cast("long")
     metrics = (total("n", ~F.col("fails") & ~F.col("earlier")), total("n", removed), total("n", F.col("fails") & F.col("earlier")), total("n", F.col("alone")), total("good", removed), total("toxic", removed))

@@ -13,8 +13,9 @@ between their leaders leaves it possible that members link. No link is lost in a
 At a cosine of 0.9 a pair meets in one of the default tables with a probability of 0.98, at 0.95 of more than 0.9999.
 
 Defined cases: a vector that is null or empty, is zero, or has null or non-finite components links with nothing, nor do
-vectors of different lengths; rows with equal ids are one vector (the least of their values), and a null id is left
-out; an empty table gives an empty result; further columns are ignored.
+vectors of different lengths; every row is a vector, whether its id repeats or is null; a component's id is the smallest that is
+not null, or null where all are, and rows of that id are kept; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -137,11 +138,11 @@ def _balls(reps: DataFrame, lookups: DataFrame, angle: float) -> DataFrame:
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links (other vectors linked directly), component_id and kept for every vector."""
     angle = math.acos(cosine)
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).filter("vec_id is not null")
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     rows = written(rows.withColumn("valid", _valid(F.col("embedding"))), "vectors")
     valid = rows.filter("valid").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0).cast(_component_type(embeddings, vector_col))).alias("embedding"))
-    reps = written(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
+    distinct = valid.groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    reps = written(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")  # the number holds as it is written
     lookups = written(reps.select("rep", "embedding").mapInPandas(_lookups, "rep long, tab int, probe int, cell long"), "lookups")
     members = _balls(reps, lookups, angle)
     placed = lookups.join(members.select("rep", "leader"), "rep")
@@ -159,13 +160,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, id_col: str = "v
     across = links.select(F.col("a").alias("rep"), F.col("n2").alias("n")).union(links.select("b", "n1")).groupBy("rep").agg(F.sum("n").alias("across"))
     ball_size = members.join(reps.select("rep", "copies"), "rep").groupBy("leader").agg(F.sum("copies").alias("ball"))
     edges = links.select("a", "b").union(members.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    component = connected_components(edges)
+    component = written(connected_components(edges), "components")
+    named = component.join(reps.select(F.col("rep").alias("node"), "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    component = component.join(named, "component").select("node", F.col("component_id").alias("component"))
     summed = members.join(ball_size, "leader").join(across, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep")
-    summed = written(summed.select("rep", (F.col("ball") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"), "component"), "summed")
-    of = valid.join(reps.select("embedding", "rep"), "embedding").select("vec_id", "rep").join(summed, "rep").select("vec_id", "n_links", "component")
-    return rows.select("vec_id").join(of, "vec_id", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"),
-    )
+    summed = summed.select("rep", (F.col("ball") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"), "component")
+    of = valid.join(reps.select("embedding", "rep"), "embedding").select("vec_id", "rep").join(written(summed, "summed"), "rep").select("vec_id", "n_links", F.col("component").alias("component_id"))
+    alone = rows.filter("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return of.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

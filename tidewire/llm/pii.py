@@ -33,22 +33,26 @@ FEMALE_CYRILLIC = ("Анна", "Мария", "Елена", "Ольга", "Тат
 MALE_CYRILLIC = ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Андрей", "Михаил", "Николай")
 TITLES = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
 LISTS = (FEMALE, MALE, FEMALE_CYRILLIC, MALE_CYRILLIC)
+#: Words that two capitalised words before them, or after them, are a person's name to.
+DOES, TO = ("met", "wrote", "signed", "emailed", "phoned", "resigned"), ("met", "Dear", "signed by", "written by", "emailed", "phoned")
+_PAIR = r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+"
 
 #: Types in the order in which they are tried, with what they look like. No pattern has a group that captures.
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    # a short form has a digit or three groups, else it is a name of a programme's scope
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9]|(?:[A-Fa-f]{1,4}::?){2}[A-Fa-f])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?=[A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
     "card": r"(?<![\w.])(?:\d{4}[ -]?){3}\d{4}(?!\w)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])|(?<![\w.-])0\d{2,4}[ /-]\d{5,8}(?![\w-])",
     "token": r"(?<![\w])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{20,})(?!\w)",
-    "name": r"(?<!\p{L})(?:(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?:" + "|".join(n for names in LISTS for n in names) + r") \p{Lu}\p{Ll}+)(?!\p{L})",
+    "name": r"(?<!\p{L})(?:(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?|(?:" + "|".join(n for names in LISTS for n in names) + r") \p{Lu}\p{Ll}+|(?<=\b(?:" + "|".join(TO) + r") )" + _PAIR + "|" + _PAIR + r"(?= (?:" + "|".join(DOES) + r")\b))(?!\p{L})",
 }
 ANY = "|".join(PATTERNS.values())
 #: Without one of these there is no entity; saves the longer pattern on most texts.
-HINT = r"[@0-9]|::|sk-|gh[pousr]_|[a-f]{32}|[A-F]{32}|AKIA|" + PATTERNS["name"]
+HINT = r"[@0-9]|::|(?:[A-Fa-f]{1,4}:){7}|sk-|gh[pousr]_|[a-f]{32}|[A-F]{32}|AKIA|" + PATTERNS["name"]
 
 
 def found(text: Column) -> Column:
@@ -240,11 +244,14 @@ def surrogate(raw: Column, key: str, attempt: Column) -> Column:
     grown = F.rpad(local, F.greatest(F.length(local), attempt + 1), "a")
     email = F.concat(_scrambled(grown, stream), F.lit("@"), F.get(F.array(*map(F.lit, ("example.com", "example.net", "example.org"))), _byte(stream, F.lit(63)) % 3))
     hexed = F.array_join(F.transform(F.split(raw, ""), lambda x, i: F.when(x.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", _byte(stream, i))).when(x.rlike("^[0-9A-F]$"), _pick("0123456789ABCDEF", _byte(stream, i))).otherwise(x)), "")
+    # digits stay digits, so that a short address goes on to look like one; in the end it has all its groups
+    groups = F.concat_ws(":", *(F.concat(*(_pick("0123456789abcdef", _byte(stream, F.lit(4 * g + d))) for d in range(4))) for g in range(8)))
+    ipv6 = F.when(attempt >= IN_FORM, groups).otherwise(F.array_join(F.transform(F.split(raw, ""), lambda x, i: F.when(x.rlike("^[0-9]$"), _pick("0123456789", _byte(stream, i))).when(x.rlike("^[a-f]$"), _pick("abcdef", _byte(stream, i))).when(x.rlike("^[A-F]$"), _pick("ABCDEF", _byte(stream, i))).otherwise(x)), ""))
     token = F.when(raw.rlike("^[0-9a-f]+$") | raw.rlike("^[0-9A-F]+$"), hexed).otherwise(F.concat(F.regexp_extract(raw, "^(?:AKIA|sk-|gh._)", 0), _scrambled(F.regexp_replace(raw, "^(?:AKIA|sk-|gh._)", ""), stream)))
     return (
         F.when(k == "email", email)
         .when(k == "ip", F.concat(F.concat_ws(".", *(octet(i) for i in range(4))), F.when(more > 0, F.concat(F.lit("."), longer)).otherwise("")))
-        .when(k == "ipv6", hexed)
+        .when(k == "ipv6", ipv6)
         .when(k == "iban", _in_form(raw, _new_iban(F.substring_index(c, ":", -1), stream), "^[0-9A-Z]$"))
         .when(k == "card", F.concat(_in_form(raw, _luhn(digits, _new_digits(digits, stream, F.lit(1)))), longer))
         .when(k == "phone", F.concat(_in_form(raw, _new_digits(digits, stream, country)), longer))

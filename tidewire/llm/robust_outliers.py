@@ -1,10 +1,11 @@
 """Quality rules by robust multivariate outliers: a minimum-covariance-determinant estimate per language and source.
 
 Documents that fail the base rules are rejected. Of the others, each is a vector of five transformed statistics. In
-each stratum (language and source; small ones are pooled by language, then altogether) centre and covariance are those
+each stratum (language and source; small ones are pooled by language, and judged by all documents' estimate where that
+is small as well) centre and covariance are those
 of the ``COVERAGE`` share of documents whose covariance has the least determinant, found by concentration steps from
-several starts: distances under the present estimate, then the estimate of the nearest share. Documents whose
-Mahalanobis distance from it is beyond a chi-square quantile are rejected.
+several starts: distances under the present estimate, then the estimate of the nearest share, until the determinant
+stops falling. Documents whose Mahalanobis distance from it is beyond a chi-square quantile are rejected.
 
 A step is one aggregation: moments are summed by stratum, start and distance bucket, and the nearest buckets are added
 up, so neither a hot source nor the number of documents puts more into one task than ``16 * 80`` rows a stratum and
@@ -12,8 +13,8 @@ start. The regularised estimate (``FLOORS`` squared are added to the variances)
 constant, as symbols are in clean text.
 
 Only Spark's own functions are used. Defined cases: null and empty texts fail the base rules; null languages and
-sources are strata of their own; strata of fewer than ``MIN_STRATUM`` documents even when pooled give no verdict beyond
-the base rules; repeated rows are documents each; an empty table gives an empty result; further columns are ignored.
+sources are strata of their own; however few documents there are, each that passes the base rules has an estimate; repeated rows are
+documents each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ P = 5
 FLOORS = (0.5, 0.04, 0.03, 0.1, 0.1)
 #: Share of the documents that the estimate is made from.
 COVERAGE = 0.75
-#: Documents that a stratum has at least.
+#: Documents that a stratum's own estimate is made from at least.
 MIN_STRATUM = 100
-#: Concentration steps for all starts, and further ones for the best.
-STEPS, MORE_STEPS = 3, 2
+#: Concentration steps for all starts, most steps for the best, and the fall of a log determinant that counts.
+STEPS, MORE_STEPS, FALL = 3, 12, 1e-3
+#: The stratum of all documents.
+ALL = "[]"
 #: Part of the documents of a normal distribution beyond which a document is an outlier.
 TAIL = 1e-5
 
@@ -131,16 +134,12 @@ def starts(points: DataFrame) -> DataFrame:
 
 
 def strata(stats: DataFrame, min_stratum: int = MIN_STRATUM) -> DataFrame:
-    """lang, source, stratum (null: too few documents) for each language and source of the documents that pass the base rules."""
+    """lang, source, stratum (of all documents, where too few are of the language's small sources) for each language and source of the documents that pass the base rules."""
     n = stats.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     few = F.when(F.col("n") < min_stratum, F.col("n"))
     n = n.withColumn("of_lang", F.coalesce(F.sum(few).over(Window.partitionBy("lang")), F.lit(0)))
-    n = n.withColumn("of_rest", F.coalesce(F.sum(F.when(F.col("of_lang") < min_stratum, few)).over(Window.partitionBy()), F.lit(0)))
-    return n.select(
-        "lang",
-        "source",
-        F.when(F.col("n") >= min_stratum, F.to_json(F.array("lang", "source"))).when(F.col("of_lang") >= min_stratum, F.to_json(F.array("lang"))).when(F.col("of_rest") >= min_stratum, F.lit("[]")).alias("stratum"),
-    )
+    own, of_lang = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang"))
+    return n.select("lang", "source", F.when(F.col("n") >= min_stratum, own).when(F.col("of_lang") >= min_stratum, of_lang).otherwise(ALL).alias("stratum"))
 
 
 def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_stratum: int = MIN_STRATUM, tail: float = TAIL) -> DataFrame:
@@ -150,13 +149,19 @@ def robust_outliers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = written(strata(stats, min_stratum), "strata").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "stratum")
     stats = stats.join(of, stats["lang"].eqNullSafe(of["_lang"]) & stats["source"].eqNullSafe(of["_source"]), "left").drop("_lang", "_source")
     stats = stats.withColumn("stratum", F.when(~F.col("base_failed"), F.col("stratum")))
-    points = written(stats.filter("stratum is not null").select("stratum", vector().alias("x")), "points")
+    points = stats.filter("stratum is not null").select("stratum", vector().alias("x"))
+    if not of.filter(F.col("stratum") == ALL).isEmpty():  # the estimate of all is made from all
+        points = points.filter(F.col("stratum") != ALL).unionByName(points.withColumn("stratum", F.lit(ALL)))
+    points = written(points, "points")
     found = written(starts(points), "starts")
     for _ in range(STEPS):
         found = concentrate(points, found)
     best = found.groupBy("stratum").agg(F.min_by(F.struct("start", "mean", "w", "logdet"), F.struct("logdet", "start")).alias("e")).select("stratum", "e.*")
     for _ in range(MORE_STEPS):
-        best = concentrate(points, best)
+        before, best = best, concentrate(points, best)
+        fell = best.join(before.select("stratum", F.col("logdet").alias("was")), "stratum").filter(F.col("was") - F.col("logdet") > FALL)
+        if fell.isEmpty():
+            break
     # where the median distance is more than a normal distribution's, distances are scaled down to it
     binned = points.join(best, "stratum").groupBy("stratum", _bucket().alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     median = _nearest(["stratum"], binned, 0.5).groupBy("stratum").agg(F.exp((F.max("bucket") + 0.5) / 16).alias("median"))

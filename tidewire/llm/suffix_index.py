@@ -12,7 +12,7 @@ and its place. Tables lie in ranges of (h, c, place), sorted: equal suffixes are
 **Levels.** A batch's rows and those of all levels are merged in one range-partitioned sort and read once in order. A
 stretch equal to the one before it is covered as a whole. Where a suffix has several different stretches, their texts
 are fetched and their strings compared one by one; so are suffixes at the edge of a range, whose neighbours are in
-another task. Levels of equal size merge: like the digits of a binary counter, one table of size 2^k stands for 2^k
+another task. A caller who needs the spans of all batches together compares once, after the last. Levels of equal size merge: like the digits of a binary counter, one table of size 2^k stands for 2^k
 batches, and what the merged table keeps are the first rows of equal stretches in that same scan.
 
 No task holds more than a range of rows: equal stretches spread over ranges, and a suffix with more than
@@ -37,8 +37,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidewire.llm.common import if_small, released, written
 
-#: Rows of a range partition on average, and stretches of a suffix that one task compares at most.
-PARTITION_ROWS, HOT_STRETCHES = 400_000, 4096
+#: Rows of a range partition on average, and stretches of a suffix that one task compares at most (some 150 MB of hashes).
+PARTITION_ROWS, HOT_STRETCHES = 400_000, 20_000
 #: Bytes that are hashed at once; a string belongs to the piece that it starts in.
 PIECE = 1 << 20
 
@@ -195,8 +195,8 @@ def _strings(batch: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, offset, ((sums[at + width] - sums[at]) * powers[at]).view(np.int64)
 
 
-def _compared(now: int, width: int):
-    """Spans of the batch's strings that occur earlier within their suffix; a partition has all rows of its suffixes, in order."""
+def _compared(since: int, width: int):
+    """Spans of strings, of batches from ``since`` on, that occur earlier within their suffix; a partition has all rows of its suffixes, in order."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
@@ -214,7 +214,7 @@ def _compared(now: int, width: int):
             same = (h[row[order]][1:] == h[row[order]][:-1]) & (hashed[order][1:] == hashed[order][:-1])
             again = np.zeros(len(row), dtype=bool)
             again[order[1:]] = same
-            again &= age[row] == now
+            again &= age[row] >= since
             at = np.flatnonzero(again)
             if not len(at):
                 continue
@@ -274,18 +274,27 @@ class SuffixIndex:
 
     def scan(self, docs: DataFrame) -> DataFrame:
         """id, t, spans: in each document of the batch that repeats something earlier, the repeating spans in order, apart."""
-        return self._merged(docs, keep=False)
+        return self._judged(docs, keep=False)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """As ``scan``; the batch becomes a level, and levels of its size merge with it, then levels of that size."""
-        return self._merged(docs, keep=True)
+        return self._judged(docs, keep=True)
 
     def close(self) -> None:
         """Deletes the levels."""
         released(*self.levels.values())
         self.levels = {}
 
-    def _merged(self, docs: DataFrame, keep: bool) -> DataFrame:
+    def _judged(self, docs: DataFrame, keep: bool) -> DataFrame:
+        now = len(self.batches)
+        texts = [*self.batches, docs]
+        covered, places = self.merge_scan(docs, keep)
+        spans = self.settled([covered], [places], texts, now)
+        released(covered, places)
+        return spans
+
+    def merge_scan(self, docs: DataFrame, keep: bool) -> tuple[DataFrame, DataFrame]:
+        """Spans that whole stretches cover (id, t, spans), and the places of stretches that are still to be compared."""
         now = len(self.batches)
         # as many levels merge as the number of batches ends in one bits
         merged_from = now & (now + 1) if keep else now + 1
@@ -295,36 +304,48 @@ class SuffixIndex:
         flagged = f"h long, c long, {_PLACE}, covered boolean, kept boolean, compare boolean"
         scanned = written(both.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(_scan(now, merged_from), flagged), "suffix-level")
         released(rows)
-        covered = scanned.filter("covered").select("id", "t", F.col("q").alias("start"), (F.col("q") + F.col("n") - 1 + self.width).alias("stop"))
-        compared, used = self._compare(scanned, [*self.batches, docs], now)
-        listed = covered.unionByName(compared).groupBy("id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-        spans = written(listed.mapInArrow(_united, "id long, t long, spans array<struct<start int, stop int>>"), "spans")
-        released(*used)
+        spans = scanned.filter("covered").select("id", "t", F.col("q").alias("start"), (F.col("q") + F.col("n") - 1 + self.width).alias("stop"))
+        covered = written(self._united(spans), "covered")
+        places = written(scanned.filter("compare").select("h", "age", "id", "t", "q", "n"), "stretch-places")
         if keep:
             released(*(self.levels.pop(age) for age in [a for a in self.levels if a >= merged_from]))
             self.levels[merged_from] = scanned
             self.batches.append(docs)
         else:
             released(scanned)
+        return covered, places
+
+    def settled(self, covered: list[DataFrame], places: list[DataFrame], texts: list[DataFrame], since: int = 0) -> DataFrame:
+        """id, t, spans of batches from ``since`` on, of what was covered and what is found by comparing the stretches of ``places`` in ``texts``."""
+        union = lambda tables: reduce(DataFrame.unionByName, tables)
+        compared, used = self._compare(union(places).distinct() if len(places) > 1 else places[0], union([x.select("id", "t", "text") for x in texts]), since)
+        spans = written(self._united(union(covered).select("id", "t", F.inline("spans")).unionByName(compared)), "spans")
+        released(*used)
         return spans
 
+    @staticmethod
+    def _united(spans: DataFrame) -> DataFrame:
+        return spans.groupBy("id", "t").agg(F.collect_list(F.struct("start", "stop")).alias("found")).mapInArrow(_united, "id long, t long, spans array<struct<start int, stop int>>")
+
     def _parts(self, rows: DataFrame, most: int) -> int:
         return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
 
-    def _compare(self, scanned: DataFrame, texts: list[DataFrame], now: int) -> tuple[DataFrame, list[DataFrame]]:
+    def _compare(self, places: DataFrame, texts: DataFrame, since: int) -> tuple[DataFrame, list[DataFrame]]:
         """Spans of strings that repeat within suffixes of several stretches, and the tables behind them."""
-        places = written(scanned.filter("compare").groupBy("id", "t").agg(F.collect_list(F.struct("h", "age", "q", "n")).alias("places")), "stretch-places")
-        found = reduce(DataFrame.unionByName, (x.select("id", "t", "text") for x in texts)).join(if_small(places), ["id", "t"])
-        cut = written(found.select("id", "t", "text", "places").mapInArrow(_fetched(self.width), "h long, age int, id long, t long, q int, stretch binary"), "stretches")
-        released(places)
+        by_document = places.groupBy("id", "t").agg(F.collect_list(F.struct("h", "age", "q", "n")).alias("places"))
+        found = texts.join(by_document, ["id", "t"]).select("id", "t", "text", "places")
+        cut = written(found.mapInArrow(_fetched(self.width), "h long, age int, id long, t long, q int, stretch binary"), "stretches")
         hot = written(cut.groupBy("h").count().filter(F.col("count") > HOT_STRETCHES).select("h"), "hot-suffixes")
-        parts = self._parts(cut, PARTITION_ROWS // 8)
-        by_task = cut.join(if_small(hot), "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "age", "id", "t", "q").mapInArrow(_compared(now, self.width), _SPAN)
-        rows = cut.join(if_small(hot), "h", "left_semi").mapInArrow(_string_rows(self.width), "h long, age int, id long, t long, q int, w long")
-        place = F.struct("age", "id", "t", "q")
-        firsts = rows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-        by_rows = rows.join(firsts, ["h", "w"]).filter((F.col("age") == now) & (place > F.col("first"))).select("id", "t", F.col("q").alias("start"), (F.col("q") + self.width).alias("stop"))
-        return by_task.unionByName(by_rows), [cut, hot]
+        any_hot = not hot.isEmpty()
+        cold = cut.join(if_small(hot), "h", "left_anti") if any_hot else cut
+        out = cold.repartition(self._parts(cut, PARTITION_ROWS // 8), "h").sortWithinPartitions("h", "age", "id", "t", "q").mapInArrow(_compared(since, self.width), _SPAN)
+        if any_hot:
+            rows = cut.join(if_small(hot), "h", "left_semi").mapInArrow(_string_rows(self.width), "h long, age int, id long, t long, q int, w long")
+            place = F.struct("age", "id", "t", "q")
+            firsts = rows.groupBy("h", "w").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+            again = rows.join(firsts, ["h", "w"]).filter((F.col("age") >= since) & (place > F.col("first")))
+            out = out.unionByName(again.select("id", "t", F.col("q").alias("start"), (F.col("q") + self.width).alias("stop")))
+        return out, [cut, hot]
 
 
 @F.pandas_udf(StructType([StructField("kept", BinaryType()), StructField("n_removed", LongType()), StructField("n_spans", LongType())]))
@@ -342,7 +363,8 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
 def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (a struct of a row's own columns), kept (its remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs) for every row.
 
-    The documents go through an index in ``batches`` ranges of ids, each about as many documents; the last is scanned only.
+    The documents go through an index in ``batches`` ranges of ids, each about as many documents; the last is scanned
+    only, and strings are compared once, when all have been scanned.
     """
     spark = docs.sparkSession
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -353,14 +375,13 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32, batches: i
     else:
         own = own.join(if_small(again), "id", "left").withColumn("t", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)))
         single = own.filter("again is null").select("id", "t", "text").unionByName(own.filter("again").select("id", "t", "text").dropDuplicates(["id", "t"]))
-    index, found = SuffixIndex(spark, width, gram), []
-    cuts = sorted(set(own.stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)))
+    index = SuffixIndex(spark, width, gram)
+    cuts = sorted(set(own.stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     within = [F.lit(True)] if not cuts else [F.col("id") <= int(cuts[0]), *((F.col("id") > int(a)) & (F.col("id") <= int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), F.col("id") > int(cuts[-1])]
-    for k, some in enumerate(within):
-        found.append((index.add if k < len(within) - 1 else index.scan)(single.filter(some)))
+    found = [index.merge_scan(single.filter(some), keep=k < len(within) - 1) for k, some in enumerate(within)]
     index.close()
-    spans = written(reduce(DataFrame.unionByName, found), "all-spans")
-    released(*found)
+    spans = index.settled([x[0] for x in found], [x[1] for x in found], [single])
+    released(*(x for pair in found for x in pair))
     joined = own.join(if_small(spans), ["id", "t"], "left")
     lost = F.col("spans").isNotNull()
     out = joined.withColumn("cut", _cut(F.when(lost, F.col("text")), "spans"))
