@@ -39,8 +39,8 @@ from tidewire.llm.common import if_small, released, written
 
 #: Rows of a range partition on average, and stretches of a suffix that one task compares at most (some 150 MB of hashes).
 PARTITION_ROWS, HOT_STRETCHES = 400_000, 20_000
-#: Bytes that are hashed at once; a string belongs to the piece that it starts in.
-PIECE = 1 << 20
+#: Bytes that are hashed at once, which bounds a worker's memory; a string belongs to the piece that it starts in.
+PIECE = 1 << 18
 
 _PLACE = "age int, id long, t long, q int, n int"
 _ORDER = ["h", "c", "age", "id", "t", "q"]
@@ -54,7 +54,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of_byte = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     powers = []
     for b in (base, pow(base, -1, 2**64)):
-        factors = np.full(PIECE + (1 << 16), b, dtype=np.uint64)
+        factors = np.full(1 << 20, b, dtype=np.uint64)
         factors[0] = 1
         powers.append(np.multiply.accumulate(factors))
     return of_byte, *powers
