@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,13 +83,36 @@ def dedupe_key(url: Column, excerpt: Column) -> Column:
     return F.sha2(F.concat(url, F.lit("|"), excerpt), 256)
 
 
+ENTITY = r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def unescape(text: Column) -> Column:
+    """Named and numbered entities as characters, each once; unknown names stay, impossible numbers become the replacement character."""
+    names = {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
+    known = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, names.values())))
+
+    def one(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, r"^&#[xX]?([0-9A-Fa-f]+);$", 1)
+        code = F.conv(digits, 16, 10).cast("int")
+        code = F.when(entity.rlike("^&#[xX]"), code).otherwise(digits.try_cast("int"))
+        possible = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        character = F.when(possible, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(entity.startswith("&#"), character).otherwise(F.coalesce(F.try_element_at(known, F.regexp_extract(entity, r"^&(\w+);$", 1)), entity))
+
+    def whole(t: Column) -> Column:
+        replaced = F.transform(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)), one)
+        joined = F.array_join(F.zip_with(F.split(t, ENTITY), replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    # as a lambda's variable the text is made once, however often it is named
+    return F.get(F.transform(F.array(text), whole), F.lit(0))
+
+
 def strip_html(html: Column) -> Column:
-    """Text of a page: no scripts, styles, comments or tags, and the common entities undone at most twice."""
+    """Text of a page: no scripts, styles, comments or tags, and entities undone at most twice."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     for _ in range(2):
-        out = F.regexp_replace(out, r"<[^>]*>", " ")
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            out = F.replace(out, F.lit(entity), F.lit(char))
+        out = unescape(F.regexp_replace(out, r"<[^>]*>", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"<[^>]*>", " "), r"\s+", " "))
 
 
@@ -152,3 +177,8 @@ def vowel_harmony(text: Column) -> Column:
 def folded(text: Column) -> Column:
     """Lower case without the marks of Turkish letters, for a search that overlooks them."""
     return F.translate(F.lower(F.translate(text, "İI", "ii")), "çğıöşüâîû", "cgiosuaiu")
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is made once a row: as a generator's output it isn't written into the conditions on it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))

@@ -159,6 +159,18 @@ def volume_by_week(cat: Catalog, as_of: str, weeks: int, top: int = 6) -> DataFr
     return frame.join(counts, ["week", "category"], "left").select("week", "category", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def total_of(rows: DataFrame, on_page: int, limit: int, offset: int = 0) -> int:
+    """How many ``rows`` there are in all, for a page of ``on_page``: a page that isn't full says so itself, and nothing is counted."""
+    return offset + on_page if on_page < limit and (on_page or not offset) else rows.count()
+
+
+def taxonomy(enrichment: DataFrame, general: str = "general") -> DataFrame:
+    """slug, subcategories (in order) of the categories in use, and the general one, which has none."""
+    used = enrichment.groupBy(F.col("category").alias("slug")).agg(F.sort_array(F.collect_set("subcategory")).alias("subcategories"))
+    none = enrichment.sparkSession.range(1).select(F.lit(general).alias("slug"), F.array().cast("array<string>").alias("subcategories"))
+    return used.filter(~F.col("slug").eqNullSafe(general)).unionByName(none)
+
+
 def not_enriched(cat: Catalog) -> DataFrame:
     return originals(cat.articles).join(cat.enrichment, F.col("id") == F.col("article_id"), "left_anti")
 

@@ -171,3 +171,9 @@ def digest(moved: DataFrame, signals: DataFrame, most: int = 3) -> DataFrame:
     first = F.when(F.col("names") != "", F.concat(F.lit(RISING), "names", F.lit(".")))
     second = F.when(F.col("top").isNotNull(), F.concat(F.lit(BUSIEST), F.col("top.region"), F.lit(" ("), (-F.col("top.n")).cast("string"), F.lit(" haber).")))
     return names.crossJoin(top).select(F.coalesce(F.nullif(F.concat_ws(" ", first, second), F.lit("")), F.lit(QUIET)).alias("text"))  # one row each
+
+
+def latest_digests(stored: DataFrame) -> DataFrame:
+    """topic, day, body: of the stored digests (day, topic, body; one a day and topic) each topic's newest."""
+    newest = stored.groupBy("topic").agg(F.max(F.struct("day", "body")).alias("x"))
+    return newest.select("topic", "x.day", "x.body")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.operators.articles import effective_time, mentions, originals, since
+from tidewire.operators.articles import effective_time, mentioning, mentions, originals, since
 from tidewire.plans.catalog import Catalog
 
 _PERIODS = {"day": "yyyy-MM-dd", "week": "yyyy-MM-dd", "month": "yyyy-MM"}
@@ -36,19 +36,40 @@ def describe() -> dict[str, list[str]]:
     return {"dimensions": list(DIMENSIONS), "measures": list(MEASURES)}
 
 
-def pivot(cat: Catalog, row: str, col: str | None = None, measure: str = "count", *, as_of: str | None = None, days: int | None = None, airlines: list[str] | None = None, **equal: str) -> DataFrame:
-    """row, col, row_total, col_total (flags), value; ``equal`` names enrichment columns and their values."""
+def pivot(
+    cat: Catalog,
+    row: str,
+    col: str | None = None,
+    measure: str = "count",
+    *,
+    as_of: str | None = None,
+    days: int | None = None,
+    airlines: list[str] | None = None,
+    sources: list[str] | None = None,
+    countries: list[str] | None = None,
+    airports: list[str] | None = None,
+    **equal: str | list[str] | None,
+) -> DataFrame:
+    """row, col, row_total, col_total (flags), value; ``equal`` names enrichment columns and their value, or several.
+
+    A filter of no values, or None, asks for nothing. Mentions and sources are filtered by semi-joins, so that an
+    article with several counts once.
+    """
     for name, known in ((row, DIMENSIONS), (col or row, DIMENSIONS), (measure, MEASURES)):
         if name not in known:
             raise ValueError(f"unknown: {name}; one of {', '.join(known)}")
     col = None if col == row else col
+    equal = {name: value for name, value in equal.items() if value}
     needs = {DIMENSIONS[row][0], MEASURES[measure][0], *([DIMENSIONS[col][0]] if col else []), *(["enrichment"] if equal else [])}
     rows = originals(cat.articles)
     if days is not None:
         rows = rows.filter(effective_time() >= since(as_of, days))
-    if airlines:
-        found = mentions(cat, "airline", airlines).select(F.col("article_id").alias("_m"))
-        rows = rows.join(found, F.col("id") == F.col("_m"), "left_semi")
+    for kind, values, by in (("airline", airlines, "code"), ("country", countries, "name"), ("airport", airports, "code")):
+        if values:
+            rows = mentioning(rows, mentions(cat, kind, values, by))
+    if sources:
+        wanted = cat.sources.filter(F.col("name").isin(list(sources))).select(F.col("id").alias("_wanted"))
+        rows = rows.join(wanted, F.col("source_id") == F.col("_wanted"), "left_semi")
     if "enrichment" in needs:
         rows = rows.join(cat.enrichment, F.col("id") == F.col("article_id"), "left")
     if "sources" in needs:
@@ -57,7 +78,7 @@ def pivot(cat: Catalog, row: str, col: str | None = None, measure: str = "count"
         carriers = mentions(cat, "airline").select(F.col("article_id").alias("_a"), F.col("name").alias("airline_name"))
         rows = rows.join(carriers, F.col("id") == F.col("_a"), "left")
     for name, value in equal.items():
-        rows = rows.filter(F.col(name) == value)
+        rows = rows.filter(F.col(name).isin([value] if isinstance(value, str) else list(value)))
     rows = rows.withColumn("row", DIMENSIONS[row][1]())
     value = MEASURES[measure][1]().alias("value")
     if col is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.scoring import keyword_pattern, rating_sentiment
-from tidewire.functions.text import normalize
+from tidewire.functions.text import normalize, once
 
 
 def themes(normal: Column, keywords: Mapping[str, Sequence[str]], most: int = 3) -> Column:
@@ -19,9 +19,9 @@ def themes(normal: Column, keywords: Mapping[str, Sequence[str]], most: int = 3)
 
 def tagged(reviews: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
     """``reviews`` with themes and sentiment (by rating; unrated ones are neutral)."""
-    # the normal form is a column of its own, so that it is made once a text
-    rows = reviews.withColumn("_normal", normalize(F.col("body")))
-    return rows.withColumns({"themes": themes(F.col("_normal"), keywords), "sentiment": rating_sentiment(F.col("rating"), F.lit("neutral"))}).drop("_normal")
+    # as a generator's output, the normal form and the themes are made once a text, whatever is asked of them afterwards
+    rows = once(once(reviews, "_normal", normalize(F.col("body"))), "themes", themes(F.col("_normal"), keywords))
+    return rows.withColumn("sentiment", rating_sentiment(F.col("rating"), F.lit("neutral"))).drop("_normal")
 
 
 def theme_stats(reviews: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFrame:

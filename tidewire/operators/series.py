@@ -64,11 +64,22 @@ def corroborations(kpis: DataFrame, metric: str, most: int = 5) -> DataFrame:
     return latest(rows.orderBy(F.col("as_of").desc(), F.col("id").desc()).limit(most), "source")
 
 
-def without_repeats(kpis: DataFrame) -> DataFrame:
-    """Of consecutive readings of equal value and source, the first."""
-    order = Window.partitionBy("metric_key").orderBy("as_of", "id")
-    marked = kpis.withColumns({"_value": F.lag("value").over(order), "_source": F.lag("source").over(order), "_nth": F.row_number().over(order)})
-    return marked.filter((F.col("_nth") == 1) | ~F.col("_value").eqNullSafe(F.col("value")) | ~F.col("_source").eqNullSafe(F.col("source"))).drop("_value", "_source", "_nth")
+def without_repeats(kpis: DataFrame, block: str = "month") -> DataFrame:
+    """Of consecutive readings of equal value and source, the first.
+
+    Readings are compared within blocks of time, so that a metric's history isn't one task; a block's first reading is
+    compared with the last one before the block, of which there is one a block and metric.
+    """
+    kept = [c for c in kpis.columns]
+    rows = kpis.withColumn("_block", F.date_trunc(block, "as_of"))
+    order = Window.partitionBy("metric_key", "_block").orderBy("as_of", "id")
+    pair = F.struct("value", "source")
+    marked = rows.withColumns({"_before": F.lag(pair).over(order), "_nth": F.row_number().over(order)})
+    ends = rows.groupBy(F.col("metric_key").alias("_key"), F.col("_block").alias("_of")).agg(F.max_by(pair, F.struct("as_of", "id")).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy("_key").orderBy("_of")))
+    joined = marked.join(ends, F.col("metric_key").eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of")), "left")
+    before = F.when(F.col("_nth") == 1, F.col("_end")).otherwise(F.col("_before"))
+    return joined.filter(before.isNull() | ~before["value"].eqNullSafe(F.col("value")) | ~before["source"].eqNullSafe(F.col("source"))).select(*kept)
 
 
 def changed(incoming: DataFrame, existing: DataFrame) -> DataFrame:

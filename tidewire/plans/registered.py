@@ -350,14 +350,6 @@ def comparable_windows(cat):
     return insights.comparable(cat, AS_OF, 90)
 
 
-@query()
-def alerts(cat):
-    return insights.alerts(cat, AS_OF, 90, "urgent", "A0", themes=THEMES, today=REVIEW_DAY)
-
-
-@query()
-def alerts_of_categories(cat):
-    return insights.alerts(cat, AS_OF, 90, "urgent", "A0", wanted={"category": ["urgent", "low"]})
 
 
 @query(
@@ -432,6 +424,49 @@ def review_theme_growth(cat):
     return reviews.theme_growth(cat.reviews, THEMES, REVIEW_DAY, 90, factor=0.9)
 
 
+_NONE = "NULL::VARCHAR"
+
+
+def _alerts_sql(themes: bool, wanted: str) -> str:
+    """All detectors' alerts; ``themes`` adds those of reviews."""
+    newest = "list(id ORDER BY published_at DESC, id)[1:5]"
+    part = lambda detector, key, severity, value, previous, source, about: f"SELECT '{detector}' AS detector, {key} AS key, {severity} AS severity, ({value})::BIGINT AS value, ({previous})::BIGINT AS previous, evidence, {about} FROM {source}"
+    about = lambda category=_NONE, region=_NONE, airline=_NONE: f"{category} AS category, {region} AS region, {airline} AS airline"
+    parts = [
+        part("promotion", "code", "CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END", "n", "NULL", "pr", about("'urgent'", airline="code")),
+        part("surge", "region", "CASE WHEN n >= 6 THEN 'high' ELSE 'medium' END", "n", "prev", "su", about("'urgent'", "region")),
+        part("momentum", "code", "CASE WHEN abs(current - previous) >= 5 THEN 'high' ELSE 'medium' END", "current", "previous", "mv", about(airline="code")),
+        part("negative", "category", "CASE WHEN n / total >= 0.7 THEN 'high' ELSE 'medium' END", "n", "total", "ng", about("category")),
+        part("event", "CAST(id AS VARCHAR)", "CASE WHEN starts - DATE '2001-08-02' <= 7 THEN 'medium' ELSE 'low' END", "starts - DATE '2001-08-02'", "NULL", "ev", about(region="region")),
+    ]
+    if themes:
+        parts.append(part("review_theme", "theme", "CASE WHEN bad / current >= 0.6 THEN 'high' ELSE 'medium' END", "current", "previous", "rt", about(airline="'A0'")))
+    return (
+        _ORIGINAL + _MENTION.format("airline").replace("DISTINCT x.article_id, ", "x.article_id, ")
+        + f", pr AS (SELECT code, count(*) AS n, {newest} AS evidence FROM (SELECT DISTINCT ae.id, published_at, code FROM ae JOIN m ON m.article_id = ae.id WHERE {_WIN} AND category = 'urgent' AND upper(code) <> 'A0') GROUP BY code HAVING count(*) >= 2)"
+        + f", sn AS (SELECT region, count(*) FILTER ({_WIN}) AS n, count(*) FILTER ({_BEFORE}) AS prev, (list(id ORDER BY published_at DESC, id) FILTER ({_WIN}))[1:5] AS evidence FROM ae WHERE category = 'urgent' AND region IS NOT NULL GROUP BY region), su AS (SELECT * FROM sn WHERE n >= 3 AND (prev = 0 OR n >= 2 * prev))"
+        + f", mc AS (SELECT coalesce(code, name) AS code, count(*) FILTER ({_WIN}) AS current, count(*) FILTER ({_BEFORE}) AS previous FROM a JOIN m ON a.id = m.article_id WHERE {_WIN} OR {_BEFORE} GROUP BY 1), mt AS (SELECT * FROM mc ORDER BY abs(current - previous) DESC, current DESC, code LIMIT 12), mm AS (SELECT * FROM mt WHERE abs(current - previous) >= 3 AND greatest(current, previous) >= 3 ORDER BY abs(current - previous) DESC, current DESC, code LIMIT 3)"
+        + f", cw AS (SELECT count(*) FILTER ({_WIN}) AS c, count(*) FILTER ({_BEFORE}) AS p FROM a), me AS (SELECT code, {newest} AS evidence FROM (SELECT DISTINCT a.id, published_at, coalesce(code, name) AS code FROM a JOIN m ON m.article_id = a.id WHERE {_WIN}) GROUP BY code), mv AS (SELECT mm.*, evidence FROM mm JOIN me ON me.code = mm.code, cw WHERE c > 0 AND p / c >= 0.35)"
+        + f", nc AS (SELECT category, count(*) AS total, count(*) FILTER (sentiment = 'negative') AS n, (list(id ORDER BY published_at DESC, id) FILTER (sentiment = 'negative'))[1:5] AS evidence FROM ae WHERE {_WIN} AND category <> 'safety' GROUP BY category), ng AS (SELECT * FROM nc WHERE n > 0 AND total >= 5 AND n / total >= 0.5)"
+        + ", ev AS (SELECT *, [id] AS evidence FROM calendar WHERE event_type IN ('airshow', 'conference', 'holiday') AND starts BETWEEN DATE '2001-08-02' AND DATE '2001-08-16' ORDER BY starts, id LIMIT 4)"
+        + (_theme_sql() + ", rc AS (SELECT theme, count(*) FILTER (review_date >= DATE '2023-10-07') AS current, count(*) FILTER (review_date < DATE '2023-10-07') AS previous, count(*) FILTER (review_date >= DATE '2023-10-07' AND sentiment = 'negative') AS bad, (list(id ORDER BY review_date DESC, id) FILTER (review_date >= DATE '2023-10-07'))[1:5] AS evidence FROM t WHERE review_date >= DATE '2022-10-12' GROUP BY theme), rt AS (SELECT * FROM rc WHERE current >= 3 AND current >= 1.5 * previous)" if themes else "")
+        + f", al AS ({' UNION ALL '.join(parts)}) SELECT * FROM al WHERE len(evidence) > 0 AND {wanted} ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, len(evidence) DESC, detector, key LIMIT 20"
+    )
+
+
+_ALERTED = (*_AE, "article_entities", "entities", "calendar")
+
+
+@query(_alerts_sql(True, "true"), *_ALERTED, "reviews")
+def alerts(cat):
+    return insights.alerts(cat, AS_OF, 90, "urgent", "A0", themes=THEMES, today=REVIEW_DAY)
+
+
+@query(_alerts_sql(False, "category IN ('urgent', 'low')"), *_ALERTED)
+def alerts_of_categories(cat):
+    return insights.alerts(cat, AS_OF, 90, "urgent", "A0", wanted={"category": ["urgent", "low"]})
+
+
 _EDITION = _ORIGINAL + r", r AS (SELECT article_id, category, round(CASE WHEN regexp_matches(headline, '^\s*\d{1,2}\s+\w') THEN importance_score * 0.6 ELSE importance_score END, 3) AS score FROM ae WHERE fetched_at >= TIMESTAMP '1998-06-01' AND fetched_at < TIMESTAMP '1998-06-02'), p AS (SELECT *, row_number() OVER (ORDER BY score + CASE WHEN category = 'low' THEN 0.25 ELSE 0 END DESC, score DESC, article_id) AS place FROM r), s AS (SELECT *, CASE WHEN place <= 3 THEN 'top_story' ELSE category END AS section FROM p), e AS (SELECT article_id, section, row_number() OVER (PARTITION BY section ORDER BY place) - 1 AS rank FROM s)"
 
 
@@ -599,7 +634,7 @@ def review_page_entries(cat):
 
 
 _STORY = (
-    ", b AS (SELECT x.article_id, x.entity_id FROM article_entities x JOIN entities n ON x.entity_id = n.id WHERE n.entity_type = 'airline' AND n.id % 2 = 0)"
+    ", b AS (SELECT x.article_id, x.entity_id FROM article_entities x JOIN entities n ON x.entity_id = n.id WHERE n.entity_type = 'airline')"
     ", r AS (SELECT DISTINCT a.id, lower(a.title) AS title, CAST(published_at AS DATE) AS day, e.headline_tr AS tr, coalesce(CAST(b.entity_id AS VARCHAR), concat('category:', e.category)) AS key FROM articles a JOIN enrichment e ON a.id = e.article_id LEFT JOIN b ON b.article_id = a.id WHERE NOT is_duplicate AND status = 'enriched' AND published_at IS NOT NULL)"
     f", t AS (SELECT *, list_distinct(list_filter(string_split({_normal('title')}, ' '), lambda x: x <> '')) AS w, list_distinct(list_filter(string_split({_normal('tr')}, ' '), lambda x: x <> '')) AS v, regexp_extract(title, '[0-9]+') AS number FROM r)"
     ", p AS (SELECT DISTINCT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS s, CASE WHEN len(a.v) > 0 AND len(b.v) > 0 THEN len(list_intersect(a.v, b.v)) / len(list_distinct(list_concat(a.v, b.v))) ELSE 0 END AS z FROM t a JOIN t b ON a.key = b.key AND a.day = b.day AND a.id < b.id AND a.number = b.number)"
@@ -607,7 +642,7 @@ _STORY = (
 
 
 def _stories(cat: Catalog) -> tuple:
-    named = cat.article_entities.join(cat.entities.filter("entity_type = 'airline' and id % 2 = 0").select(F.col("id").alias("entity_id")), "entity_id")
+    named = cat.article_entities.join(cat.entities.filter("entity_type = 'airline'").select(F.col("id").alias("entity_id")), "entity_id")
     return cat.articles.withColumn("title", F.lower("title")), cat.enrichment, named, AS_OF, 4000
 
 
@@ -694,11 +729,11 @@ def folded_search(cat):
     return marked.filter(F.contains("name", F.lit("17"))).select("id", "name")
 
 
-_PLACED = ", z AS (SELECT DISTINCT code, CAST(substr(code, 2) AS DOUBLE) AS lat FROM entities WHERE entity_type = 'airport' AND CAST(substr(code, 2) AS BIGINT) % 4 <> 0)"
+_PLACED = ", z AS (SELECT DISTINCT code, CAST(substr(code, 2) AS DOUBLE) AS lat FROM entities WHERE entity_type = 'airport')"
 
 
 @query(", m AS (SELECT DISTINCT a.id, n.code FROM articles a JOIN article_entities x ON a.id = x.article_id JOIN entities n ON x.entity_id = n.id WHERE n.entity_type = 'airport' AND NOT is_duplicate AND coalesce(published_at, fetched_at) >= TIMESTAMP '2000-08-02'), r AS (SELECT l.code AS origin, r.code AS destination, count(*) AS n FROM m l JOIN m r ON l.id = r.id AND l.code < r.code GROUP BY ALL HAVING n >= 2 ORDER BY n DESC, origin, destination LIMIT 40)" + _PLACED + " SELECT r.*, p.lat AS origin_lat, -p.lat AS origin_lon, q.lat AS destination_lat, -q.lat AS destination_lon FROM r JOIN z p ON p.code = origin JOIN z q ON q.code = destination", "articles", "article_entities", "entities")
 def located_routes(cat):
     lat = F.substring("code", 2, 9).cast("double")
-    places = cat.entities.filter("entity_type = 'airport'").select("code", lat.alias("lat"), (-lat).alias("lon")).distinct().filter("lat % 4 <> 0")
+    places = cat.entities.filter("entity_type = 'airport'").select("code", lat.alias("lat"), (-lat).alias("lon")).distinct()
     return graph.located(graph.routes(cat, AS_OF, 365), places)

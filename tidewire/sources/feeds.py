@@ -7,11 +7,11 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import clip_excerpt, iso_date, strip_html
+from tidewire.functions.text import clip_excerpt, iso_date, once, strip_html
 from tidewire.functions.titles import quotable
 
 QUOTE = "struct<chart:struct<result:array<struct<meta:struct<regularMarketPrice:double>,timestamp:array<bigint>,indicators:struct<quote:array<struct<close:array<double>>>>>>>>"
-REVIEW = "struct<feed:struct<entry:array<struct<id:struct<label:string>,title:struct<label:string>,content:struct<label:string>,`im:rating`:struct<label:string>,updated:struct<label:string>>>>>"
+REVIEW = "struct<content:struct<label:string>,title:struct<label:string>,updated:struct<label:string>,`im:rating`:struct<label:string>,author:struct<name:struct<label:string>>>"
 
 
 def quote_price(docs: DataFrame) -> DataFrame:
@@ -37,14 +37,22 @@ def airborne(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.coalesce(F.size(F.filter(states, lambda s: F.get(s, F.lit(8)) == "false")), F.lit(0)).cast("long").alias("n"))
 
 
-def store_reviews(docs: DataFrame) -> DataFrame:
-    """id, review_id, excerpt, rating (of ten) from the documents of an app store; a single entry counts as a list of one."""
+def store_reviews(docs: DataFrame, storefront: str) -> DataFrame:
+    """id, excerpt, review_date, rating (of ten), author, note of the reviews in an app store's documents (id, json) that can be quoted.
+
+    A single entry counts as a list of one; entries without stars are the app's own. What has no text is quoted by its
+    title; the note says how many stars it gave in which store.
+    """
     entry = F.get_json_object("json", "$.feed.entry")
     listed = F.when(entry.startswith("{"), F.concat(F.lit("["), entry, F.lit("]"))).otherwise(entry)
-    kind = REVIEW.split("entry:")[1][:-2]
-    rows = docs.select("id", F.explode(F.from_json(listed, kind)).alias("e"))
-    rating = F.col("e.`im:rating`.label").try_cast("double") * 2
-    return rows.select("id", F.col("e.id.label").alias("review_id"), F.col("e.content.label").alias("excerpt"), rating.alias("rating")).filter("rating is not null")
+    label = lambda name: F.coalesce(F.trim(F.col(f"e.{name}.label")), F.lit(""))
+    rows = docs.select("id", F.explode(F.from_json(listed, f"array<{REVIEW}>")).alias("e"))
+    rows = rows.withColumn("stars", label("`im:rating`").try_cast("double")).filter("stars is not null")
+    said = F.coalesce(F.nullif(label("content"), F.lit("")), label("title"))
+    author = F.nullif(F.trim(F.regexp_replace(F.col("e.author.name.label"), r"\s+", " ")), F.lit(""))
+    rows = once(rows, "excerpt", clip_excerpt(said))
+    note = F.concat(F.format_string("%.0f", "stars"), F.lit(f"/5 App Store ({storefront.upper()})"))
+    return rows.filter(quotable(F.col("excerpt"))).select("id", "excerpt", iso_date(label("updated")).alias("review_date"), (F.col("stars") * 2).alias("rating"), F.substring(author, 1, 120).alias("author"), note.alias("note"))
 
 
 def first_items(items: DataFrame, most: int = 40) -> DataFrame:
@@ -92,17 +100,12 @@ def feed_items(docs: DataFrame) -> DataFrame:
     return rows.select("id", "position", "url", "title", strip_html(F.col("html")).alias("content"), "author", "published_at")
 
 
-def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """``rows`` with a column that is made once a row: as a generator's output it isn't written into the conditions on it."""
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def forum_posts(docs: DataFrame) -> DataFrame:
     """id, url, excerpt, review_date, author of a forum's feeds (id, xml): the post's own text without links, else its title, where that can be quoted."""
     own = F.regexp_replace(F.regexp_extract("html", r'(?s)<div[^>]*class="md"[^>]*>(.*?)</div>', 1), r"(?s)<a\b.*?</a>", " ")
     said = F.coalesce(F.nullif(strip_html(own), F.lit("")), "title", F.lit(""))
     author = F.nullif(F.regexp_replace(F.trim("author"), r"^/+", ""), F.lit(""))
-    rows = _once(_entries(docs).filter("url <> ''"), "excerpt", clip_excerpt(said))
+    rows = once(_entries(docs).filter("url <> ''"), "excerpt", clip_excerpt(said))
     return rows.filter(quotable(F.col("excerpt"))).select("id", "url", "excerpt", F.col("published_at").cast("date").alias("review_date"), author.alias("author"))
 
 
@@ -124,7 +127,7 @@ def review_pages(docs: DataFrame, base_url: str) -> DataFrame:
     named = F.regexp_extract(block, r'(?is)itemprop="author".*', 0)
     author = F.nullif(strip_html(F.regexp_extract(named, r'(?is)itemprop="name"[^>]*>(.*?)<', 1)), F.lit(""))
     date = F.coalesce(take(r'<meta[^>]*itemprop="datePublished"[^>]*content="([^"]*)"'), take(r'<time[^>]*datetime="([^"]*)"'))
-    rows = _once(rows, "excerpt", clip_excerpt(F.regexp_replace(strip_html(marked("reviewBody")), VERIFIED, "")))
+    rows = once(rows, "excerpt", clip_excerpt(F.regexp_replace(strip_html(marked("reviewBody")), VERIFIED, "")))
     return rows.filter(quotable(F.col("excerpt"))).select(
         "id", F.when(number != "", F.concat(F.lit(base_url + "#anchor"), number)).otherwise(F.col("page_url")).alias("url"), "excerpt", iso_date(date).alias("review_date"),
         F.trim(marked("ratingValue")).try_cast("double").alias("rating"), F.substring(author, 1, 120).alias("author"), F.substring(cell("route"), 1, 60).alias("route"), cell("cabin_flown").alias("cabin"),

@@ -19,10 +19,11 @@ def unique(rows: DataFrame, key: str = "url", lookback: str = "3 days") -> DataF
     return rows.withWatermark("at", lookback).dropDuplicatesWithinWatermark([key])
 
 
-def counts(rows: DataFrame, period: str = "1 day", late: str = "3 days", slide: str | None = None) -> DataFrame:
-    """start, n of each period (sliding where ``slide`` is given)."""
+def counts(rows: DataFrame, period: str = "1 day", late: str | None = "3 days", slide: str | None = None) -> DataFrame:
+    """start, n of each period (sliding where ``slide`` is given); with ``late`` None, by the watermark that ``rows`` have, as those of ``unique``."""
     by = F.window("at", period, slide) if slide else F.window("at", period)
-    return rows.withWatermark("at", late).groupBy(by.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+    rows = rows if late is None else rows.withWatermark("at", late)
+    return rows.groupBy(by.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
 def into(rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
