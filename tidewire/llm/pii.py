@@ -228,6 +228,8 @@ def surrogate_of_name(raw: Column, key: str, attempt_of, listed: dict[str, str])
 COUNTRY = r"^\+(?:[17]|2[07]|3[0123469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Attempts of a number in its own form (half of them with its country code) before it gets longer.
 IN_FORM = 16
+#: Attempts of an IPv6 address in its own form, which may be a short one, before it gets all its groups.
+SHORT_FORM = 4
 
 
 def surrogate(raw: Column, key: str, attempt: Column) -> Column:
@@ -246,7 +248,7 @@ def surrogate(raw: Column, key: str, attempt: Column) -> Column:
     hexed = F.array_join(F.transform(F.split(raw, ""), lambda x, i: F.when(x.rlike("^[0-9a-f]$"), _pick("0123456789abcdef", _byte(stream, i))).when(x.rlike("^[0-9A-F]$"), _pick("0123456789ABCDEF", _byte(stream, i))).otherwise(x)), "")
     # digits stay digits, so that a short address goes on to look like one; in the end it has all its groups
     groups = F.concat_ws(":", *(F.concat(*(_pick("0123456789abcdef", _byte(stream, F.lit(4 * g + d))) for d in range(4))) for g in range(8)))
-    ipv6 = F.when(attempt >= IN_FORM, groups).otherwise(F.array_join(F.transform(F.split(raw, ""), lambda x, i: F.when(x.rlike("^[0-9]$"), _pick("0123456789", _byte(stream, i))).when(x.rlike("^[a-f]$"), _pick("abcdef", _byte(stream, i))).when(x.rlike("^[A-F]$"), _pick("ABCDEF", _byte(stream, i))).otherwise(x)), ""))
+    ipv6 = F.when(attempt >= SHORT_FORM, groups).otherwise(F.array_join(F.transform(F.split(raw, ""), lambda x, i: F.when(x.rlike("^[0-9]$"), _pick("0123456789", _byte(stream, i))).when(x.rlike("^[a-f]$"), _pick("abcdef", _byte(stream, i))).when(x.rlike("^[A-F]$"), _pick("ABCDEF", _byte(stream, i))).otherwise(x)), ""))
     token = F.when(raw.rlike("^[0-9a-f]+$") | raw.rlike("^[0-9A-F]+$"), hexed).otherwise(F.concat(F.regexp_extract(raw, "^(?:AKIA|sk-|gh._)", 0), _scrambled(F.regexp_replace(raw, "^(?:AKIA|sk-|gh._)", ""), stream)))
     return (
         F.when(k == "email", email)
