@@ -116,7 +116,8 @@ def test_repeats_where_ids_repeat_or_are_null(spark):
     removed = {(i, t): n for i, t, n in got}
     assert got[0] == got[1] if got[0][1] == got[1][1] else got[1] == got[2]  # equal rows get equal results
     assert removed[99, a] == len(a) and removed[99, ""] == 0
-    assert (removed[7, a] >= 20) != (removed[7, b] >= 40)  # one of the two texts comes first
+    # each text repeats itself (22 and 24 bytes), and the one that comes second loses the 22 bytes more that they share
+    assert (removed[7, a], removed[7, b]) in {(22, 46), (44, 24)}
 
 
 # --- spelling
@@ -171,6 +172,7 @@ def test_variants_against_brute_force(spark, max_block):
                 case _:
                     del w[at]
             pool += ["".join(w)] * rng.choice([4, 5, 6, 40, 60])
+    pool += ["wonderfull"] * 50 + ["wonderffull"] * 6  # a chain of two forms
     rng.shuffle(pool)
     texts = [" ".join(pool[k : k + 40]) + "×÷-short" for k in range(0, len(pool), 40)]
     rows = list(enumerate(texts, 1))
@@ -246,7 +248,7 @@ def test_audit_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert filter_audit.filter_audit(docs(spark), none).collect() == []
     found = filter_audit.filter_audit(docs(spark, *ODD), none).filter("filter_order = 'EABCD' and step = 1").collect()
-    assert [(r.kept, r.removed, r.shapley) for r in found] == [(4, 2, 90)]
+    assert [(r.kept, r.removed, r.shapley) for r in found] == [(4, 2, 120)]  # both repeats fail A as well, so E removes each in the half of the orders that have it before A
     with pytest.raises(ValueError, match="at most"):
         filter_audit.orders(spark, list("ABCDEFG"))
 

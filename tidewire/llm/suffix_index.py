@@ -41,6 +41,8 @@ from tidewire.llm.common import if_small, released, written
 PARTITION_ROWS, HOT_STRETCHES = 400_000, 20_000
 #: Bytes that are hashed at once, which bounds a worker's memory; a string belongs to the piece that it starts in.
 PIECE = 1 << 18
+#: The id that null counts as.
+LAST = 2**63 - 1
 
 _PLACE = "age int, id long, t long, q int, n int"
 _ORDER = ["h", "c", "age", "id", "t", "q"]
@@ -367,7 +369,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32, batches: i
     only, and strings are compared once, when all have been scanned.
     """
     spark = docs.sparkSession
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     again = written(own.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("again")), "repeated-ids")
     if again.isEmpty():
         own = own.withColumn("t", F.lit(0).cast("long"))
@@ -376,8 +378,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, gram: int = 32, batches: i
         own = own.join(if_small(again), "id", "left").withColumn("t", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)))
         single = own.filter("again is null").select("id", "t", "text").unionByName(own.filter("again").select("id", "t", "text").dropDuplicates(["id", "t"]))
     index = SuffixIndex(spark, width, gram)
-    cuts = sorted(set(own.stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-    within = [F.lit(True)] if not cuts else [F.col("id") <= int(cuts[0]), *((F.col("id") > int(a)) & (F.col("id") <= int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), F.col("id") > int(cuts[-1])]
+    quantiles = own.stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = sorted({min(int(x), LAST) for x in quantiles})  # as a double, LAST is one more
+    within = [F.lit(True)] if not cuts else [F.col("id") <= cuts[0], *((F.col("id") > a) & (F.col("id") <= b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), F.col("id") > cuts[-1]]
     found = [index.merge_scan(single.filter(some), keep=k < len(within) - 1) for k, some in enumerate(within)]
     index.close()
     spans = index.settled([x[0] for x in found], [x[1] for x in found], [single])
