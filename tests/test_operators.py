@@ -100,8 +100,8 @@ def test_json_sources(spark):
     assert feeds.quote_price(docs(chart)).first().price == 4.5
     assert feeds.exchange_rate(docs({"rates": {"EUR": 0.9}}), "EUR").first().rate == 0.9
     assert feeds.airborne(docs({"states": [[0] * 8 + [False], [0] * 8 + [True]]})).first().n == 1
-    entry = {"id": {"label": "r1"}, "content": {"label": "fine"}, "im:rating": {"label": "4"}}
-    assert [tuple(r) for r in feeds.store_reviews(docs({"feed": {"entry": entry}})).collect()] == [(1, "r1", "fine", 8.0)]
+    entry = {"id": {"label": "r1"}, "content": {"label": "A fine flight with a friendly crew."}, "im:rating": {"label": "4"}}
+    assert [(r.id, r.excerpt, r.rating) for r in feeds.store_reviews(docs({"feed": {"entry": entry}}), "tr").collect()] == [(1, "A fine flight with a friendly crew.", 8.0)]
 
 
 def test_a_failing_source_leaves_the_others(spark):
