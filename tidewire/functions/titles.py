@@ -25,11 +25,14 @@ FLIGHT = (
 
 def disjoint(a: Column, b: Column) -> Column:
     """Whether two arrays have something each, and nothing in common."""
-    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+    # made once each: an expression that is named twice in an array function is worked out twice
+    both = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: (F.size(x["a"]) > 0) & (F.size(x["b"]) > 0) & ~F.arrays_overlap(x["a"], x["b"]))
+    return F.get(both, F.lit(0))
 
 
 def makers(title: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, MAKERS)), lambda m: F.contains(normalize(title), m))
+    # as a lambda's variable the normal form is made once, not for each maker
+    return F.get(F.transform(F.array(normalize(title)), lambda t: F.filter(F.array(*map(F.lit, MAKERS)), lambda m: F.contains(t, m))), F.lit(0))
 
 
 def models(title: Column) -> Column:
@@ -38,8 +41,11 @@ def models(title: Column) -> Column:
 
 def parties(title: Column) -> Column:
     """Acronyms that say who a story is about, without the publisher's credit."""
-    found = F.regexp_extract_all(strip_publisher(F.coalesce(title, F.lit("")), F.lit("")), F.lit(ACRONYM), F.lit(0))
-    return F.array_except(found, F.array(*map(F.lit, GENERIC_ACRONYMS)))
+    # a title without an acronym names nobody, whatever its credit
+    some = F.coalesce(title, F.lit(""))
+    found = F.regexp_extract_all(strip_publisher(some, F.lit("")), F.lit(ACRONYM), F.lit(0))
+    none = F.array().cast("array<string>")
+    return F.when(some.rlike(ACRONYM), F.array_except(found, F.array(*map(F.lit, GENERIC_ACRONYMS)))).otherwise(none)
 
 
 def conflict(a: Column, b: Column) -> Column:
