@@ -28,12 +28,21 @@ def originals(articles: DataFrame) -> DataFrame:
     return articles.filter(~F.col("is_duplicate"))
 
 
-def mentions(cat: Catalog, kind: str, values: list[str] | None = None, by: str = "code") -> DataFrame:
-    """article_id, code, name of the mentions of one kind of entity, whatever the case of ``values``."""
+def mentions(cat: Catalog, kind: str, values: list[str] | None = None, by: str = "code", within: DataFrame | None = None) -> DataFrame:
+    """article_id, code, name of the mentions of one kind of entity, whatever the case of ``values``; of the articles ``within`` (id, ...) only, if given."""
     entities = cat.entities.filter(F.col("entity_type") == kind)
     if values:
         entities = entities.filter(F.lower(by).isin([v.lower() for v in values]))
-    return cat.article_entities.join(entities, F.col("entity_id") == F.col("id")).select("article_id", "entity_id", "code", "name")
+    # the semi-join goes below the distinct of each kind of mention, so that other kinds are dropped before they are held and shuffled
+    found = cat.article_entities.join(entities.select(F.col("id").alias("_wanted")), F.col("entity_id") == F.col("_wanted"), "left_semi")
+    if within is not None:
+        found = mentioned_by(found, within)
+    return found.join(entities, F.col("entity_id") == F.col("id")).select("article_id", "entity_id", "code", "name")
+
+
+def mentioned_by(mentions: DataFrame, articles: DataFrame) -> DataFrame:
+    """``mentions`` of ``articles`` (id, ...) only; the semi-join goes below their distinct as well."""
+    return mentions.join(articles.select(F.col("id").alias("_within")), F.col("article_id") == F.col("_within"), "left_semi")
 
 
 def mentioning(articles: DataFrame, found: DataFrame, id_col: str = "id") -> DataFrame:

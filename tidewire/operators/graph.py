@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.articles import effective_time, mentioning, mentions, originals, since
 from tidewire.plans.catalog import Catalog
+from tidewire.storage.folder import written
 
 
 def _recent(cat: Catalog, as_of: str, days: int) -> DataFrame:
@@ -15,8 +16,9 @@ def _recent(cat: Catalog, as_of: str, days: int) -> DataFrame:
 
 def place_counts(cat: Catalog, as_of: str, days: int, kind: str = "airport", by: str = "code") -> DataFrame:
     """Every known place with its articles, 0 where there are none."""
-    found = mentions(cat, kind).select("article_id", F.col(by).alias("place")).distinct()
-    counted = _recent(cat, as_of, days).join(found, F.col("id") == F.col("article_id")).groupBy(F.col("place").alias("_place")).agg(F.count("*").alias("n"))
+    recent = _recent(cat, as_of, days)
+    found = mentions(cat, kind, within=recent).select("article_id", F.col(by).alias("place")).distinct()
+    counted = recent.join(found, F.col("id") == F.col("article_id")).groupBy(F.col("place").alias("_place")).agg(F.count("*").alias("n"))
     known = cat.entities.filter(F.col("entity_type") == kind).select(F.col(by).alias("place")).distinct()
     return known.join(counted, F.col("place") == F.col("_place"), "left").select("place", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -27,8 +29,10 @@ def routes(cat: Catalog, as_of: str, days: int, least: int = 2, top: int = 40) -
     An article's places are gathered and paired within its row, so the join is by article and grows with the square of
     the places in one article only.
     """
-    found = mentions(cat, "airport").select("article_id", "code").distinct()
-    rows = _recent(cat, as_of, days).join(found, F.col("id") == F.col("article_id")).select("id", "code")
+    recent = _recent(cat, as_of, days)
+    found = mentions(cat, "airport", within=recent).select("article_id", "code").distinct()
+    # written, so that the mentions are made once and not for either side
+    rows = written(recent.join(found, F.col("id") == F.col("article_id")).select("id", "code"), "mentioned-places")
     other = rows.select(F.col("id").alias("_id"), F.col("code").alias("_code"))
     pairs = rows.join(other, (F.col("id") == F.col("_id")) & (F.col("code") < F.col("_code")))
     counted = pairs.groupBy(F.col("code").alias("origin"), F.col("_code").alias("destination")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
