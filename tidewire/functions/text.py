@@ -79,11 +79,18 @@ def cut(text: Column, most: int) -> Column:
 def clip_excerpt(text: Column, most: int = 280) -> Column:
     """The first two sentences where both fit, else the first; one that is too long is cut at a blank, with an ellipsis."""
     plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    parts = F.split(plain, r"(?<=[.!?])\s+")
-    both = F.array_join(F.slice(parts, 1, 2), " ")
-    kept = F.when(F.length(both) <= most, both).otherwise(F.get(parts, F.lit(0)))
-    head = F.regexp_replace(F.substring(kept, 1, most - 1), r"\s\S*$", "")
-    return F.when(F.length(kept) <= most, kept).otherwise(F.concat(F.regexp_replace(head, r"[ ,;:\-]+$", ""), F.lit("…")))
+
+    def kept(parts: Column) -> Column:
+        both = F.array_join(F.slice(parts, 1, 2), " ")
+        return F.when(F.length(both) <= most, both).otherwise(F.get(parts, F.lit(0)))
+
+    def clipped(said: Column) -> Column:
+        head = F.regexp_replace(F.substring(said, 1, most - 1), r"\s\S*$", "")
+        return F.when(F.length(said) <= most, said).otherwise(F.concat(F.regexp_replace(head, r"[ ,;:\-]+$", ""), F.lit("…")))
+
+    # as lambdas' variables the sentences are made once, and no more of them than are looked at
+    sentences = F.split(plain, r"(?<=[.!?])\s+", 3)
+    return F.get(F.transform(F.transform(F.array(sentences), kept), clipped), F.lit(0))
 
 
 def squash(text: Column) -> Column:

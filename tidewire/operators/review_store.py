@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import dedupe_key, squash
+from tidewire.functions.text import dedupe_key, once, squash
 from tidewire.storage.folder import written
 
 #: Characters of a head, and the gram lengths by which heads are looked up.
@@ -34,49 +34,56 @@ def _gram(length: Column) -> Column:
 
 
 def contained_heads(texts: DataFrame, head: int = HEAD) -> DataFrame:
-    """text, head: which of the heads of ``texts`` (text: distinct, not empty) occur in which texts, one's own among them."""
-    heads = texts.select(F.substring("text", 1, head).alias("head")).distinct()
-    looked_up = heads.withColumn("q", _gram(F.length("head"))).select("head", "q", F.xxhash64(F.expr("substring(head, 1, q)")).alias("g"))
+    """node, head, own: which of the heads of ``texts`` (node, text: distinct, not empty) occur in which texts, and whether it is one's own.
+
+    A head goes by the least node that begins with it, so that what is made of this table holds numbers only.
+    """
+    heads = texts.select("node", F.substring("text", 1, head).alias("words")).groupBy("words").agg(F.min("node").alias("head"))
+    looked_up = heads.withColumn("q", _gram(F.length("words"))).select("head", "words", "q", F.xxhash64(F.expr("substring(words, 1, q)")).alias("g"))
     # texts give grams only of the lengths that heads are looked up by
     lengths = sorted(r[0] for r in looked_up.select("q").distinct().collect())  # at most as many as the ladder has
 
     def grams_of(q: int) -> Column:
         starts = F.when(F.length("text") >= q, F.sequence(F.lit(1), F.length("text") - (q - 1)))
-        return F.transform(starts, lambda i: F.struct(F.lit(q).alias("q"), F.xxhash64(F.substring(F.col("text"), i, F.lit(q))).alias("g")))
+        # distinct as numbers, since Spark holds structs against each other one by one
+        distinct = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(q)))))
+        return F.transform(distinct, lambda g: F.struct(F.lit(q).alias("q"), g.alias("g")))
 
     grams = [grams_of(q) for q in lengths]
     if not grams:
-        return texts.select("text", F.substring("text", 1, head).alias("head"))
-    each = texts.select("text", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*grams))))).alias("x")).select("text", "x.q", "x.g")
-    return each.join(looked_up, ["q", "g"]).filter(F.contains("text", "head")).select("text", "head")
+        return texts.select("node", F.col("node").alias("head"), F.lit(True).alias("own"))
+    each = texts.select("node", F.explode(F.flatten(F.array_compact(F.array(*grams)))).alias("x")).select("node", "x.q", "x.g")
+    met = each.join(looked_up, ["q", "g"]).select("node", "head", "words")
+    return met.join(texts, "node").filter(F.contains("text", "words")).select("node", "head", (F.substring("text", 1, head) == F.col("words")).alias("own"))
 
 
 def _decided(nodes: DataFrame, holds: DataFrame) -> DataFrame:
-    """text, kept: by the greedy rule over ``nodes`` (text, o: order, held) and ``holds`` (text, head)."""
-    own = F.substring("text", 1, HEAD)
-    state = written(nodes.withColumn("kept", F.when(F.col("held"), F.lit(True))), "review-state")
+    """node, kept: by the greedy rule over ``nodes`` (node, o: order, held) and ``holds`` (node, head, own)."""
+    state = written(nodes.select("node", "o", "held", F.when(F.col("held"), F.lit(True)).alias("kept")), "review-state")
     while not state.filter("kept is null").isEmpty():
-        met = holds.join(state, "text").withColumn("own", F.col("head") == own)
+        met = holds.join(state, "node")
         least = lambda condition: F.min(F.when(condition, F.col("o")))
         kept, open_ = F.col("kept"), F.col("kept").isNull()
         by_head = met.groupBy("head").agg(least(kept).alias("kept_in"), least(open_).alias("open_in"), least(kept & F.col("own")).alias("kept_own"), least(open_ & F.col("own")).alias("open_own"))
         # what holds this review's head, and whose heads it holds
-        seen = met.filter("kept is null").join(by_head, "head").groupBy("text").agg(
+        seen = met.filter("kept is null").join(by_head, "head").groupBy("node").agg(
             F.min(F.least(F.when(F.col("own"), F.col("kept_in")), F.col("kept_own"))).alias("first_kept"),
             F.min(F.least(F.when(F.col("own"), F.col("open_in")), F.col("open_own"))).alias("first_open"),
         )
-        joined = state.join(seen, "text", "left")
+        joined = state.join(seen, "node", "left")
         new = F.when(kept.isNotNull(), kept).when(F.col("first_kept") < F.col("o"), F.lit(False)).when(F.col("first_open") >= F.col("o"), F.lit(True))
-        state = written(joined.select("text", "o", "held", new.alias("kept")), "review-state")
-    return state.select("text", "kept")
+        state = written(joined.select("node", "o", "held", new.alias("kept")), "review-state")
+    return state.select("node", "kept")
 
 
 def admitted(incoming: DataFrame, held: DataFrame) -> DataFrame:
     """Those of ``incoming`` (id, url, excerpt, arrived and more) that enter a store that has ``held`` (url, excerpt)."""
     text = squash(F.coalesce("excerpt", F.lit("")))
     key = dedupe_key(F.coalesce("url", F.lit("")), F.coalesce("excerpt", F.lit("")))
-    rows = written(incoming.withColumns({"_text": text, "_key": key, "_o": F.struct(F.col("arrived").alias("at"), F.col("id").alias("id"))}), "incoming-reviews")
-    known = written(held.select(text.alias("_text"), key.alias("_key")), "held-reviews")
+    # as a generator's output an excerpt is made once a row
+    once_ = lambda rows: once(rows, "_excerpt", F.col("excerpt")).drop("excerpt").withColumnRenamed("_excerpt", "excerpt")
+    rows = written(once_(incoming).withColumns({"_text": text, "_key": key, "_o": F.struct(F.col("arrived").alias("at"), F.col("id").alias("id"))}), "incoming-reviews")
+    known = written(once_(held).select(text.alias("_text"), key.alias("_key")), "held-reviews")
     # of equal keys the first may enter, and none that is held
     fresh = rows.join(known.select("_key").distinct(), "_key", "left_anti").filter("_text <> ''")
     firsts = fresh.groupBy("_text").agg(F.min("_o").alias("o")).select(F.col("_text").alias("text"), "o", F.lit(False).alias("held"))
@@ -84,7 +91,9 @@ def admitted(incoming: DataFrame, held: DataFrame) -> DataFrame:
     both = firsts.unionByName(known.filter("_text <> ''").select(F.col("_text").alias("text"), nothing.alias("o"), F.lit(True).alias("held")).distinct())
     # a text that is held as well is one node; held ones come before all others
     earliest = F.struct((~F.max("held")).alias("later"), F.min("o").alias("o"))
-    nodes = written(both.groupBy("text").agg(earliest.alias("o"), F.max("held").alias("held")), "review-nodes")
-    decided = _decided(nodes, written(contained_heads(nodes.select("text")), "contained-heads"))
-    winners = nodes.join(decided.filter("kept"), "text").filter("not held").select(F.col("text").alias("_text"), F.col("o.o").alias("_o"))
-    return fresh.join(winners, ["_text", "_o"], "left_semi").drop("_text", "_key", "_o")
+    nodes = both.groupBy("text").agg(earliest.alias("o"), F.max("held").alias("held"))
+    # a node goes by a number from here on: the rounds neither shuffle nor broadcast texts
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "review-nodes")
+    decided = _decided(nodes, written(contained_heads(nodes.select("node", "text")), "contained-heads"))
+    winners = nodes.join(decided.filter("kept"), "node").filter("not held").select(F.col("text").alias("_text"), F.col("o.o").alias("_o"))
+    return fresh.join(winners, ["_text", "_o"], "left_semi").select(*incoming.columns)
