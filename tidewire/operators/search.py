@@ -18,34 +18,80 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.stem import is_stop_word, stems
+from tidewire.storage.folder import if_small, written
 
 # The weight of a place, the sum of 1/k² over all k, and the most places that count.
 WEIGHT, SUM_OF_SQUARES, MOST_PLACES, LAST_PLACE = 0.1, 1.64493406685, 256, 16383
 TERM = r"[\p{L}\p{N}]+"
+#: Bytes of a vocabulary that is broadcast at most.
+SMALL_VOCABULARY = 16 << 20
 
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
+def _places(text: Column) -> Column:
+    """term, n and places (the first of them, in order) of each distinct term of a text that is no stop word, told within its row."""
+    placed = F.transform(terms(text), lambda t, i: F.struct(t.alias("term"), F.least(i + 1, F.lit(LAST_PLACE)).alias("place")))
+    ordered = F.array_sort(F.filter(placed, lambda x: ~is_stop_word(x["term"])))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+
+        def each(at: Column) -> Column:
+            first = lambda k: F.get(at, k)
+            one = lambda k: F.struct(
+                F.get(s, first(k))["term"].alias("term"), (first(k + 1) - first(k)).cast("long").alias("n"), F.transform(F.slice(s, first(k) + 1, F.least(first(k + 1) - first(k), F.lit(MOST_PLACES))), lambda x: x["place"]).alias("places")
+            )
+            return F.transform(F.sequence(F.lit(0), F.size(at) - 2), one)
+
+        return F.get(F.transform(F.array(starts), each), F.lit(0))
+
+    # as a lambda's variable the ordered terms are made once; a text without any has no runs
+    return F.get(F.transform(F.filter(F.array(ordered), lambda s: F.size(s) > 0), runs), F.lit(0))
+
+
+def _stemmed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """stem, id, n, places of each distinct term of a document; of terms that share a stem each has a row."""
+    each = docs.select(F.col(id_col).alias("id"), F.explode(_places(F.col(text_col))).alias("x")).select("id", "x.*")
+    # each distinct term is stemmed once; the vocabulary is joined, not computed by row, and where it is small no posting is shuffled for it
+    vocabulary = written(stems(docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).distinct().filter(~is_stop_word(F.col("term")))), "vocabulary")
+    return each.join(if_small(vocabulary, SMALL_VOCABULARY), "term").select("stem", "id", "n", "places")
+
+
+def _merged(rows: DataFrame, *by: str) -> DataFrame:
+    merged = rows.groupBy(*by, "stem", "id").agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    return merged.select(*by, "stem", "id", "n", F.slice("places", 1, MOST_PLACES).alias("places"))
+
+
 def postings(docs: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
     """stem, id, n (occurrences) and places (the first of them, in order) for each stem of a document; stop words count as places only."""
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col(text_col))).alias("place", "term")).filter(~is_stop_word(F.col("term")))
-    by_term = each.groupBy("id", "term").agg(F.collect_list(F.least(F.col("place") + 1, F.lit(LAST_PLACE))).alias("places"))
-    # each distinct term is stemmed once; the vocabulary is joined, not computed by row
-    vocabulary = stems(docs.select(F.explode(F.array_distinct(terms(F.col(text_col)))).alias("term")).distinct())
-    merged = by_term.join(vocabulary, "term").groupBy("stem", "id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
-    return merged.select("stem", "id", F.size("places").cast("long").alias("n"), F.slice("places", 1, MOST_PLACES).alias("places"))
+    return _merged(_stemmed(docs, text_col, id_col))
 
 
 def bucket_of(stem: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(stem), F.lit(buckets)).cast("int")
 
 
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    dealt = rows.withColumns({"bucket": bucket_of(F.col("stem"), buckets), "_part": F.pmod(F.xxhash64("id"), F.lit(4))})
+    return dealt.repartition(4 * buckets, "bucket", "_part")
+
+
+def _put(dealt: DataFrame, path: str) -> None:
+    rows = dealt.select("stem", "id", "n", "places", "bucket").sortWithinPartitions("bucket", "stem", "id")
+    rows.write.partitionBy("bucket").option("parquet.bloom.filter.enabled#stem", "true").mode("overwrite").parquet(path)
+
+
 def save(index: DataFrame, path: str, buckets: int = 64) -> None:
     """Writes postings by bucket, sorted by stem within it; hot stems spread over several files of their bucket."""
-    rows = index.withColumn("bucket", bucket_of(F.col("stem"), buckets)).repartition(4 * buckets, "bucket", F.pmod(F.xxhash64("id"), F.lit(4)))
-    rows.sortWithinPartitions("bucket", "stem", "id").write.partitionBy("bucket").option("parquet.bloom.filter.enabled#stem", "true").mode("overwrite").parquet(path)
+    _put(_dealt(index, buckets), path)
+
+
+def build(docs: DataFrame, text_col: str, path: str, buckets: int = 64, id_col: str = "id") -> None:
+    """``save`` of the ``postings`` of ``docs``; what terms of one stem have is merged where it is dealt to, so that postings are shuffled once."""
+    _put(_merged(_dealt(_stemmed(docs, text_col, id_col), buckets), "bucket", "_part"), path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
