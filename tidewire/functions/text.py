@@ -201,3 +201,16 @@ def folded(text: Column) -> Column:
 def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """``rows`` with a column that is made once a row: as a generator's output it isn't written into the conditions on it."""
     return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def runs(ordered: Column, key: str) -> Column:
+    """The runs of an ordered array of structs that share a field, as arrays; an empty array has none."""
+
+    def of(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i)[key] != F.get(s, i - 1)[key]))
+        # by their places, since a slice copies all of the array first
+        cut_ = lambda at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda k: F.transform(F.sequence(F.get(at, k), F.get(at, k + 1) - 1), lambda j: F.get(s, j)))
+        return F.get(F.transform(F.array(starts), cut_), F.lit(0))
+
+    # as a lambda's variable the array is made once
+    return F.flatten(F.transform(F.filter(F.array(ordered), lambda s: F.size(s) > 0), of))

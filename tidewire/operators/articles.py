@@ -199,10 +199,11 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str, order: str) ->
 
 def search(docs: DataFrame, query: str, text_col: str, id_col: str) -> DataFrame:
     """id, rank of the texts that hold every word of the query: occurrences, less for long texts. No stemming."""
-    from tidewire.functions.text import tokens
+    from tidewire.functions.text import once, tokens
 
     words = sorted(set(query.lower().split()))
-    rows = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
+    # as a generator's output the words are made once a text, not for each that is asked for
+    rows = once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "w", tokens(F.col("text")))
     hits = [F.size("w") - F.size(F.array_remove("w", q)) for q in words]
     rows = rows.select("id", F.size("w").alias("n"), F.array(*hits).alias("hits")).filter(F.forall("hits", lambda h: h > 0))
     total = F.aggregate("hits", F.lit(0), lambda a, b: a + b)

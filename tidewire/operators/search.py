@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.stem import is_stop_word, stems
+from tidewire.functions.text import runs
 from tidewire.storage.folder import if_small, written
 
 # The weight of a place, the sum of 1/k² over all k, and the most places that count.
@@ -34,22 +35,10 @@ def terms(text: Column) -> Column:
 def _places(text: Column) -> Column:
     """term, n and places (the first of them, in order) of each distinct term of a text that is no stop word, told within its row."""
     placed = F.transform(terms(text), lambda t, i: F.struct(t.alias("term"), F.least(i + 1, F.lit(LAST_PLACE)).alias("place")))
-    ordered = F.array_sort(F.filter(placed, lambda x: ~is_stop_word(x["term"])))
+    ordered = F.sort_array(F.filter(placed, lambda x: ~is_stop_word(x["term"])))
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
-
-        def each(at: Column) -> Column:
-            first = lambda k: F.get(at, k)
-            one = lambda k: F.struct(
-                F.get(s, first(k))["term"].alias("term"), (first(k + 1) - first(k)).cast("long").alias("n"), F.transform(F.slice(s, first(k) + 1, F.least(first(k + 1) - first(k), F.lit(MOST_PLACES))), lambda x: x["place"]).alias("places")
-            )
-            return F.transform(F.sequence(F.lit(0), F.size(at) - 2), one)
-
-        return F.get(F.transform(F.array(starts), each), F.lit(0))
-
-    # as a lambda's variable the ordered terms are made once; a text without any has no runs
-    return F.get(F.transform(F.filter(F.array(ordered), lambda s: F.size(s) > 0), runs), F.lit(0))
+    one = lambda r: F.struct(F.get(r, F.lit(0))["term"].alias("term"), F.size(r).cast("long").alias("n"), F.transform(F.slice(r, 1, MOST_PLACES), lambda x: x["place"]).alias("places"))
+    return F.transform(runs(ordered, "term"), one)
 
 
 def _stemmed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:

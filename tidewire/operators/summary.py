@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import tokens
+from tidewire.functions.text import once, runs, tokens
 
 # Words that don't count.
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "are", "was", "were", "be", "been", "has", "have", "had", "it", "its", "this", "that", "will", "would", "said", "also", "which", "their", "than", "into", "after", "before", "over", "more", "new")
@@ -31,10 +31,15 @@ def summaries(docs: DataFrame, id_col: str = "id", text_col: str = "body", most:
 
     Of equal sentences the earlier wins; a text of two sentences or fewer is its own summary. ``id_col`` tells texts apart.
     """
-    scored = _words(docs, id_col, text_col).join(term_counts(docs, id_col, text_col), ["id", "word"]).groupBy("id", "pos").agg(F.sum("n").alias("score"))
-    every = docs.select(F.col(id_col).alias("id"), sentences(F.col(text_col)).alias("all"))
-    placed = every.select("id", F.size("all").alias("of"), F.posexplode_outer("all").alias("pos", "sentence")).join(scored, ["id", "pos"], "left")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("score", F.lit(0)).desc(), "pos"))
-    chosen = placed.withColumn("nth", nth).filter((F.col("nth") <= most) | (F.col("of") <= 2))
-    kept = chosen.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("sentence").isNotNull(), F.struct("pos", "sentence")))).alias("kept"))
-    return kept.select("id", F.array_join(F.col("kept")["sentence"], " ").alias("summary"))
+    number = lambda pos, n: F.struct(pos.alias("pos"), n.cast("long").alias("n"))
+    # each column is made once a text, and all of them within its row
+    rows = once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "all", sentences(F.col("text")))
+    said = F.flatten(F.transform("all", lambda s, pos: F.transform(F.filter(tokens(s), lambda w: ~w.isin(*STOP_WORDS)), lambda w: F.struct(w.alias("word"), pos.alias("pos")))))
+    rows = once(rows.select("id", "all"), "same", runs(F.sort_array(said), "word"))
+    # a sentence gets the number of each of its words, and nothing for itself
+    counted = F.flatten(F.transform("same", lambda r: F.transform(r, lambda x: number(x["pos"], F.size(r)))))
+    rows = once(rows, "of", runs(F.sort_array(F.concat(counted, F.transform("all", lambda s, pos: number(pos, F.lit(0))))), "pos")).select("id", "all", "of")
+    scored = F.transform("of", lambda r: F.struct((-F.aggregate(r, F.lit(0).cast("long"), lambda n, x: n + x["n"])).alias("score"), F.get(r, F.lit(0))["pos"].alias("pos")))
+    best = once(rows, "best", F.sort_array(F.transform(F.slice(F.sort_array(scored), 1, most), lambda x: x["pos"])))
+    kept = F.when(F.size("all") <= 2, F.col("all")).otherwise(F.transform("best", lambda pos: F.get("all", pos)))
+    return best.select("id", F.array_join(kept, " ").alias("summary"))
