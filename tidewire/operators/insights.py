@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from copy import copy
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import display_text
-from tidewire.operators.articles import at, mentions, originals, since
-from tidewire.operators.reviews import tagged, theme_growth, theme_windows
+from tidewire.operators.articles import at, mentioned_by, mentions, originals, since
+from tidewire.operators.reviews import growth, theme_windows, windowed_themes
 from tidewire.plans.catalog import Catalog
+from tidewire.storage.folder import written
 
 #: Columns that all detectors of alerts give.
 ALERT = ("detector", "key", "severity", "value", "previous", "evidence", "category", "region", "airline")
@@ -122,8 +124,9 @@ def upcoming(cat: Catalog, today: str, days: int = 14, types: tuple[str, ...] =
 def review_alerts(reviews: DataFrame, keywords: Mapping[str, Sequence[str]], today: str, days: int, home: str) -> DataFrame:
     """Themes that grow in the reviews of the home carrier, over windows four times as long, with their newest reviews."""
     current, _ = theme_windows(today, 4 * days)
-    rows = tagged(reviews.filter(current), keywords).select("id", F.col("review_date").alias("published_at"), F.explode("themes").alias("theme"))
-    grown = theme_growth(reviews, keywords, today, 4 * days).withColumnRenamed("theme", "_theme")
+    tagged = written(windowed_themes(reviews, keywords, today, 4 * days), "themes")  # texts are read once
+    rows = tagged.filter(current).select("id", F.col("review_date").alias("published_at"), "theme")
+    grown = growth(tagged, today, 4 * days).withColumnRenamed("theme", "_theme")
     both = grown.join(with_evidence(rows, "theme"), F.col("_theme") == F.col("theme"))
     return both.select(*_alert("review_theme", "theme", F.col("severity"), F.col("current"), F.col("previous"), airline=home))
 
@@ -138,14 +141,28 @@ def narrowed(found: DataFrame, wanted: Mapping[str, Sequence[str] | None]) -> Da
     return found
 
 
+def recent(cat: Catalog, as_of: str, days: int) -> Catalog:
+    """``cat`` with the originals of both windows alone, their enrichment and mentions of carriers, made once for all detectors."""
+    current, previous = _windows(as_of, days)
+    out = copy(cat)
+    out.articles = written(originals(cat.articles).filter(current | previous), "recent-articles")
+    within = out.articles.select(F.col("id").alias("_within"))
+    out.enrichment = written(cat.enrichment.join(within, F.col("article_id") == F.col("_within"), "left_semi"), "recent-enrichment")
+    carriers = cat.entities.filter("entity_type = 'airline'").select(F.col("id").alias("_wanted"))
+    named = cat.article_entities.join(carriers, F.col("entity_id") == F.col("_wanted"), "left_semi")
+    out.article_entities = written(mentioned_by(named, out.articles), "recent-mentions")
+    return out
+
+
 def alerts(
     cat: Catalog, as_of: str, days: int, category: str, home: str, limit: int = 20, *, themes: Mapping[str, Sequence[str]] | None = None, reviews: DataFrame | None = None, today: str | None = None, wanted: Mapping[str, Sequence[str] | None] | None = None
 ) -> DataFrame:
     """All detectors' alerts that have evidence, the most severe first; ``themes`` adds those of the reviews, ``wanted`` (values by category, region or airline) narrows."""
+    whole, cat = cat, recent(cat, as_of, days)
     parts = [rival_promotions(cat, as_of, days, category, home), surges(cat, as_of, days, category), movers(cat, as_of, days), negative_clusters(cat, as_of, days)]
     if themes:
-        parts.append(review_alerts(cat.reviews if reviews is None else reviews, themes, today or as_of[:10], days, home))
-    parts.append(upcoming(cat, as_of[:10]))
+        parts.append(review_alerts(whole.reviews if reviews is None else reviews, themes, today or as_of[:10], days, home))
+    parts.append(upcoming(whole, as_of[:10]))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

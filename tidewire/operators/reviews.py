@@ -44,10 +44,20 @@ def theme_windows(today: str, days: int) -> tuple[Column, Column]:
     return F.col("review_date") >= start, (F.col("review_date") >= before) & (F.col("review_date") < start)
 
 
-def theme_growth(reviews: DataFrame, keywords: Mapping[str, Sequence[str]], today: str, days: int, least: int = 3, factor: float = 1.5) -> DataFrame:
-    """theme, current, previous, severity of themes that grow from one window to the next."""
+def windowed_themes(reviews: DataFrame, keywords: Mapping[str, Sequence[str]], today: str, days: int) -> DataFrame:
+    """id, review_date, sentiment, theme of the reviews of both windows, a row a theme."""
+    current, previous = theme_windows(today, days)
+    return tagged(reviews.filter(current | previous), keywords).select("id", "review_date", "sentiment", F.explode("themes").alias("theme"))
+
+
+def growth(rows: DataFrame, today: str, days: int, least: int = 3, factor: float = 1.5) -> DataFrame:
+    """theme, current, previous, severity of the themes of ``windowed_themes`` that grow from one window to the next."""
     current, previous = theme_windows(today, days)
-    rows = tagged(reviews.filter(current | previous), keywords).select("review_date", "sentiment", F.explode("themes").alias("theme"))
     counted = rows.groupBy("theme").agg(F.count_if(current).alias("current"), F.count_if(previous).alias("previous"), F.count_if(current & (F.col("sentiment") == "negative")).alias("bad"))
     grown = counted.filter((F.col("current") >= least) & (F.col("current") >= factor * F.col("previous")))
     return grown.select("theme", "current", "previous", F.when(F.col("bad") / F.col("current") >= 0.6, "high").otherwise("medium").alias("severity"))
+
+
+def theme_growth(reviews: DataFrame, keywords: Mapping[str, Sequence[str]], today: str, days: int, least: int = 3, factor: float = 1.5) -> DataFrame:
+    """theme, current, previous, severity of themes that grow from one window to the next."""
+    return growth(windowed_themes(reviews, keywords, today, days), today, days, least, factor)
