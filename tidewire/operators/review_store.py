@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import dedupe_key, once, squash
-from tidewire.storage.folder import written
+from tidewire.storage.folder import if_small, written
 
 #: Characters of a head, and the gram lengths by which heads are looked up.
 HEAD, LADDER = 60, (60, 30, 15, 8, 4, 2, 1)
+#: Bytes of heads that are broadcast at most.
+BROADCAST_BYTES = 8 << 20
 
 
 def _gram(length: Column) -> Column:
@@ -39,7 +41,7 @@ def contained_heads(texts: DataFrame, head: int = HEAD) -> DataFrame:
     A head goes by the least node that begins with it, so that what is made of this table holds numbers only.
     """
     heads = texts.select("node", F.substring("text", 1, head).alias("words")).groupBy("words").agg(F.min("node").alias("head"))
-    looked_up = heads.withColumn("q", _gram(F.length("words"))).select("head", "words", "q", F.xxhash64(F.expr("substring(words, 1, q)")).alias("g"))
+    looked_up = written(heads.withColumn("q", _gram(F.length("words"))).select("head", "words", "q", F.xxhash64(F.expr("substring(words, 1, q)")).alias("g")), "heads")
     # texts give grams only of the lengths that heads are looked up by
     lengths = sorted(r[0] for r in looked_up.select("q").distinct().collect())  # at most as many as the ladder has
 
@@ -53,7 +55,9 @@ def contained_heads(texts: DataFrame, head: int = HEAD) -> DataFrame:
     if not grams:
         return texts.select("node", F.col("node").alias("head"), F.lit(True).alias("own"))
     each = texts.select("node", F.explode(F.flatten(F.array_compact(F.array(*grams)))).alias("x")).select("node", "x.q", "x.g")
-    met = each.join(looked_up, ["q", "g"]).select("node", "head", "words")
+    # Spark takes an exploded row for one, and would send all grams through the driver where the texts look small
+    few = if_small(looked_up, BROADCAST_BYTES)
+    met = each.join(looked_up.hint("merge") if few is looked_up else few, ["q", "g"]).select("node", "head", "words")
     return met.join(texts, "node").filter(F.contains("text", "words")).select("node", "head", (F.substring("text", 1, head) == F.col("words")).alias("own"))
 
 
